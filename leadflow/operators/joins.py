@@ -1,0 +1,20 @@
+"""Join helpers.
+
+``bounded_broadcast`` is the only way the library asks for a broadcast: it checks the
+row count of the small side (a cheap ``limit(n + 1).count()`` job that stops early)
+and only then adds the hint.  Above the bound the side is left to the planner, which
+picks a shuffle join (and AQE may still broadcast it if the runtime size turns out small).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension of up to this many rows is broadcast (a few MB at most).
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
