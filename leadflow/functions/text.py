@@ -35,8 +35,8 @@ def trigrams(col) -> Column:
 
 
 def words(col) -> Column:
-    """Distinct words of a normalised name."""
-    return F.array_distinct(F.split(_c(col), " "))
+    """Distinct non-empty words of a name split on single blanks."""
+    return F.array_distinct(F.filter(F.split(_c(col), " "), lambda w: w != F.lit("")))
 
 
 def char_score(a, b) -> Column:

@@ -92,6 +92,13 @@ SELECT user_id AS session_id, event_id AS seq,
   CASE event_type WHEN 'view' THEN 'this month' WHEN 'signup' THEN 'last month' END AS time_key,
   CASE WHEN value > 50 THEN event_type END AS filter_value
 FROM {events}
+""",
+    # Names as a user types them (exact, one letter added, upper case, 'o' typed as '0').
+    "name_queries": """
+SELECT p_partkey AS q_id,
+  CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, 't')
+    WHEN 2 THEN upper(p_name) ELSE replace(p_name, 'o', '0') END AS q_name
+FROM {part}
 """,
     "subscriptions": """
 SELECT c_custkey AS id, c_nationkey AS user_id,
