@@ -15,9 +15,10 @@ from ..functions import windows as W
 from ..functions.metrics import ISSUED
 from .joins import bounded_broadcast
 
-NINE = F.expr("INTERVAL 9 HOURS")
-ONE_HOUR = F.expr("INTERVAL 1 HOURS")
-ONE_DAY = F.expr("INTERVAL 1 DAYS")
+
+
+def _hours(n: int) -> Column:
+    return F.expr(f"INTERVAL {int(n)} HOURS")
 
 
 def _ntz(value) -> Column:
@@ -33,15 +34,15 @@ def next_run(frequency: Column, now) -> Column:
     (today's if it is Monday before 09:00); anything else: +1 day."""
     t = _ntz(now)
     day = F.date_trunc("day", t)
-    nine_today = day + NINE
+    nine_today = day + _hours(9)
     dow = F.weekday(t)                                   # Monday = 0
     days = (F.lit(7) - dow) % F.lit(7)
     days = F.when((days == 0) & (F.hour(t) >= 9), F.lit(7)).otherwise(days)
-    weekly = F.date_add(F.to_date(t), days).cast("timestamp_ntz") + NINE
-    return (F.when(frequency == "hourly", t + ONE_HOUR)
-            .when(frequency == "daily", F.when(t >= nine_today, nine_today + ONE_DAY).otherwise(nine_today))
+    weekly = F.date_add(F.to_date(t), days).cast("timestamp_ntz") + _hours(9)
+    return (F.when(frequency == "hourly", t + _hours(1))
+            .when(frequency == "daily", F.when(t >= nine_today, nine_today + _hours(24)).otherwise(nine_today))
             .when(frequency == "weekly", weekly)
-            .otherwise(t + ONE_DAY))
+            .otherwise(t + _hours(24)))
 
 
 def with_next_run(subs: DataFrame) -> DataFrame:
