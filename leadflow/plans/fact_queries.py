@@ -535,3 +535,15 @@ def u_distinct_ids(spark, sf):
 def u_distinct_ids_per_product(spark, sf):
     """Distinct active agent ids per product, one pass instead of a loop over products."""
     return active_rows(_leads(spark, sf)).select("investmenttypeid", "lead_agentid").distinct()
+
+
+@register("j_product_dim", oracle=with_views("leads", "aliases", extra=PRODUCT_DIM) + f"""
+SELECT g.investmenttypeid, d.product_name, g.leads, g.total_premium
+FROM (SELECT investmenttypeid, COUNT(*) AS leads, {money('premium')} AS total_premium FROM leads GROUP BY 1) g
+LEFT JOIN product_dim d ON d.product_id = g.investmenttypeid
+""")
+def j_product_dim(spark, sf):
+    """Leads and premium per product over the whole table, then a broadcast left join to the
+    product dimension (one row per product is joined, not one per lead)."""
+    return metric_query(_leads(spark, sf), ["leads", "premium"], dims=["investmenttypeid"],
+                        products_dim=_dim(spark, sf))
