@@ -53,7 +53,8 @@ def time_filter(metrics: Sequence[str], *, window: str | None = None, between=No
 def with_product_name(df: DataFrame, products_dim: DataFrame, id_col: str = "investmenttypeid") -> DataFrame:
     """Left join to the product dimension (broadcast behind a size check)."""
     dim = products_dim.select(F.col("product_id").alias(id_col), "product_name")
-    return df.join(bounded_broadcast(dim), on=id_col, how="left")
+    rest = [c for c in df.columns if c != id_col]
+    return df.join(bounded_broadcast(dim), on=id_col, how="left").select(id_col, "product_name", *rest)
 
 
 def metric_query(leads: DataFrame, metrics: Sequence[str] = ("leads",), *, dims: Sequence[str] = (),
