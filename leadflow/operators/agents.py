@@ -17,7 +17,6 @@ from ..functions import text as TX
 from ..functions import windows as W
 from ..functions.metrics import ISSUED
 from . import names as N
-from .joins import bounded_broadcast
 from .similarity import fuzzy_pairs, single_word_guard, trigram_guard
 from .topk import newest_key
 
@@ -65,10 +64,27 @@ def name_pool(leads: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("name"))
+    """Best ``k`` names per distinct query string (score desc, name asc).
+
+    ``row_number() <= k`` runs as a ``WindowGroupLimit`` on both sides of the shuffle."""
+    w = Window.partitionBy("q_norm").orderBy(F.col("score").desc(), F.col("name"))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(k))
 
 
+def _distinct_queries(q: DataFrame) -> DataFrame:
+    """Each normalised query string once: ranking depends only on the string, so repeated
+    strings are matched once and the matches joined back to every query id."""
+    return q.select(F.col("q_norm").alias("q_id"), "q_norm").distinct()
+
+
+def fuzzy_join(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
+    """(q_id, q_norm, name, p_norm, score) for every query row and pool name scoring >= cutoff;
+    each distinct query string is matched once."""
+    matches = fuzzy_pairs(_distinct_queries(queries), pool, cutoff).drop("q_id")
+    return queries.select("q_id", "q_norm").join(matches, "q_norm").select(
+        "q_id", "q_norm", "name", "p_norm", "score")
+
+
 def newest_codes(leads: DataFrame, names: DataFrame, cols: Sequence[str] = N.NAME_COLUMNS_6,
                  products: Sequence[int] | None = None) -> DataFrame:
     """(name, lead_agentid, last_dt): the newest agent id of rows naming each ``name``
@@ -76,14 +92,17 @@ def newest_codes(leads: DataFrame, names: DataFrame, cols: Sequence[str] = N.NAM
 
     The names are joined to the unpivoted rows on the lower-cased name (equi-join), then
     a ``min_by`` aggregate keeps the newest id; the aggregate is partial per task, so a
-    name held by a third of all rows is still combined map-side."""
+    name held by a third of all rows is still combined map-side.  ``names`` is usually
+    derived (e.g. the best candidates), so no hint is given: AQE measures its real size
+    at runtime and broadcasts it when small, else keeps the shuffle join (with
+    skew-join splitting for a hot name)."""
     base = _agent_base(leads, cols)
     if products:
         base = base.where(P.product_in(products))
     long = N.unpivot_names(base, cols, ids=("lead_agentid", "event_date")).select(
         F.lower("name").alias("lname"), "lead_agentid", "event_date")
     wanted = names.select("name", F.lower("name").alias("lname"))
-    hits = long.join(bounded_broadcast(wanted), "lname")
+    hits = long.join(wanted, "lname")
     return (hits.groupBy("name").agg(
         F.min_by("lead_agentid", newest_key(F.col("event_date"), F.col("lead_agentid"))).alias("lead_agentid"),
         F.max("event_date").alias("last_dt")))
@@ -95,11 +114,11 @@ def candidates(leads: DataFrame, queries: DataFrame, products: Sequence[int] | N
     its newest agent id; names without an id drop out.  ``queries``: (q_id, q_name)."""
     q = queries.select("q_id", "q_name", TX.norm_name("q_name").alias("q_norm"))
     pool = name_pool(leads, N.NAME_COLUMNS_6)
-    pairs = (fuzzy_pairs(q.select("q_id", "q_norm"), pool, cutoff)
+    pairs = (fuzzy_pairs(_distinct_queries(q), pool, cutoff)
              .where(single_word_guard() & trigram_guard()))
-    top = _top(pairs, k)
+    top = _top(pairs, k).drop("q_id")
     codes = newest_codes(leads, top.select("name").distinct(), N.NAME_COLUMNS_6, products)
-    return (top.join(codes, "name").join(q.select("q_id", "q_name"), "q_id")
+    return (q.join(top.join(codes, "name"), "q_norm")
             .select("q_id", "q_name", "name", "score", "rank", "lead_agentid"))
 
 
@@ -109,8 +128,8 @@ def suggest(leads: DataFrame, queries: DataFrame, k: int = 5, cutoff: float = 85
     The query is only lower-cased and trimmed (not blank-collapsed), as in the source."""
     q = queries.select("q_id", "q_name", F.trim(F.lower("q_name")).alias("q_norm"))
     pool = name_pool(leads, N.NAME_COLUMNS_8)
-    pairs = fuzzy_pairs(q.select("q_id", "q_norm"), pool, cutoff).where(trigram_guard())
-    return (_top(pairs, k).join(q.select("q_id", "q_name"), "q_id")
+    pairs = fuzzy_pairs(_distinct_queries(q), pool, cutoff).where(trigram_guard())
+    return (q.join(_top(pairs, k).drop("q_id"), "q_norm")
             .select("q_id", "q_name", "name", "score", "rank"))
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..functions.metrics import ISSUED
-from .joins import bounded_broadcast
 
 
 
@@ -81,6 +80,8 @@ def evaluate_due(subs: DataFrame, leads: DataFrame, now, window: str, as_of) ->
     """The metric of every due subscription, all in one pass over the fact table."""
     table = product_metric_table(leads, window, as_of)
     d = due(subs, now)
-    return (d.join(bounded_broadcast(table), ["product_id", "metric"], "left")
+    # The metric table has one row per (product, metric) but is derived from the fact
+    # table, so it is not counted up front: AQE broadcasts it once its size is known.
+    return (d.join(table, ["product_id", "metric"], "left")
             .select("id", "user_id", "product_id", "metric", F.coalesce("value", F.lit(0)).alias("value")))
 

@@ -1,9 +1,12 @@
 """Join helpers.
 
 ``bounded_broadcast`` is the only way the library asks for a broadcast: it checks the
-row count of the small side (a cheap ``limit(n + 1).count()`` job that stops early)
-and only then adds the hint.  Above the bound the side is left to the planner, which
-picks a shuffle join (and AQE may still broadcast it if the runtime size turns out small).
+row count of the small side (a ``limit(n + 1).count()`` job that stops early) and only
+then adds the hint; above the bound the side is left to the planner (shuffle join).
+It is used for sides that are cheap to count - catalogs such as the product aliases.
+Sides derived from the fact table get no hint at all: counting them would run their
+plan twice, and AQE already measures their real size at runtime, broadcasting them
+below ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeping the shuffle join above.
 """
 
 from __future__ import annotations

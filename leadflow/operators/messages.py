@@ -58,16 +58,18 @@ def product_tags(messages: DataFrame, aliases: DataFrame, min_alias_len: int = 3
 
 
 def agent_codes(messages: DataFrame) -> DataFrame:
-    """(msg_id, code): every distinct agent code written in a message."""
-    return (messages.select("msg_id", F.explode(F.regexp_extract_all("text", F.lit(AGENT_CODE_PATTERN), 0))
-                            .alias("code"))
-            .distinct())
+    """(msg_id, code): every distinct agent code written in a message.
+
+    Codes are de-duplicated inside each message's array, so there is no shuffle; this
+    equals a ``distinct()`` on (msg_id, code) as long as message ids are unique."""
+    codes = F.array_distinct(F.regexp_extract_all("text", F.lit(AGENT_CODE_PATTERN), 0))
+    return messages.select("msg_id", F.explode(codes).alias("code"))
 
 
 def route(text: Column) -> Column:
     """``simple_metric`` for two words or fewer, else ``business_logic`` if any keyword is a
     substring of the lower-cased text, else ``simple_metric``."""
-    n_words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != F.lit("")))
+    n_words = F.regexp_count(text, F.lit(r"\S+"))
     t = F.lower(text)
     return (F.when(n_words <= 2, F.lit(SIMPLE))
             .when(_any_contains(t, LOGIC_KEYWORDS), F.lit(LOGIC))
@@ -83,7 +85,8 @@ def route_counts(messages: DataFrame) -> DataFrame:
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove leading and trailing white space (blank, tab, line breaks, form feeds)."""
+    return F.btrim(c, F.lit(" \t\n\r\f\u000b"))
 
 
 def rule_text(text: Column) -> Column:

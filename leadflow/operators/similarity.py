@@ -15,20 +15,32 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 
 
-def _keyed(df: DataFrame, id_cols: list[str], norm_col: str) -> DataFrame:
-    return df.select(*id_cols, F.explode(TX.blocking_keys(norm_col)).alias("bkey")).distinct()
+def _keyed(df: DataFrame, id_cols: list[str], norm_col: str, prefix: str) -> DataFrame:
+    return (df.select(*id_cols, F.explode(TX.blocking_keys(norm_col)).alias("bkey"),
+                      F.length(norm_col).alias(f"{prefix}_len"))
+            .distinct())
 
 
 def fuzzy_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
     """All pairs with ``similarity >= cutoff`` (cutoff must be 67 or more for exactness).
 
     ``queries``: (q_id, q_norm); ``pool``: (name, p_norm).  Returns
-    (q_id, q_norm, name, p_norm, score)."""
+    (q_id, q_norm, name, p_norm, score).
+
+    A pair met only through a character trigram can pass only through the character
+    score, and then its edit distance - hence its length difference - is at most
+    (1 - cutoff/100) of the longer name; that band is part of the join condition, so a
+    trigram shared by many names emits only pairs of similar length.  Word keys (the
+    token-score path) carry no band."""
     if cutoff < 67:
         raise ValueError("blocking keys are exact only for cut-offs of 67 and above")
-    qk = _keyed(queries, ["q_id", "q_norm"], "q_norm")
-    pk = _keyed(pool, ["name", "p_norm"], "p_norm")
-    pairs = qk.join(pk, "bkey").select("q_id", "q_norm", "name", "p_norm").distinct()
+    qk = _keyed(queries, ["q_id", "q_norm"], "q_norm", "q")
+    pk = _keyed(pool, ["name", "p_norm"], "p_norm", "p")
+    slack = 1.0 - float(cutoff) / 100.0
+    band = (F.abs(qk["q_len"] - pk["p_len"])
+            <= F.lit(slack) * F.greatest(qk["q_len"], pk["p_len"]) + F.lit(1e-9))
+    cond = (qk["bkey"] == pk["bkey"]) & (qk["bkey"].startswith("w:") | band)
+    pairs = qk.join(pk, cond).select("q_id", "q_norm", "name", "p_norm").distinct()
     scored = pairs.withColumn("score", TX.similarity(F.col("q_norm"), F.col("p_norm")))
     return scored.where(F.col("score") >= F.lit(float(cutoff)))
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import agents as A
 from ..operators import names as N
-from ..operators.similarity import fuzzy_pairs
 from ..functions import text as TX
 from ..sources import fixtures as fx
 from ..sources import io
@@ -114,7 +113,7 @@ def j_fuzzy_names(spark, sf):
     """Every typed name paired with every known name scoring >= 85, found by a blocked
     equi-join on trigram/word keys (no cross join; the oracle checks all pairs)."""
     q = fx.view(spark, sf, "name_queries").select("q_id", TX.norm_name("q_name").alias("q_norm"))
-    return fuzzy_pairs(q, A.name_pool(_leads(spark, sf), N.NAME_COLUMNS_8), 85.0)
+    return A.fuzzy_join(q, A.name_pool(_leads(spark, sf), N.NAME_COLUMNS_8), 85.0)
 
 
 # ---------------------------------------------------------------- 2.9 agents and status
