@@ -68,7 +68,7 @@ def _top(df: DataFrame, k: int) -> DataFrame:
 
     ``row_number() <= k`` runs as a ``WindowGroupLimit`` on both sides of the shuffle."""
     w = Window.partitionBy("q_norm").orderBy(F.col("score").desc(), F.col("name"))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(k))
+    return df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= int(k))
 
 
 def _distinct_queries(q: DataFrame) -> DataFrame:

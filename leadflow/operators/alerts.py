@@ -32,7 +32,7 @@ def next_run(frequency: Column, now) -> Column:
     """hourly: +1 h; daily: next 09:00 (today's if still ahead); weekly: next Monday 09:00
     (today's if it is Monday before 09:00); anything else: +1 day."""
     t = _ntz(now)
-    day = F.date_trunc("day", t)
+    day = F.to_date(t).cast("timestamp_ntz")           # zone-free start of day
     nine_today = day + _hours(9)
     dow = F.weekday(t)                                   # Monday = 0
     days = (F.lit(7) - dow) % F.lit(7)

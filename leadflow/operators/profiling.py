@@ -30,7 +30,7 @@ def distinct_values(df: DataFrame, cols: Sequence[str] | None = None, limit: int
     keep = long.where(F.col("value").isNotNull() & (F.col("value") != F.lit(""))
                       & (F.lower("value") != F.lit("null"))).distinct()
     w = Window.partitionBy("column_name").orderBy("value")
-    return keep.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(limit))
+    return keep.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= int(limit))
 
 
 def value_samples(df: DataFrame, cols: Sequence[str], n: int = 8) -> DataFrame:

@@ -53,7 +53,7 @@ def recent_ids_per_product(leads: DataFrame, n: int = 20) -> DataFrame:
     per = (agent_rows(leads).groupBy("investmenttypeid", "lead_agentid")
            .agg(F.max("event_date").alias("last_dt")))
     w = Window.partitionBy("investmenttypeid").orderBy(F.col("last_dt").desc_nulls_last(), F.col("lead_agentid"))
-    return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(n))
+    return per.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= int(n))
 
 
 def distinct_desc(df: DataFrame, col: Column, n: int, name: str = "value") -> DataFrame:

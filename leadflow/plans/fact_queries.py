@@ -268,7 +268,7 @@ def p_trigrams(spark, sf):
     names = _leads(spark, sf).select(F.col("leadassignedagentname").alias("name")).distinct()
     tg = TX.trigrams("name")
     return names.select("name", F.array_join(F.array_sort(tg), ",").alias("trigram_list"),
-                        F.size(tg).alias("n_trigrams"))
+                        F.size(tg).cast("bigint").alias("n_trigrams"))
 
 
 STATUS_DEFAULT_FIELDS = ("AgentName", "AgentCode", "Status", "ConnectedDials", "TotalTalkTime", "LastUpdatedOn")
