@@ -155,8 +155,8 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             path = scratch_path(spark, "fixtures", spark.sparkContext.applicationId, _digest(sf_dir), "leads")
             (build_view(spark, sf_dir, "leads")
-             .repartitionByRange("leaddate")
-             .sortWithinPartitions("leaddate")
+             .repartitionByRange("leaddate", "leadid")       # a hot date still spans many tasks
+             .sortWithinPartitions("leaddate", "leadid")
              .write.mode("overwrite").parquet(path))
             _written[key] = path
     return with_policy(spark.read.parquet(path))

@@ -162,3 +162,16 @@ def test_route_labels(spark):
                                  "msg_id long, text string")
     got = dict((r.msg_id, r.route) for r in MS.routes(msgs).collect())
     assert got == {1: "simple_metric", 2: "business_logic", 3: "business_logic"}   # 'or' inside 'workmen'
+
+
+def test_write_and_load_leads_round_trip(spark, sf, tmp_path):
+    from leadflow.sources import fixtures as fx
+    src = fx.leads(spark, sf)
+    path = str(tmp_path / "leads")
+    io.write_leads(src, path)
+    back = io.load_leads(spark, path)
+    assert back.count() == src.count()
+    meta = back.schema["customerid"].metadata
+    assert meta["masking_strategy"] == "hash" and meta["pii_level"] == "low"
+    assert back.where(W.in_window("leaddate", "last_month", dt.date(2000, 6, 14))).count() == \
+        src.where(W.in_window("leaddate", "last_month", dt.date(2000, 6, 14))).count()
