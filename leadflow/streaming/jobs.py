@@ -45,13 +45,34 @@ def status_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
     return spark.sql(VIEW_SQL["agent_status"], events=events)
 
 
+def _sub_hour_offset(zone: str) -> int:
+    """Minutes past the hour at which a zone's wall-clock hours start, in UTC terms
+    (30 for UTC+05:30, 45 for UTC+05:45, 0 for whole-hour zones)."""
+    import datetime as _dt
+    import re
+    m = re.fullmatch(r"(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?", zone.strip())
+    if m:
+        minutes = int(m.group(2)) * 60 + int(m.group(3) or 0)
+        return (minutes if m.group(1) == "+" else -minutes) % 60
+    try:
+        from zoneinfo import ZoneInfo
+        off = _dt.datetime.now(ZoneInfo(zone)).utcoffset() or _dt.timedelta(0)
+    except Exception:                                    # unknown zone id: whole hours
+        return 0
+    return int(off.total_seconds() // 60) % 60
+
+
 def hourly_metric(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Events and exact value total per tumbling hour and event type.
 
     ``withWatermark`` needs a zone-aware timestamp, so the zone-free event time is cast
-    for the aggregation and the window bounds are cast back on output."""
+    (in the session zone) for the aggregation and the window bounds are cast back on
+    output; the window start is shifted by the zone's sub-hour offset so that windows are
+    wall-clock hours in any session zone."""
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    start = f"{_sub_hour_offset(zone)} minutes"
     ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return (ev.groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+    return (ev.groupBy(F.window("ts", "1 hour", startTime=start).alias("w"), "event_type")
             .agg(F.count(F.lit(1)).alias("events"),
                  F.sum(F.col("value").cast(MONEY)).cast("double").alias("total_value")))
 

@@ -175,3 +175,10 @@ def test_write_and_load_leads_round_trip(spark, sf, tmp_path):
     assert meta["masking_strategy"] == "hash" and meta["pii_level"] == "low"
     assert back.where(W.in_window("leaddate", "last_month", dt.date(2000, 6, 14))).count() == \
         src.where(W.in_window("leaddate", "last_month", dt.date(2000, 6, 14))).count()
+
+
+@pytest.mark.parametrize("zone,minutes", [("UTC", 0), ("Asia/Kolkata", 30), ("Asia/Kathmandu", 45),
+                                          ("America/New_York", 0), ("+05:30", 30), ("-03:30", 30)])
+def test_hour_window_offset(zone, minutes):
+    from leadflow.streaming.jobs import _sub_hour_offset
+    assert _sub_hour_offset(zone) == minutes
