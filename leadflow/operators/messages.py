@@ -53,7 +53,11 @@ def product_tags(messages: DataFrame, aliases: DataFrame, min_alias_len: int = 3
           .select("product_id", F.lower("alias").alias("a"))
           .withColumn("tok", F.regexp_extract("a", r"\w+", 0)))
     pattern = F.concat(F.lit(r"\b\Q"), F.col("a"), F.lit(r"\E\b"))
-    hits = words.join(bounded_broadcast(al), "tok").where(F.regexp_like(F.col("t"), pattern))
+    # The pattern differs per alias; Spark recompiles a non-literal pattern whenever it
+    # changes from the previous row, so candidate pairs are sorted by alias inside each
+    # partition (no shuffle) and consecutive rows reuse the compiled pattern.
+    cand = words.join(bounded_broadcast(al), "tok").sortWithinPartitions("a")
+    hits = cand.where(F.regexp_like(F.col("t"), pattern))
     return hits.select("msg_id", "product_id").distinct()
 
 
@@ -66,18 +70,20 @@ def agent_codes(messages: DataFrame) -> DataFrame:
     return messages.select("msg_id", F.explode(codes).alias("code"))
 
 
-def route(text: Column) -> Column:
+def route(text: Column, lowered: Column | None = None) -> Column:
     """``simple_metric`` for two words or fewer, else ``business_logic`` if any keyword is a
-    substring of the lower-cased text, else ``simple_metric``."""
-    n_words = F.regexp_count(text, F.lit(r"\S+"))
-    t = F.lower(text)
-    return (F.when(n_words <= 2, F.lit(SIMPLE))
+    substring of the lower-cased text, else ``simple_metric``.
+
+    "More than two words" is one regex search for a third word (no array of words)."""
+    t = F.lower(text) if lowered is None else lowered
+    return (F.when(~text.rlike(r"\S+\s+\S+\s+\S"), F.lit(SIMPLE))
             .when(_any_contains(t, LOGIC_KEYWORDS), F.lit(LOGIC))
             .otherwise(F.lit(SIMPLE)))
 
 
 def routes(messages: DataFrame) -> DataFrame:
-    return messages.select("msg_id", route(F.col("text")).alias("route"))
+    m = messages.select("msg_id", "text", F.lower("text").alias("_t"))     # lower-case once
+    return m.select("msg_id", route(F.col("text"), F.col("_t")).alias("route"))
 
 
 def route_counts(messages: DataFrame) -> DataFrame:
@@ -89,10 +95,10 @@ def _strip(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\f\u000b"))
 
 
-def rule_text(text: Column) -> Column:
+def rule_text(text: Column, lowered: Column | None = None) -> Column:
     """Text after the first rule phrase present (phrases tried in order, found case-blind,
     cut from the original text, blanks stripped); NULL if no phrase occurs."""
-    low = F.lower(text)
+    low = F.lower(text) if lowered is None else lowered
     picks = []
     for phrase in RULE_PHRASES:
         pos = F.instr(low, phrase)
@@ -102,7 +108,8 @@ def rule_text(text: Column) -> Column:
 
 def rules(messages: DataFrame) -> DataFrame:
     """(msg_id, user_id, rule_text) for messages carrying a non-empty rule."""
-    r = messages.select("msg_id", "user_id", rule_text(F.col("text")).alias("rule_text"))
+    m = messages.select("msg_id", "user_id", "text", F.lower("text").alias("_t"))
+    r = m.select("msg_id", "user_id", rule_text(F.col("text"), F.col("_t")).alias("rule_text"))
     return r.where(F.col("rule_text").isNotNull() & (F.col("rule_text") != F.lit("")))
 
 
