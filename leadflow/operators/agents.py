@@ -85,27 +85,29 @@ def fuzzy_join(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
         "q_id", "q_norm", "name", "p_norm", "score")
 
 
-def newest_codes(leads: DataFrame, names: DataFrame, cols: Sequence[str] = N.NAME_COLUMNS_6,
-                 products: Sequence[int] | None = None) -> DataFrame:
-    """(name, lead_agentid, last_dt): the newest agent id of rows naming each ``name``
-    (lower-cased equality against any of ``cols``).
-
-    The names are joined to the unpivoted rows on the lower-cased name (equi-join), then
-    a ``min_by`` aggregate keeps the newest id; the aggregate is partial per task, so a
-    name held by a third of all rows is still combined map-side.  ``names`` is usually
-    derived (e.g. the best candidates), so no hint is given: AQE measures its real size
-    at runtime and broadcasts it when small, else keeps the shuffle join (with
-    skew-join splitting for a hot name)."""
+def codes_by_name(leads: DataFrame, cols: Sequence[str] = N.NAME_COLUMNS_6,
+                  products: Sequence[int] | None = None) -> DataFrame:
+    """(lname, lead_agentid, last_dt): newest agent id per lower-cased name.
+
+    Pre-aggregated before the shuffle: the unpivoted rows (one per row and name column)
+    are reduced map-side to one row per name per task by a partial ``min_by``, so only
+    distinct names travel - however many rows a hot name holds."""
     base = _agent_base(leads, cols)
     if products:
         base = base.where(P.product_in(products))
     long = N.unpivot_names(base, cols, ids=("lead_agentid", "event_date")).select(
         F.lower("name").alias("lname"), "lead_agentid", "event_date")
-    wanted = names.select("name", F.lower("name").alias("lname"))
-    hits = long.join(wanted, "lname")
-    return (hits.groupBy("name").agg(
+    return long.groupBy("lname").agg(
         F.min_by("lead_agentid", newest_key(F.col("event_date"), F.col("lead_agentid"))).alias("lead_agentid"),
-        F.max("event_date").alias("last_dt")))
+        F.max("event_date").alias("last_dt"))
+
+
+def newest_codes(leads: DataFrame, names: DataFrame, cols: Sequence[str] = N.NAME_COLUMNS_6,
+                 products: Sequence[int] | None = None) -> DataFrame:
+    """(name, lead_agentid, last_dt): the newest agent id of rows naming each ``name``
+    (lower-cased equality against any of ``cols``); names never seen drop out."""
+    wanted = names.select("name", F.lower("name").alias("lname"))
+    return wanted.join(codes_by_name(leads, cols, products), "lname").select("name", "lead_agentid", "last_dt")
 
 
 def candidates(leads: DataFrame, queries: DataFrame, products: Sequence[int] | None = None,
@@ -116,9 +118,9 @@ def candidates(leads: DataFrame, queries: DataFrame, products: Sequence[int] | N
     pool = name_pool(leads, N.NAME_COLUMNS_6)
     pairs = (fuzzy_pairs(_distinct_queries(q), pool, cutoff)
              .where(single_word_guard() & trigram_guard()))
-    top = _top(pairs, k).drop("q_id")
-    codes = newest_codes(leads, top.select("name").distinct(), N.NAME_COLUMNS_6, products)
-    return (q.join(top.join(codes, "name"), "q_norm")
+    top = _top(pairs, k).drop("q_id").withColumn("lname", F.lower("name"))
+    best = top.join(codes_by_name(leads, N.NAME_COLUMNS_6, products), "lname")
+    return (q.join(best, "q_norm")
             .select("q_id", "q_name", "name", "score", "rank", "lead_agentid"))
 
 

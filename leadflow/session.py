@@ -40,6 +40,29 @@ def build_session(master: str | None = None, app_name: str = "leadflow",
     return spark
 
 
+def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of Parquet.
+
+    * scans: one split per ``target_partition_bytes`` (``spark.sql.files.maxPartitionBytes``);
+    * shuffles: start with enough partitions that each holds about 128 MB of the largest
+      shuffle (taken as the input size, an upper bound for these plans), at least 3 per
+      core; AQE then coalesces small ones and splits skewed ones at runtime.
+    At 100 TB on 1000 executors x 8 cores this gives ~800k initial shuffle partitions,
+    capped here at 200k; AQE coalesces to ~128 MB each.
+    """
+    shuffle = max(3 * total_cores, min(200_000, input_bytes // (128 << 20)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and stream checkpoints.
 
