@@ -1,6 +1,7 @@
 """Join helpers.
 
-``bounded_broadcast`` is the only way the library asks for a broadcast: it checks the
+Apart from results that hold one row by construction (``limit(1)``), ``bounded_broadcast``
+is the only way the library asks for a broadcast: it checks the
 row count of the small side (a ``limit(n + 1).count()`` job that stops early) and only
 then adds the hint; above the bound the side is left to the planner (shuffle join).
 It is used for sides that are cheap to count - catalogs such as the product aliases.
