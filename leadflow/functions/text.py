@@ -1,4 +1,4 @@
-"""Name normalisation, trigrams, similarity score and blocking keys.
+"""Name normalisation, trigrams, similarity score and similarity-join tokens.
 
 Similarity (the source system used a fuzzy-matching library that is not available
 here; this is our own score with the same cut-offs, it is *not* equal to that
@@ -52,23 +52,32 @@ def token_score(a_words, b_words) -> Column:
         F.lit(100.0) * F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def similarity(a_norm, b_norm) -> Column:
-    """Score in [0, 100] of two normalised names."""
-    return F.greatest(char_score(a_norm, b_norm), token_score(words(a_norm), words(b_norm)))
+def similarity(a_norm, b_norm, a_words=None, b_words=None) -> Column:
+    """Score in [0, 100] of two normalised names.
 
+    Pass ``a_words`` / ``b_words`` as columns already holding ``words(...)`` to avoid
+    deriving the word arrays again at each of their uses."""
+    aw = words(a_norm) if a_words is None else _c(a_words)
+    bw = words(b_norm) if b_words is None else _c(b_words)
+    return F.greatest(char_score(a_norm, b_norm), token_score(aw, bw))
 
-def blocking_keys(norm_col) -> Column:
-    """Keys such that any two names scoring 67 or more share at least one key.
 
-    * padded character trigrams of the normalised name ('##' + name + '##'): if the
-      longer name has length L and the edit distance is d, the two share at least
-      L + 2 - 3d trigrams (each edit touches at most three), which is positive whenever
-      char_score >= 67 (then 3d <= 0.99 L);
-    * every whole word: a positive token score needs a shared word.
-    So an equi-join on these keys finds every pair a cut-off of 85 or 88 can accept,
-    without comparing all pairs.
-    """
+def padded_grams(norm_col) -> Column:
+    """Padded character trigrams ('##' + name + '##') in order, repeats kept."""
     s = F.concat(F.lit("##"), _c(norm_col), F.lit("##"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.concat(F.lit("g:"), F.substring(s, i, 3)))
-    wk = F.transform(words(norm_col), lambda w: F.concat(F.lit("w:"), w))
-    return F.array_distinct(F.concat(grams, wk))
+    return F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, 3))
+
+
+def numbered_grams(grams_col) -> Column:
+    """``g:abc#1``, ``g:abc#2`` ...: trigrams numbered by occurrence, so the multiset of
+    trigrams becomes a set whose intersection size equals the multiset intersection (the
+    count lemma is about multisets).  ``grams_col`` must be a column holding the output of
+    ``padded_grams`` (not the expression itself, which lambdas would re-evaluate)."""
+    g = _c(grams_col)
+    return F.transform(g, lambda x, i: F.concat(
+        F.lit("g:"), x, F.lit("#"),
+        F.size(F.filter(F.slice(g, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def word_tokens(norm_col) -> Column:
+    return F.transform(words(norm_col), lambda w: F.concat(F.lit("w:"), w))

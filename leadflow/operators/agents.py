@@ -17,7 +17,7 @@ from ..functions import text as TX
 from ..functions import windows as W
 from ..functions.metrics import ISSUED
 from . import names as N
-from .similarity import fuzzy_pairs, single_word_guard, trigram_guard
+from .similarity import fuzzy_pairs, single_word_guard, trigram_guard, with_guard_columns
 from .topk import newest_key
 
 # Statuses that count as "active now" when no status is asked for.
@@ -116,8 +116,9 @@ def candidates(leads: DataFrame, queries: DataFrame, products: Sequence[int] | N
     its newest agent id; names without an id drop out.  ``queries``: (q_id, q_name)."""
     q = queries.select("q_id", "q_name", TX.norm_name("q_name").alias("q_norm"))
     pool = name_pool(leads, N.NAME_COLUMNS_6)
-    pairs = (fuzzy_pairs(_distinct_queries(q), pool, cutoff)
-             .where(single_word_guard() & trigram_guard()))
+    pairs = (with_guard_columns(fuzzy_pairs(_distinct_queries(q), pool, cutoff))
+             .where(single_word_guard() & trigram_guard())
+             .select("q_id", "q_norm", "name", "p_norm", "score"))
     top = _top(pairs, k).drop("q_id").withColumn("lname", F.lower("name"))
     best = top.join(codes_by_name(leads, N.NAME_COLUMNS_6, products), "lname")
     return (q.join(best, "q_norm")
@@ -130,7 +131,8 @@ def suggest(leads: DataFrame, queries: DataFrame, k: int = 5, cutoff: float = 85
     The query is only lower-cased and trimmed (not blank-collapsed), as in the source."""
     q = queries.select("q_id", "q_name", F.trim(F.lower("q_name")).alias("q_norm"))
     pool = name_pool(leads, N.NAME_COLUMNS_8)
-    pairs = fuzzy_pairs(_distinct_queries(q), pool, cutoff).where(trigram_guard())
+    pairs = (with_guard_columns(fuzzy_pairs(_distinct_queries(q), pool, cutoff)).where(trigram_guard())
+             .select("q_id", "q_norm", "name", "p_norm", "score"))
     return (q.join(_top(pairs, k).drop("q_id"), "q_norm")
             .select("q_id", "q_name", "name", "score", "rank"))
 

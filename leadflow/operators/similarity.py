@@ -1,61 +1,114 @@
-"""Fuzzy name matching as a blocked equi-join.
+"""Fuzzy name matching as an exact, prefix-filtered similarity join.
 
-Every query name and every pool name is turned into blocking keys (padded character
-trigrams and whole words, see ``functions.text.blocking_keys``).  Exploding the keys
-and joining on them yields each (query, pool name) pair that could reach the cut-off,
-exactly once after de-duplication, without a cross join and without capping the pool.
-The exact score is then computed on the surviving pairs only.
+Score (see ``functions.text``): greatest(character score, token score) >= cutoff.
+A pair can pass in two ways, and each has a classic filter with a proof of exactness:
+
+* character path - ``100 * (1 - d / L) >= c`` with L the longer length, so the edit
+  distance d is at most ``slack * L`` (slack = 1 - c/100) and the lengths differ by at most
+  d.  Two strings within distance d share at least ``L + 2 - 3d`` padded trigrams (counted
+  with multiplicity: each edit touches at most three).  By the prefix-filter lemma, with all
+  trigrams in one global order, two sets sharing >= a elements meet within their first
+  ``|set| - a + 1`` elements, which is at most ``3 * floor(slack * len / (1 - slack)) + 1``
+  for a string of length ``len``.
+* token path - containment (the words of one name all in the other) or word Jaccard >= c/100.
+  Containment means the contained name's rarest word is in the other name; Jaccard >= t means
+  the two ``|W| - ceil(t |W|) + 1`` rarest-word prefixes meet.
+
+Tokens are ordered rare-first by their frequency over both inputs, so a token shared by
+many strings (a common word, the trigram '##r') is almost never in a prefix: each string
+joins on a handful of rare tokens, and no group emits all its pairs.  The exact score is
+computed only on the surviving candidate pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
 
+EPS = 1e-9
+
+
+def _tokens(df: DataFrame, id_col: str, norm_col: str) -> DataFrame:
+    base = df.select(F.col(id_col).alias("id"), F.col(norm_col).alias("s"),
+                     TX.padded_grams(F.col(norm_col)).alias("grams"))
+    toks = F.concat(TX.numbered_grams("grams"), TX.word_tokens("s"))
+    return (base.select("id", "s", F.length("s").alias("len"), F.explode(toks).alias("tok"))
+            .withColumn("kind", F.substring("tok", 1, 1)))
+
 
-def _keyed(df: DataFrame, id_cols: list[str], norm_col: str, prefix: str) -> DataFrame:
-    return (df.select(*id_cols, F.explode(TX.blocking_keys(norm_col)).alias("bkey"),
-                      F.length(norm_col).alias(f"{prefix}_len"))
-            .distinct())
+def _roles(tokens: DataFrame, freq: DataFrame, side: str, grow: float, t: float) -> DataFrame:
+    """Each token row tagged with the join roles it plays; one row per (token, role).
+
+    A: query's rarest word  <-> any word of the name       (query contained in the name)
+    B: any word of the query <-> name's rarest word        (name contained in the query)
+    C: Jaccard prefix words on both sides
+    D: trigram prefixes on both sides (with the length band in the join condition)
+    Ranks follow the global rare-first order (frequency, then token)."""
+    w = Window.partitionBy("id", "kind")
+    r = (tokens.join(freq, "tok")
+         .withColumn("rk", F.row_number().over(w.orderBy("n", "tok")))
+         .withColumn("n_kind", F.count(F.lit(1)).over(w)))
+    is_w, is_g = F.col("kind") == "w", F.col("kind") == "g"
+    first = is_w & (F.col("rk") == 1)
+    jpref = is_w & (F.col("rk") <= F.col("n_kind") - F.ceil(F.col("n_kind") * F.lit(t) - F.lit(EPS)) + 1)
+    gpref = is_g & (F.col("rk") <= F.floor(F.col("len") * F.lit(grow) + F.lit(EPS)) * 3 + 1)
+    a, b = (first, is_w) if side == "q" else (is_w, first)
+    roles = F.array(F.when(a, F.lit("A")), F.when(b, F.lit("B")), F.when(jpref, F.lit("C")), F.when(gpref, F.lit("D")))
+    return r.select(F.col("tok"), F.col("id").alias(f"{side}_id"), F.col("s").alias(f"{side}_s"),
+                    F.col("len").alias(f"{side}_len"),
+                    F.explode(F.filter(roles, lambda x: x.isNotNull())).alias("role"))
 
 
 def fuzzy_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
-    """All pairs with ``similarity >= cutoff`` (cutoff must be 67 or more for exactness).
+    """All pairs with ``similarity >= cutoff``.
 
+    The character-path bound needs ``L + 2 - 3d >= 1``, which holds for every accepted
+    pair when cutoff >= 67 (slack <= 1/3); lower cut-offs are refused.
     ``queries``: (q_id, q_norm); ``pool``: (name, p_norm).  Returns
-    (q_id, q_norm, name, p_norm, score).
-
-    A pair met only through a character trigram can pass only through the character
-    score, and then its edit distance - hence its length difference - is at most
-    (1 - cutoff/100) of the longer name; that band is part of the join condition, so a
-    trigram shared by many names emits only pairs of similar length.  Word keys (the
-    token-score path) carry no band."""
-    if cutoff < 67:
-        raise ValueError("blocking keys are exact only for cut-offs of 67 and above")
-    qk = _keyed(queries, ["q_id", "q_norm"], "q_norm", "q")
-    pk = _keyed(pool, ["name", "p_norm"], "p_norm", "p")
+    (q_id, q_norm, name, p_norm, score)."""
+    if not 67 <= cutoff <= 100:
+        raise ValueError("the prefix filter is exact for cut-offs from 67 to 100")
     slack = 1.0 - float(cutoff) / 100.0
-    band = (F.abs(qk["q_len"] - pk["p_len"])
-            <= F.lit(slack) * F.greatest(qk["q_len"], pk["p_len"]) + F.lit(1e-9))
-    cond = (qk["bkey"] == pk["bkey"]) & (qk["bkey"].startswith("w:") | band)
-    pairs = qk.join(pk, cond).select("q_id", "q_norm", "name", "p_norm").distinct()
-    scored = pairs.withColumn("score", TX.similarity(F.col("q_norm"), F.col("p_norm")))
+    grow = slack / (1.0 - slack)
+    t = float(cutoff) / 100.0
+
+    qt = _tokens(queries, "q_id", "q_norm")
+    pt = _tokens(pool, "name", "p_norm")
+    # Global token frequencies (partial aggregation; one row per distinct token).
+    freq = qt.select("tok").unionByName(pt.select("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    q = _roles(qt, freq, "q", grow, t)
+    p = _roles(pt, freq, "p", grow, t)
+    band = F.abs(q["q_len"] - p["p_len"]) <= F.lit(slack) * F.greatest(q["q_len"], p["p_len"]) + F.lit(EPS)
+    cond = (q["tok"] == p["tok"]) & (q["role"] == p["role"]) & ((q["role"] != F.lit("D")) | band)
+    pairs = (q.join(p, cond)
+             .select(F.col("q_id"), F.col("q_s").alias("q_norm"), F.col("p_id").alias("name"),
+                     F.col("p_s").alias("p_norm"))
+             .distinct())
+    with_words = pairs.select("*", TX.words("q_norm").alias("_qw"), TX.words("p_norm").alias("_pw"))
+    scored = with_words.select("q_id", "q_norm", "name", "p_norm",
+                               TX.similarity("q_norm", "p_norm", "_qw", "_pw").alias("score"))
     return scored.where(F.col("score") >= F.lit(float(cutoff)))
 
 
+def with_guard_columns(pairs: DataFrame) -> DataFrame:
+    """Adds the trigram and word arrays the guards read, computed once per pair."""
+    return pairs.select("*", TX.trigrams("q_norm").alias("_qtri"), TX.trigrams("p_norm").alias("_ptri"),
+                        TX.words("q_norm").alias("_qwords"))
+
+
 def trigram_guard(q_norm: str = "q_norm", p_norm: str = "p_norm"):
-    """Queries of 5+ letters whose first letter differs from the name's need a shared trigram."""
+    """Queries of 5+ letters whose first letter differs from the name's need a shared trigram.
+    Reads the ``_qtri`` / ``_ptri`` columns of ``with_guard_columns``."""
     q, p = F.col(q_norm), F.col(p_norm)
-    qt = TX.trigrams(q)
+    qt, pt = F.col("_qtri"), F.col("_ptri")
     needs = (F.length(q) >= 5) & (F.substring(p, 1, 1) != F.substring(q, 1, 1))
-    shares = (F.size(qt) > 0) & (F.size(F.array_intersect(qt, TX.trigrams(p))) > 0)
+    shares = (F.size(qt) > 0) & (F.size(F.array_intersect(qt, pt)) > 0)
     return ~needs | shares
 
 
 def single_word_guard(q_norm: str = "q_norm", p_norm: str = "p_norm"):
-    """A one-word query must be contained in the name."""
+    """A one-word query must be contained in the name.  Reads ``_qwords``."""
     q, p = F.col(q_norm), F.col(p_norm)
-    one_word = F.size(TX.words(q)) == 1
-    return ~one_word | p.contains(q)
+    return (F.size(F.col("_qwords")) != 1) | p.contains(q)

@@ -110,8 +110,8 @@ SELECT q_id, q_norm, name, p_norm, score FROM (
 WHERE score >= 85
 """)
 def j_fuzzy_names(spark, sf):
-    """Every typed name paired with every known name scoring >= 85, found by a blocked
-    equi-join on trigram/word keys (no cross join; the oracle checks all pairs)."""
+    """Every typed name paired with every known name scoring >= 85, found by a prefix-filtered
+    equi-join on rare trigram/word tokens (no cross join; the oracle checks all pairs)."""
     q = fx.view(spark, sf, "name_queries").select("q_id", TX.norm_name("q_name").alias("q_norm"))
     return A.fuzzy_join(q, A.name_pool(_leads(spark, sf), N.NAME_COLUMNS_8), 85.0)
 

@@ -1,7 +1,8 @@
-"""The blocked similarity join finds exactly the pairs a brute-force comparison finds."""
+"""The prefix-filtered similarity join finds exactly the pairs a brute-force comparison finds."""
 
 import itertools
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,17 +10,28 @@ from pyspark.sql import functions as F
 from leadflow.functions import text as TX
 from leadflow.operators.similarity import fuzzy_pairs
 
-WORDS = ["al", "ram", "kumar", "singh", "red", "gear", "gears", "x", "ana", "anna", "bo"]
-name = st.lists(st.sampled_from(WORDS), min_size=1, max_size=3).map(" ".join)
+WORDS = ["al", "ram", "kumar", "singh", "red", "gear", "gears", "x", "ana", "anna", "banana", "bo", "aaaa"]
+name = st.lists(st.sampled_from(WORDS), min_size=1, max_size=4).map(" ".join)
+
+
+def _brute(spark, queries, pool, cutoff):
+    allp = spark.createDataFrame([(i, a, b) for (i, a), b in itertools.product(enumerate(queries), pool)],
+                                 "q_id long, q_norm string, name string")
+    return {(r.q_id, r.name) for r in allp.where(TX.similarity(F.col("q_norm"), F.col("name")) >= cutoff).collect()}
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(name, min_size=1, max_size=6, unique=True), st.lists(name, min_size=1, max_size=8, unique=True))
-def test_blocking_is_exact(spark, queries, pool):
+@given(st.lists(name, min_size=1, max_size=6, unique=True), st.lists(name, min_size=1, max_size=8, unique=True),
+       st.sampled_from([85.0, 88.0, 67.0]))
+def test_prefix_filter_is_exact(spark, queries, pool, cutoff):
     q = spark.createDataFrame(list(enumerate(queries)), "q_id long, q_norm string")
     p = spark.createDataFrame([(n, n) for n in pool], "name string, p_norm string")
-    got = {(r.q_id, r.name) for r in fuzzy_pairs(q, p, 85.0).collect()}
-    allp = spark.createDataFrame([(i, a, b) for (i, a), b in itertools.product(enumerate(queries), pool)],
-                                 "q_id long, q_norm string, name string")
-    brute = allp.where(TX.similarity(F.col("q_norm"), F.col("name")) >= 85.0)
-    assert got == {(r.q_id, r.name) for r in brute.collect()}
+    got = {(r.q_id, r.name) for r in fuzzy_pairs(q, p, cutoff).collect()}
+    assert got == _brute(spark, queries, pool, cutoff)
+
+
+def test_low_cutoff_refused(spark):
+    q = spark.createDataFrame([(1, "a")], "q_id long, q_norm string")
+    p = spark.createDataFrame([("a", "a")], "name string, p_norm string")
+    with pytest.raises(ValueError):
+        fuzzy_pairs(q, p, 50.0)
