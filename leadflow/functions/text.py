@@ -25,13 +25,15 @@ def norm_name(col) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(col)), r"\s+", " "))
 
 
+# Every overlapping 3-character slice: a zero-width lookahead match at each position
+# captures the next three characters (one regex pass, no per-element lambda).
+_TRIGRAM_RE = "(?s)(?=(.{3}))"
+
+
 def trigrams(col) -> Column:
     """Distinct 3-letter slices of the lower-cased text with blanks removed."""
     s = F.replace(F.lower(_c(col)), F.lit(" "), F.lit(""))
-    n = F.length(s)
-    return F.when(n >= 3, F.array_distinct(
-        F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(s, i, 3)))
-    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(_TRIGRAM_RE), 1))
 
 
 def words(col) -> Column:
@@ -65,7 +67,7 @@ def similarity(a_norm, b_norm, a_words=None, b_words=None) -> Column:
 def padded_grams(norm_col) -> Column:
     """Padded character trigrams ('##' + name + '##') in order, repeats kept."""
     s = F.concat(F.lit("##"), _c(norm_col), F.lit("##"))
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, 3))
+    return F.regexp_extract_all(s, F.lit(_TRIGRAM_RE), 1)
 
 
 def numbered_grams(grams_col) -> Column:
