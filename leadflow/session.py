@@ -66,20 +66,36 @@ def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and stream checkpoints.
 
-    Read from the session; set to a private temporary folder only if the session
-    has none (tests and local runs)."""
+    Read from the session (``spark.checkpoint.dir``, else the context's checkpoint
+    folder); set to a private temporary folder only if the session has none (tests and
+    local runs)."""
     value = spark.conf.get(CHECKPOINT_KEY, None)
     if not value:
-        sc_dir = spark.sparkContext.getCheckpointDir()
-        value = sc_dir if sc_dir else None
+        try:
+            value = spark.sparkContext.getCheckpointDir()
+        except Exception:                                # no JVM context (e.g. a remote session)
+            value = None
     if not value:
         value = tempfile.mkdtemp(prefix="leadflow-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, value)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(value)
+    try:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(value)
+    except Exception:
+        pass
     return value.rstrip("/")
 
 
+def application_id(spark: SparkSession) -> str:
+    value = spark.conf.get("spark.app.id", None)
+    if value:
+        return value
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return "app"
+
+
 def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A path below the checkpoint folder; ``unique`` adds a fresh component."""
     pieces = [checkpoint_dir(spark), "leadflow", *parts]

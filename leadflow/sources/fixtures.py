@@ -22,7 +22,9 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
+from pyspark.errors import AnalysisException
+
+from ..session import application_id, scratch_path
 from .schema import with_policy
 
 # Fixed clock of the fixtures: "today" for time windows and "now" for the alert jobs.
@@ -147,19 +149,31 @@ def _digest(sf_dir: str) -> str:
     return hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
 
 
+def _write_leads(spark: SparkSession, sf_dir: str, path: str) -> None:
+    (build_view(spark, sf_dir, "leads")
+     .repartitionByRange("leaddate", "leadid")       # a hot date still spans many tasks
+     .sortWithinPartitions("leaddate", "leadid")
+     .write.mode("overwrite").parquet(path))
+
+
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact view, written once per application and read back as Parquet."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    """The fact view, written once per application and read back as Parquet.
+
+    If the written table has gone (a cleaned scratch folder), it is written again."""
+    app = application_id(spark)
+    key = (app, os.path.abspath(sf_dir))
     with _lock:
         path = _written.get(key)
         if path is None:
-            path = scratch_path(spark, "fixtures", spark.sparkContext.applicationId, _digest(sf_dir), "leads")
-            (build_view(spark, sf_dir, "leads")
-             .repartitionByRange("leaddate", "leadid")       # a hot date still spans many tasks
-             .sortWithinPartitions("leaddate", "leadid")
-             .write.mode("overwrite").parquet(path))
+            path = scratch_path(spark, "fixtures", app, _digest(sf_dir), "leads")
+            _write_leads(spark, sf_dir, path)
             _written[key] = path
-    return with_policy(spark.read.parquet(path))
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:
+            _write_leads(spark, sf_dir, path)
+            df = spark.read.parquet(path)
+    return with_policy(df)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
