@@ -43,3 +43,15 @@ def test_projection_pruned(spark, sf):
 def test_similarity_join_is_equi_join(spark, sf):
     p = plan(E.queries()["j_fuzzy_names"](spark, sf))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_hot_names_pre_aggregated_before_shuffle(spark, sf):
+    p = plan(E.queries()["j_names_to_codes"](spark, sf))
+    partial = [m.start() for m in re.finditer(r"partial_min_by", p)]
+    assert partial, "newest code per name must be aggregated map-side"
+
+
+def test_similarity_join_has_no_pairwise_group_expansion(spark, sf):
+    p = plan(E.queries()["a_candidates"](spark, sf))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"):
+        assert bad not in p
