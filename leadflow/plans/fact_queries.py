@@ -70,7 +70,7 @@ def _fake_place_sql(col: str) -> str:
 
 @register("scan_leads", oracle=LEADS + "SELECT * FROM leads")
 def scan_leads(spark, sf):
-    """Read the whole fact table (declared schema, masking metadata attached)."""
+    """Read the whole fact table (the written fact view, masking metadata attached)."""
     return _leads(spark, sf)
 
 

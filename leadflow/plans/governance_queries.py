@@ -63,7 +63,7 @@ def k_redact(spark, sf):
 @register("k_fake", oracle=LEADS + "SELECT leadid, " + ", ".join(
     f"{_fake_sql(c, c == 'leaddate')} AS {c}" for c in FAKE_COLS) + " FROM leads")
 def k_fake(spark, sf):
-    """Stand-in values by column name (name / place / word), stable per value; dates become NULL."""
+    """Stand-in values by column name (person names, places), stable per value; dates become NULL."""
     df = _leads(spark, sf)
     return df.select("leadid", *[MK.fake(c, df.schema[c].dataType).alias(c) for c in FAKE_COLS])
 
