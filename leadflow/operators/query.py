@@ -107,8 +107,9 @@ def axis_trend(leads: DataFrame, metrics: Sequence[str], grain: str = "month", *
     """Each metric bucketed on its own date axis, lined up on the bucket.
 
     ``leads`` counts by lead date and ``bookings`` by booking date.  Instead of two
-    aggregations and a join, every lead row is expanded once per axis (one scan, an
-    ``Expand`` node) and a single aggregation keyed by the bucket produces all columns.
+    aggregations and a join, every lead row is emitted once per axis (one scan; a
+    ``Generate`` over a two-element array) and a single aggregation keyed by the bucket
+    produces all columns.
     """
     names = M.resolve(metrics)
     axes = sorted({M.date_axis([m]) for m in names})
