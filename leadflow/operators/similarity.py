@@ -76,8 +76,11 @@ def fuzzy_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame
 
     qt = _tokens(queries, "q_id", "q_norm")
     pt = _tokens(pool, "name", "p_norm")
-    # Global token frequencies (partial aggregation; one row per distinct token).
-    freq = qt.select("tok").unionByName(pt.select("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    # Token frequencies over the pool (partial aggregation; one row per distinct token) give
+    # the global order.  Query tokens the pool lacks drop out in the inner join: they can
+    # never be shared, so overlaps are unchanged and the prefixes below stay supersets of
+    # the ones the lemmas require.
+    freq = pt.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     q = _roles(qt, freq, "q", grow, t)
     p = _roles(pt, freq, "p", grow, t)
     band = F.abs(q["q_len"] - p["p_len"]) <= F.lit(slack) * F.greatest(q["q_len"], p["p_len"]) + F.lit(EPS)

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,10 +11,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from leadflow.session import build_session
-    ckpt = tempfile.mkdtemp(prefix="leadflow-test-ckpt-")
+    from leadflow.session import build_session, checkpoint_dir
     s = build_session(master="local[4]", shuffle_partitions=8, app_name="leadflow-tests",
-                      extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
+                      extra={"spark.driver.memory": "4g"})
+    checkpoint_dir(s)          # the session's spark.checkpoint.dir, or a private folder if unset
     yield s
     s.stop()
 
