@@ -31,11 +31,16 @@ EPS = 1e-9
 
 
 def _tokens(df: DataFrame, id_col: str, norm_col: str) -> DataFrame:
+    """(id, s, len, n_all, kind, tok): every token of every string; ``n_all`` is the
+    string's number of tokens of that kind before any are dropped."""
     base = df.select(F.col(id_col).alias("id"), F.col(norm_col).alias("s"),
-                     TX.padded_grams(F.col(norm_col)).alias("grams"))
-    toks = F.concat(TX.numbered_grams("grams"), TX.word_tokens("s"))
-    return (base.select("id", "s", F.length("s").alias("len"), F.explode(toks).alias("tok"))
-            .withColumn("kind", F.substring("tok", 1, 1)))
+                     TX.padded_grams(F.col(norm_col)).alias("grams"), TX.word_tokens(F.col(norm_col)).alias("wt"))
+    toks = F.concat(TX.numbered_grams("grams"), F.col("wt"))
+    return (base.select("id", "s", F.length("s").alias("len"), F.size("grams").alias("n_g"),
+                        F.size("wt").alias("n_w"), F.explode(toks).alias("tok"))
+            .withColumn("kind", F.substring("tok", 1, 1))
+            .withColumn("n_all", F.when(F.col("kind") == "g", F.col("n_g")).otherwise(F.col("n_w")))
+            .drop("n_g", "n_w"))
 
 
 def _roles(tokens: DataFrame, freq: DataFrame, side: str, grow: float, t: float) -> DataFrame:
@@ -45,29 +50,33 @@ def _roles(tokens: DataFrame, freq: DataFrame, side: str, grow: float, t: float)
     B: any word of the query <-> name's rarest word        (name contained in the query)
     C: Jaccard prefix words on both sides
     D: trigram prefixes on both sides (with the length band in the join condition)
-    Ranks follow the global rare-first order (frequency, then token)."""
+    Ranks follow the global rare-first order (frequency, then token).  Tokens missing from
+    ``freq`` (a query token no name has) drop out; ``dropped`` counts them, and since they
+    can never be shared every bound below is reduced by it: a query with a dropped word
+    cannot be contained in any name (no role A), and its prefixes shrink accordingly."""
     w = Window.partitionBy("id", "kind")
     r = (tokens.join(freq, "tok")
          .withColumn("rk", F.row_number().over(w.orderBy("n", "tok")))
-         .withColumn("n_kind", F.count(F.lit(1)).over(w)))
+         .withColumn("dropped", F.col("n_all") - F.count(F.lit(1)).over(w)))
     is_w, is_g = F.col("kind") == "w", F.col("kind") == "g"
-    first = is_w & (F.col("rk") == 1)
-    jpref = is_w & (F.col("rk") <= F.col("n_kind") - F.ceil(F.col("n_kind") * F.lit(t) - F.lit(EPS)) + 1)
-    gpref = is_g & (F.col("rk") <= F.floor(F.col("len") * F.lit(grow) + F.lit(EPS)) * 3 + 1)
-    a, b = (first, is_w) if side == "q" else (is_w, first)
+    rk, n_all, dropped = F.col("rk"), F.col("n_all"), F.col("dropped")
+    first = is_w & (rk == 1)
+    whole_first = first & (dropped == 0)
+    jpref = is_w & (rk <= n_all - F.ceil(n_all * F.lit(t) - F.lit(EPS)) + 1 - dropped)
+    gpref = is_g & (rk <= F.floor(F.col("len") * F.lit(grow) + F.lit(EPS)) * 3 + 1 - dropped)
+    a, b = (whole_first, is_w) if side == "q" else (is_w, first)
     roles = F.array(F.when(a, F.lit("A")), F.when(b, F.lit("B")), F.when(jpref, F.lit("C")), F.when(gpref, F.lit("D")))
     return r.select(F.col("tok"), F.col("id").alias(f"{side}_id"), F.col("s").alias(f"{side}_s"),
                     F.col("len").alias(f"{side}_len"),
                     F.explode(F.filter(roles, lambda x: x.isNotNull())).alias("role"))
 
 
-def fuzzy_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
-    """All pairs with ``similarity >= cutoff``.
+def candidate_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
+    """Distinct (q_id, q_norm, name, p_norm) pairs that survive the prefix filters: a
+    superset of the pairs scoring >= cutoff (cutoff from 67 to 100).
 
     The character-path bound needs ``L + 2 - 3d >= 1``, which holds for every accepted
-    pair when cutoff >= 67 (slack <= 1/3); lower cut-offs are refused.
-    ``queries``: (q_id, q_norm); ``pool``: (name, p_norm).  Returns
-    (q_id, q_norm, name, p_norm, score)."""
+    pair when cutoff >= 67 (slack <= 1/3); lower cut-offs are refused."""
     if not 67 <= cutoff <= 100:
         raise ValueError("the prefix filter is exact for cut-offs from 67 to 100")
     slack = 1.0 - float(cutoff) / 100.0
@@ -77,18 +86,24 @@ def fuzzy_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame
     qt = _tokens(queries, "q_id", "q_norm")
     pt = _tokens(pool, "name", "p_norm")
     # Token frequencies over the pool (partial aggregation; one row per distinct token) give
-    # the global order.  Query tokens the pool lacks drop out in the inner join: they can
-    # never be shared, so overlaps are unchanged and the prefixes below stay supersets of
-    # the ones the lemmas require.
+    # the global order; query tokens the pool lacks drop out in the inner join of _roles.
     freq = pt.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     q = _roles(qt, freq, "q", grow, t)
     p = _roles(pt, freq, "p", grow, t)
     band = F.abs(q["q_len"] - p["p_len"]) <= F.lit(slack) * F.greatest(q["q_len"], p["p_len"]) + F.lit(EPS)
     cond = (q["tok"] == p["tok"]) & (q["role"] == p["role"]) & ((q["role"] != F.lit("D")) | band)
-    pairs = (q.join(p, cond)
-             .select(F.col("q_id"), F.col("q_s").alias("q_norm"), F.col("p_id").alias("name"),
-                     F.col("p_s").alias("p_norm"))
-             .distinct())
+    return (q.join(p, cond)
+            .select(F.col("q_id"), F.col("q_s").alias("q_norm"), F.col("p_id").alias("name"),
+                    F.col("p_s").alias("p_norm"))
+            .distinct())
+
+
+def fuzzy_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
+    """All pairs with ``similarity >= cutoff`` (cutoff from 67 to 100).
+
+    ``queries``: (q_id, q_norm); ``pool``: (name, p_norm).  Returns
+    (q_id, q_norm, name, p_norm, score)."""
+    pairs = candidate_pairs(queries, pool, cutoff)
     with_words = pairs.select("*", TX.words("q_norm").alias("_qw"), TX.words("p_norm").alias("_pw"))
     scored = with_words.select("q_id", "q_norm", "name", "p_norm",
                                TX.similarity("q_norm", "p_norm", "_qw", "_pw").alias("score"))

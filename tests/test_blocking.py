@@ -35,3 +35,16 @@ def test_low_cutoff_refused(spark):
     p = spark.createDataFrame([("a", "a")], "name string, p_norm string")
     with pytest.raises(ValueError):
         fuzzy_pairs(q, p, 50.0)
+
+
+def test_hot_word_emits_few_candidates(spark):
+    """200 queries and 200 names share the word 'kumar'; brute force would score 40,000 pairs."""
+    from leadflow.operators.similarity import candidate_pairs
+    queries = [f"kumar q{chr(97 + i % 26)}{chr(97 + i // 26)}zz" for i in range(200)]
+    pool = [f"kumar p{chr(97 + j % 26)}{chr(97 + j // 26)}yy" for j in range(200)] + ["kumar"]
+    q = spark.createDataFrame(list(enumerate(queries)), "q_id long, q_norm string")
+    p = spark.createDataFrame([(n, n) for n in pool], "name string, p_norm string")
+    n_cand = candidate_pairs(q, p, 85.0).count()
+    assert n_cand <= 2 * len(queries)                 # each query meets at most a couple of names
+    got = {(r.q_id, r.name) for r in fuzzy_pairs(q, p, 85.0).collect()}
+    assert got == _brute(spark, queries, pool, 85.0)  # and nothing is lost ('kumar' is in every query)
