@@ -14,10 +14,11 @@ A pair can pass in two ways, and each has a classic filter with a proof of exact
   Containment means the contained name's rarest word is in the other name; Jaccard >= t means
   the two ``|W| - ceil(t |W|) + 1`` rarest-word prefixes meet.
 
-Tokens are ordered rare-first by their frequency over both inputs, so a token shared by
-many strings (a common word, the trigram '##r') is almost never in a prefix: each string
-joins on a handful of rare tokens, and no group emits all its pairs.  The exact score is
-computed only on the surviving candidate pairs.
+Tokens are ordered rare-first by their frequency among the known names (the pool), so a
+token shared by many names (a common word, the trigram '##r') is almost never in a prefix:
+each string joins on a handful of rare tokens, and no group emits all its pairs.  Query
+tokens that no name has cannot be shared; they drop out and shorten the query's prefixes
+by their count.  The exact score is computed only on the surviving candidate pairs.
 """
 
 from __future__ import annotations
