@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+from leadflow import plans
 from compare import duck, run_oracle, run_spark
 
-KEYS = sorted(E.queries())
-ORACLES = E.oracle_sql()
+KEYS = sorted(plans.queries())
+ORACLES = plans.oracle_sql()
 
 
 @pytest.fixture(scope="module")
