@@ -82,4 +82,24 @@ verdict AS (
 OP10 = quality_sql("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept "
                    "FROM verdict")
 
-ORACLES = {"op1_line_dedup": OP1.strip(), "op10_quality_rules": OP10.strip()}
+OP3 = r"""
+WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS size FROM documents GROUP BY source),
+w AS (SELECT *, CASE WHEN size > 0 THEN pow(size::DOUBLE, 0.7) ELSE 0.0 END AS weight FROM sizes),
+r AS (
+  SELECT source, size, CASE WHEN size > 0 THEN (SELECT sum(size) FROM w)::DOUBLE * (weight / (SELECT sum(weight) FROM w)) / size
+                            ELSE 1.0 END AS rate FROM w),
+u AS (
+  SELECT d.*, size, rate, ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+terms AS (
+  SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM r, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS t(k) WHERE size > 0),
+c AS (
+  SELECT u.*, CASE WHEN u.size = 0 THEN 1 ELSE (SELECT count(*) FROM terms
+    WHERE terms.source IS NOT DISTINCT FROM u.source AND terms.cdf <= u.u) END AS copies FROM u)
+SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, copy::INTEGER AS copy,
+       md5('42|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy) AS shuffle_key
+FROM c, unnest(range(1, copies + 1)) AS t(copy)
+"""
+
+ORACLES = {"op3_source_mixing": OP3.strip(), "op1_line_dedup": OP1.strip(), "op10_quality_rules": OP10.strip()}

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .line_dedup import line_dedup_digest
+from .mixing import mix
+from .packing import pack
 from .quality_rules import quality_report
+from .simhash import simhash_digest
 from .oracles import ORACLES
 
 
@@ -15,12 +18,29 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash classes: 3-word shingles, fingerprints linked at 2 bits or fewer."""
+    return simhash_digest(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies of all documents when sources are mixed by size to the power 0.7, the
+    expected size of the whole unchanged, in global random order."""
+    return mix(table(spark, sf_dir, "documents"), alpha=0.7, seed=42)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict under cutoffs certified on the labelled holdout."""
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_dedup, op3_source_mixing, op9_packing,
+                                   op10_quality_rules)}
 
 
 def queries() -> dict:
