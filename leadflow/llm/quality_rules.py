@@ -72,7 +72,8 @@ def text_metrics(docs: DataFrame, text_col: str = "text", keep: list[str] | None
                  rate("n_dup_lines", "n_lines").alias("dup_line_rate"),
                  rate("n_repeat_words", "n_words").alias("repeat_word_rate"),
                  rate("n_upper", "word_chars").alias("upper_rate"))
-    return steps.withColumn("m", m).drop("__t", "__w", "__win", "__pairs", "__pos", "__lines", "__c")
+    # A generated column: a filter on it is not pushed below, where it would repeat all the steps.
+    return steps.withColumn("m", F.explode(F.array(m))).drop("__t", "__w", "__win", "__pairs", "__pos", "__lines", "__c")
 
 
 def binomial_tail(k: Column, n: Column, share: float) -> Column:
@@ -143,7 +144,7 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns unchanged.  The cutoffs come from a
     pass over ids and metrics; the verdict is then taken beside the text, so no text moves."""
-    cutoffs = cutoffs_of(text_metrics(docs, keep=["doc_id", "lang"]), labels)
+    cutoffs = cutoffs_of(materialise(text_metrics(docs, keep=["doc_id", "lang"]), "metrics"), labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.col("row.text").alias("text"), F.col("row.lang").alias("lang"))
     return judge(text_metrics(rows, keep=["row", "lang"]), cutoffs).where("kept").select("row.*")
