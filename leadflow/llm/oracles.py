@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .quality_rules import RULES
 
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,4 +103,52 @@ SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, copy::INT
 FROM c, unnest(range(1, copies + 1)) AS t(copy)
 """
 
-ORACLES = {"op3_source_mixing": OP3.strip(), "op1_line_dedup": OP1.strip(), "op10_quality_rules": OP10.strip()}
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_sentences().items())
+    steps = []
+    for i, (name, seq) in enumerate(licenses.RULES):       # one step per ordered rule
+        seq = quoted("".join(f"<{x}>" for x in seq))
+        steps.append(f"r{i + 1} AS (SELECT * REPLACE (replace(l, {seq}, '') AS l, CASE WHEN contains(l, {seq}) AND NOT "
+                     f"list_contains(found, {quoted(name)}) THEN list_append(found, {quoted(name)}) ELSE found END AS found) FROM r{i})")
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}),
+s AS (
+  SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) AS pos FROM (
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{licenses.SENTENCE_MARK}', '\\1' || chr(10), 'g'), chr(10)) AS a
+    FROM documents)),
+w AS (
+  SELECT s.*, id FROM s LEFT JOIN known
+    ON known.sentence = trim(regexp_replace(lower(s.sentence), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))
+  WHERE regexp_matches(s.sentence, '{licenses.LICENSE_WORDS}')),
+g AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (WHERE id IS NULL) AS n_unknown,
+         coalesce(string_agg(id, ' ' ORDER BY pos), '') AS sentence_ids,
+         coalesce(string_agg('<' || id || '>', '' ORDER BY pos), '') AS l, []::VARCHAR[] AS found
+  FROM w GROUP BY doc_id),
+r0 AS (SELECT * FROM g),
+{", ".join(steps)}
+SELECT d.doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
+       coalesce(array_to_string(found, ' '), '') AS licences,
+       coalesce(len(l) - len(replace(l, '<', '')), 0)::BIGINT AS n_left, coalesce(n_unknown, 0)::BIGINT AS n_unknown
+FROM documents d LEFT JOIN r{len(steps)} r USING (doc_id)
+"""
+
+
+ORACLES = {"op1_line_dedup": OP1.strip(), "op3_source_mixing": OP3.strip(), "op4_exact_topk": OP4.strip(),
+           "op7_license_scan": license_sql().strip(), "op10_quality_rules": OP10.strip()}

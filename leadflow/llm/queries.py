@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .licenses import scan
 from .line_dedup import line_dedup_digest
 from .mixing import mix
 from .packing import pack
 from .quality_rules import quality_report
 from .simhash import simhash_digest
+from .topk import top_k
+from .url_filter import judge_urls
 from .oracles import ORACLES
 
 
@@ -29,6 +32,21 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), alpha=0.7, seed=42)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors by integer inner product for every 50th vector id."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule, verdict and path template of every page's url."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"))
@@ -39,8 +57,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_dedup, op3_source_mixing, op9_packing,
-                                   op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_dedup, op3_source_mixing, op4_exact_topk,
+                                   op7_license_scan, op8_url_filter, op9_packing, op10_quality_rules)}
 
 
 def queries() -> dict:
