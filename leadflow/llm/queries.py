@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .html_text import extract_text
 from .licenses import scan
 from .line_dedup import line_dedup_digest
 from .mixing import mix
 from .packing import pack
+from .quality_model import grade, score, train
 from .quality_rules import quality_report
 from .simhash import simhash_digest
 from .topk import top_k
@@ -37,6 +39,18 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document; kept if the best grade is likelier than not."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    graded = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return score(docs, train(docs, graded))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every document."""
     return scan(table(spark, sf_dir, "documents"))
@@ -58,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_dedup, op3_source_mixing, op4_exact_topk,
-                                   op7_license_scan, op8_url_filter, op9_packing, op10_quality_rules)}
+                                   op5_quality_classifier, op6_html_text, op7_license_scan, op8_url_filter, op9_packing, op10_quality_rules)}
 
 
 def queries() -> dict:
