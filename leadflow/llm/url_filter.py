@@ -4,10 +4,10 @@
    rule fits its domain and all subdomains, the longest rule wins.
 2. The path's segments are generalised by shape (numbers, hex strings, file extensions kept),
    and urls are counted per (host, shape): from here on work is on shapes, not pages.
-3. The tree of each host is walked level by level.  A child becomes the wildcard ``*`` if its
-   parent has many rare children, or if it is labelled and its share of bad labels does not
-   differ significantly from that of its labelled siblings (a two-proportion test): similar
-   branches merge.  Children are compared with their siblings' sums, never in pairs.
+3. The tree of each host is walked level by level.  Rare children of a parent with many become
+   the wildcard ``*``.  The others (at most ``MAX_CHILDREN`` a parent) are put in order of their
+   share of bad labels; neighbours whose shares do not differ significantly (a two-proportion
+   test) merge into one branch, named ``a|b``.  Branches with too few labels stay apart.
 4. A template's purity is (bad + 1) / (labelled + 2).  At ``reject`` or more its pages are
    blocked.  Templates without labels stand at one half and are allowed.
 
@@ -23,7 +23,7 @@ gives no rows.  Only the id and url columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ascii_lower, join_on_hot_key, materialise
 
@@ -69,19 +69,23 @@ def merge_level(shapes: DataFrame, depth: int) -> DataFrame:
     at = shapes.where(F.size("segs") > depth).withColumns(
         {"parent": F.concat_ws("/", "host", F.array_join(F.slice("segs", 1, depth), "/")), "child": F.get("segs", F.lit(depth))})
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "labelled")]
-    children = materialise(at.groupBy("parent", "child").agg(*sums), "children")
-    parents = children.groupBy("parent").agg(
-        F.count(F.lit(1)).alias("fan"), *[F.sum(c).alias(f"p_{c}") for c in ("n", "bad", "labelled")])
-    rest_bad, rest = F.col("p_bad") - F.col("bad"), F.col("p_labelled") - F.col("labelled")
-    pooled = F.col("p_bad") / F.col("p_labelled")
-    spread = pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest)
-    apart = F.col("bad") / F.col("labelled") - rest_bad / rest
-    similar = F.when((F.col("labelled") >= MIN_LABELS) & (rest >= MIN_LABELS),
-                     apart * apart <= SIMILAR_Z * SIMILAR_Z * spread).otherwise(False)
-    rare = (F.col("fan") > MAX_CHILDREN) & (F.col("n") < RARE_CHILD * F.col("p_n"))
-    merged = children.join(parents, "parent").where(rare | similar).select(
-        "parent", "child", F.lit(True).alias("wild"))
-    segs = F.when(F.col("wild"), F.transform("segs", lambda s, i: F.when(i == depth, F.lit("*")).otherwise(s)))
+    children = at.groupBy("parent", "child").agg(*sums)
+    parents = children.groupBy("parent").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("p_n"))
+    sized = materialise(children.join(parents, "parent").withColumn(
+        "rare", (F.col("fan") > MAX_CHILDREN) & (F.col("n") < RARE_CHILD * F.col("p_n"))), "children")
+    by_share = Window.partitionBy("parent").orderBy(F.col("bad") / F.col("labelled"), "child")
+    before = lambda c: F.lag(c).over(by_share)
+    pooled = (F.col("bad") + before("bad")) / (F.col("labelled") + before("labelled"))
+    spread = pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before("labelled"))
+    apart = F.col("bad") / F.col("labelled") - before("bad") / before("labelled")
+    labelled = (sized.where(~F.col("rare") & (F.col("labelled") >= MIN_LABELS))
+                .withColumn("starts", F.coalesce(apart * apart > SIMILAR_Z * SIMILAR_Z * spread, F.lit(True)).cast("int"))
+                .withColumn("branch", F.sum("starts").over(by_share)))
+    names = labelled.groupBy("parent", "branch").agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("name"))
+    merged = (labelled.join(names, ["parent", "branch"]).select("parent", "child", "name").where("child <> name")
+              .union(sized.where("rare").select("parent", "child", F.lit("*"))))
+    segs = F.when(F.col("name").isNotNull(), F.transform(
+        "segs", lambda s, i: F.when(i == depth, F.col("name")).otherwise(s)))
     return (at.join(merged, ["parent", "child"], "left")
             .select("shape", "host", F.coalesce(segs, "segs").alias("segs"), "n", "bad", "labelled")
             .union(shapes.where(F.size("segs") <= depth).select("shape", "host", "segs", "n", "bad", "labelled")))
