@@ -62,10 +62,11 @@ def _pick(values: tuple[str, ...], col: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), _pick_index(col, len(values)))
 
 
-def fake(col: str, dtype: T.DataType) -> Column:
+def fake(col: str, dtype: T.DataType, named: str | None = None) -> Column:
+    """``named`` is the source column whose name picks the family (default: ``col`` itself)."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.lit(None).cast(dtype)
-    kind = fake_kind(col)
+    kind = fake_kind(named or col)
     if kind == "company":
         out = _pick(FAKE_COMPANIES, col)
     elif kind == "name":
@@ -81,7 +82,7 @@ def fake(col: str, dtype: T.DataType) -> Column:
     return F.when(F.col(col).isNotNull(), out)
 
 
-def masked(col: str, dtype: T.DataType, pii_level: str, strategy: str) -> Column:
+def masked(col: str, dtype: T.DataType, pii_level: str, strategy: str, named: str | None = None) -> Column:
     """The column masked by its policy (unchanged when PII or strategy is ``none``)."""
     if pii_level == "none" or strategy == "none":
         return F.col(col)
@@ -90,5 +91,5 @@ def masked(col: str, dtype: T.DataType, pii_level: str, strategy: str) -> Column
     if strategy == "redact":
         return redact()
     if strategy == "faker":
-        return fake(col, dtype)
+        return fake(col, dtype, named)
     raise ValueError(f"unknown masking strategy {strategy!r}")

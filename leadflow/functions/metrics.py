@@ -66,9 +66,11 @@ METRICS = tuple(METRIC_ALIASES)
 
 
 def resolve(metrics: Sequence[str] | None) -> list[str]:
-    """Known metrics in order; unknown names drop out and an empty list means ``leads``."""
-    known = [m for m in (metrics or []) if m in METRIC_ALIASES]
-    return known or ["leads"]
+    """The metrics in order; none asked for means ``leads``, an unknown name raises."""
+    unknown = [m for m in (metrics or []) if m not in METRIC_ALIASES]
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}; expected some of {METRICS}")
+    return list(metrics or ["leads"])
 
 
 def metric(name: str) -> Column:

@@ -133,6 +133,16 @@ def bucket(date_col: str | Column, grain: str) -> Column:
     raise ValueError(f"unknown bucket {grain!r}; expected 'month' or 'week'")
 
 
+#: The forms in which text date columns are written.
+TEXT_DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy")
+
+
+def text_date(col: str | Column) -> Column:
+    """A date kept as text, as a DATE; NULL if it is in none of the known forms."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in TEXT_DATE_FORMATS])
+
+
 def event_date() -> Column:
     """Last activity date of a lead: its booking date, else its lead date."""
     return F.coalesce(F.col("bookingdate"), F.col("leaddate"))

@@ -18,7 +18,7 @@ from ..functions import windows as W
 from ..functions.metrics import ISSUED
 from . import names as N
 from .similarity import fuzzy_pairs, single_word_guard, trigram_guard, with_guard_columns
-from .topk import newest_key
+from .topk import newest_key, newest_per, pick_newest
 
 # Statuses that count as "active now" when no status is asked for.
 DEFAULT_ACTIVE_STATUSES = ("READY", "AVAILABLE", "IDLE", "ONCALL", "ON CALL", "BUSY")
@@ -31,30 +31,22 @@ def _agent_base(leads: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def resolve_agent_id(leads: DataFrame, name: str, products: Sequence[int] | None = None,
                      cols: Sequence[str] = N.NAME_COLUMNS_8) -> DataFrame:
-    """One agent id for a name, trying in order:
-
-    1. newest id among rows of the given products whose names contain ``name``;
-    2. newest id among all rows whose names contain ``name``;
-    3. newest id among rows where a name equals the most common name containing ``name``.
-    Returns (query_name, lead_agentid, resolved_by); no row if nothing matches.
-    """
+    """One agent id for a name (stripped): the newest id among rows of the given products whose
+    names contain it, else among all rows.  One scan, one aggregation.
+
+    (The source tries a third step, rows that equal the most common name containing the text;
+    such a row contains the text itself, so the second step has already found it.)
+    Returns (query_name, lead_agentid, resolved_by); no row if nothing matches or the name is
+    empty."""
+    name = name.strip()
     base = _agent_base(leads, cols)
     key = newest_key(F.col("event_date"), F.col("lead_agentid"))
     in_prod = P.product_in(products) if products else F.lit(False)
-    steps12 = base.where(P.contains_any(cols, name)).agg(
-        F.min_by("lead_agentid", F.when(in_prod, key)).alias("s1"),
-        F.min_by("lead_agentid", key).alias("s2"))
-    s1 = steps12.select(F.lit(1).alias("step"), F.col("s1").alias("lead_agentid"))
-    s2 = steps12.select(F.lit(2).alias("step"), F.col("s2").alias("lead_agentid"))
-    best = N.most_common_name(leads, name, cols).select(F.lower("name").alias("lname"))
-    long = N.unpivot_names(base, cols, ids=("lead_agentid", "event_date"))
-    s3 = (long.join(F.broadcast(best), F.lower(long["name"]) == best["lname"])   # one row by construction
-          .agg(F.min_by("lead_agentid", newest_key(F.col("event_date"), F.col("lead_agentid"))).alias("lead_agentid"))
-          .select(F.lit(3).alias("step"), "lead_agentid"))
-    labels = F.element_at(F.array(F.lit("product"), F.lit("any"), F.lit("common_name")), F.col("step"))
-    return (s1.unionByName(s2).unionByName(s3).where(F.col("lead_agentid").isNotNull())
-            .orderBy("step").limit(1)
-            .select(F.lit(name).alias("query_name"), "lead_agentid", labels.alias("resolved_by")))
+    found = base.where(P.contains_any(cols, name) & F.lit(bool(name))).agg(
+        F.min_by("lead_agentid", F.when(in_prod, key)).alias("in_product"), F.min_by("lead_agentid", key).alias("any"))
+    return (found.where(F.col("any").isNotNull())
+            .select(F.lit(name).alias("query_name"), F.coalesce("in_product", "any").alias("lead_agentid"),
+                    F.when(F.col("in_product").isNotNull(), "product").otherwise("any").alias("resolved_by")))
 
 
 def name_pool(leads: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -89,15 +81,16 @@ def codes_by_name(leads: DataFrame, cols: Sequence[str] = N.NAME_COLUMNS_6,
                   products: Sequence[int] | None = None) -> DataFrame:
     """(lname, lead_agentid, last_dt): newest agent id per lower-cased name.
 
-    Pre-aggregated before the shuffle: the unpivoted rows (one per row and name column)
-    are reduced map-side to one row per name per task by a partial ``min_by``, so only
-    distinct names travel - however many rows a hot name holds."""
+    First the last date of each distinct (name, id) pair: a date is a primitive buffer, so this
+    is a hash aggregation on both sides of the shuffle and only distinct pairs travel, however
+    many rows a hot name holds.  The newest id is then picked among those few pairs."""
     base = _agent_base(leads, cols)
     if products:
         base = base.where(P.product_in(products))
     long = N.unpivot_names(base, cols, ids=("lead_agentid", "event_date")).select(
         F.lower("name").alias("lname"), "lead_agentid", "event_date")
-    return long.groupBy("lname").agg(
+    pairs = long.groupBy("lname", "lead_agentid").agg(F.max("event_date").alias("event_date"))
+    return pairs.groupBy("lname").agg(
         F.min_by("lead_agentid", newest_key(F.col("event_date"), F.col("lead_agentid"))).alias("lead_agentid"),
         F.max("event_date").alias("last_dt"))
 
@@ -160,13 +153,10 @@ def active_pairs(leads: DataFrame, as_of, products: Sequence[int] | None = None)
 def latest_status(status: DataFrame) -> DataFrame:
     """Newest status row per agent: (AgentCode, Status, TotalTalkTime, LastUpdatedOn).
 
-    ``max_by`` over (ts, event_id) - partial aggregation, so a chatty agent is combined
-    map-side; the result has one row per agent."""
-    key = F.struct(F.col("ts"), F.col("event_id"))
-    return status.groupBy("AgentCode").agg(
-        F.max_by("Status", key).alias("Status"),
-        F.max_by("TotalTalkTime", key).alias("TotalTalkTime"),
-        F.max("ts").alias("LastUpdatedOn"))
+    The newest (time, event id) of each (agent, status) is found by hash aggregation (both
+    maxima are primitive); the newest of an agent's few statuses is then picked."""
+    per = newest_per(status, ["AgentCode", "Status"], ["TotalTalkTime"])
+    return pick_newest(per, ["AgentCode"], ["Status", "TotalTalkTime"]).withColumnRenamed("ts", "LastUpdatedOn")
 
 
 def with_status(agents: DataFrame, status_latest: DataFrame, how: str = "left") -> DataFrame:

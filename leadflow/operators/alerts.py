@@ -68,8 +68,9 @@ def advance(subs: DataFrame, now) -> DataFrame:
 
 def product_metric_table(leads: DataFrame, window: str, as_of) -> DataFrame:
     """(product_id, metric, value) for leads (lead date) and bookings (booking date) in the
-    window, one scan and one aggregation."""
-    agg = leads.groupBy(F.col("investmenttypeid").cast("bigint").alias("product_id")).agg(
+    window, one scan and one aggregation.  Rows outside both windows are left in the scan."""
+    inside = leads.where(W.in_window("leaddate", window, as_of) | W.in_window("bookingdate", window, as_of))
+    agg = inside.groupBy(F.col("investmenttypeid").cast("bigint").alias("product_id")).agg(
         F.count_if(W.in_window("leaddate", window, as_of)).alias("leads"),
         F.count_if(W.in_window("bookingdate", window, as_of) & (F.col("booking_status") == F.lit(ISSUED)))
         .alias("bookings"))
@@ -77,9 +78,12 @@ def product_metric_table(leads: DataFrame, window: str, as_of) -> DataFrame:
 
 
 def evaluate_due(subs: DataFrame, leads: DataFrame, now, window: str, as_of) -> DataFrame:
-    """The metric of every due subscription, all in one pass over the fact table."""
-    table = product_metric_table(leads, window, as_of)
+    """The metric of every due subscription, all in one pass over the window's rows of the
+    products asked for."""
     d = due(subs, now)
+    asked = d.select("product_id").distinct()
+    rows = leads.join(asked, F.col("investmenttypeid").cast("bigint") == asked["product_id"], "left_semi")
+    table = product_metric_table(rows, window, as_of)
     # The metric table has one row per (product, metric) but is derived from the fact
     # table, so it is not counted up front: AQE broadcasts it once its size is known.
     return (d.join(table, ["product_id", "metric"], "left")

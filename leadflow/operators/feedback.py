@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .topk import newest_per, pick_newest
+
 PENDING, APPROVED, REJECTED = "pending", "approved", "rejected"
 
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
     """(id, decision, decided_at): the newest decision per item (ties: higher event id)."""
-    key = F.struct(F.col("ts"), F.col("event_id"))
-    return decisions.groupBy("id").agg(F.max_by("decision", key).alias("decision"),
-                                       F.max("ts").alias("decided_at"))
+    per = newest_per(decisions, ["id", "decision"], [])
+    return pick_newest(per, ["id"], ["decision"]).withColumnRenamed("ts", "decided_at")
 
 
 def apply_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -27,8 +28,8 @@ def apply_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def approved_rules(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """(id, sql_text, approved_at): approved items that carry SQL."""
-    st = apply_decisions(items, decisions).where(F.col("status") == F.lit(APPROVED))
-    return (items.where(F.col("sql_text").isNotNull()).join(st, "id")
+    last = last_decisions(decisions).where(F.col("decision") == F.lit(APPROVED))
+    return (items.where(F.col("sql_text").isNotNull()).join(last, "id")
             .select("id", "sql_text", F.col("decided_at").alias("approved_at")))
 
 
@@ -51,11 +52,19 @@ def merge_corrections(corrections: DataFrame) -> DataFrame:
     """Fold a session's corrections into one query record.
 
     Newest non-NULL metric and time window win (by ``seq``); filter values accumulate
-    (distinct, sorted, joined with ',' - NULL when there are none)."""
-    def newest(c: str):
-        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    vals = F.array_sort(F.collect_set("filter_value"))
-    return (corrections.groupBy("session_id")
-            .agg(newest("metric"), newest("time_key"), vals.alias("_vals"))
+    (distinct, sorted, joined with ',' - NULL when there are none).  Values are made distinct
+    per session before they are gathered, so a row holds no more than a session's distinct
+    filter values."""
+    kinds = ["metric", "time_key", "filter_value"]
+    per = (corrections.unpivot(["session_id", "seq"], kinds, "kind", "value")
+           .groupBy("session_id", "kind", "value").agg(F.max("seq").alias("seq")))
+
+    def of(kind: str, col: str):
+        return F.when((F.col("kind") == F.lit(kind)) & F.col("value").isNotNull(), F.col(col))
+
+    vals = F.array_sort(F.collect_set(of("filter_value", "value")))
+    return (per.groupBy("session_id")
+            .agg(F.max_by("value", of("metric", "seq")).alias("metric"),
+                 F.max_by("value", of("time_key", "seq")).alias("time_key"), vals.alias("_vals"))
             .select("session_id", "metric", "time_key",
                     F.when(F.size("_vals") > 0, F.array_join("_vals", ",")).alias("filter_values")))

@@ -1,19 +1,143 @@
 """Apply the masking policy carried by the schema metadata.
 
-Masking follows the source column: the policy sits in ``StructField.metadata`` and
-Spark keeps it on attribute references through projections, filters, joins and
-group keys, so an aliased column is still masked.
+The policy sits in ``StructField.metadata``.  Spark keeps it on bare columns through
+projections, filters, joins and group keys (an aliased column is still masked, as what it
+came from), but drops it on anything computed.  So a result column without a policy of its
+own is traced: through the analysed plan, from the column's expression to the source columns
+it reads.  Counts and null tests reveal no value and end the trace.  A result that reads
+columns of one treatment gets that treatment; of several, it is redacted.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
-from ..functions.masking import masked
-from ..sources.schema import policy_of
+from ..functions.masking import fake_kind, masked
+
+#: Expressions whose value tells nothing of the values below them.
+_CLOSED = frozenset({"Count", "IsNull", "IsNotNull", "RowNumber", "Rank", "DenseRank", "Grouping", "GroupingID"})
+
+
+@dataclass(frozen=True)
+class Policy:
+    """How a column is protected and the source column that says which stand-ins fit it."""
+    pii_level: str = "none"
+    strategy: str = "none"
+    source: str = ""
+
+    @property
+    def open(self) -> bool:
+        return self.strategy == "none" or self.pii_level == "none"
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _own(attr) -> Policy | None:
+    meta = attr.metadata()
+    if not meta.contains("pii_level"):
+        return None
+    source = meta.getString("source_column") if meta.contains("source_column") else attr.name()
+    return Policy(meta.getString("pii_level"), meta.getString("masking_strategy"), source)
+
+
+class _Trace:
+    """Policies of every column of an analysed plan, by expression id."""
+
+    def __init__(self):
+        self.known: dict[int, frozenset[Policy]] = {}
+
+    def expression(self, e) -> frozenset[Policy]:
+        kind = _kind(e)
+        if kind in _CLOSED:
+            return frozenset()
+        if kind in ("AttributeReference", "Alias"):
+            own = _own(e)
+            if own is not None:
+                return frozenset((own,))
+        if kind == "AttributeReference":
+            return self.known.get(e.exprId().id(), frozenset())
+        if kind == "WindowExpression":           # its frame decides which rows, not which values
+            return self.expression(e.windowFunction())
+        found = frozenset()
+        if "Subquery" in kind or kind in ("Exists", "InSubquery"):
+            found = self.outputs(e.plan()) if hasattr(e, "plan") else found
+        return found.union(*[self.expression(c) for c in _items(e.children())])
+
+    def outputs(self, plan) -> frozenset[Policy]:
+        self.plan(plan)
+        return frozenset().union(*[self.expression(a) for a in _items(plan.output())])
+
+    def plan(self, node) -> None:
+        children = _items(node.children())
+        kind = _kind(node)
+        if kind in ("WithCTE", "CTERelationRef") or not children:
+            for a in _items(node.output()):
+                own = _own(a)
+                self.known[a.exprId().id()] = frozenset((own,)) if own else frozenset()
+        for c in children:
+            self.plan(c)
+        if kind == "Union":
+            rows = [[self.expression(a) for a in _items(c.output())] for c in children]
+            for a, parts in zip(_items(node.output()), zip(*rows)):
+                self.known[a.exprId().id()] = frozenset().union(*parts)
+            return
+        if not children:
+            return
+        if kind == "Expand":          # unpivot and rollups: column by column
+            rows = [[self.expression(e) for e in _items(p)] for p in _items(node.projections())]
+            for a, parts in zip(_items(node.output()), zip(*rows)):
+                self.known[a.exprId().id()] = frozenset().union(*parts)
+            return
+        below = {a.exprId().id() for c in children for a in _items(c.output())}
+        defined = {e.exprId().id(): e for e in _items(node.expressions()) if _kind(e) == "Alias"}
+        rest = None
+        for a in _items(node.output()):
+            i = a.exprId().id()
+            if i in below:
+                continue
+            if i in defined:
+                self.known[i] = self.expression(defined[i])
+                continue
+            if rest is None:          # made by the node as a whole (generator, grouped function, ...)
+                read = [self.expression(e) for e in _items(node.expressions())]
+                rest = frozenset().union(*read) if read and kind in ("Generate", "Window", "Aggregate") else (
+                    frozenset().union(*[self.expression(x) for c in children for x in _items(c.output())]))
+            self.known[i] = rest
+
+
+def column_policies(df: DataFrame) -> list[Policy]:
+    """The policy of each column of ``df``, in order."""
+    out, trace, plan = [], None, None
+    for field in df.schema.fields:
+        meta = field.metadata or {}
+        if "pii_level" in meta:
+            out.append(Policy(meta["pii_level"], meta["masking_strategy"], meta.get("source_column", field.name)))
+            continue
+        if trace is None:
+            trace, plan = _Trace(), df._jdf.queryExecution().analyzed()
+            trace.plan(plan)
+        found = {p for p in trace.expression(plan.output().apply(len(out))) if not p.open}
+        kinds = {p.strategy for p in found}
+        level = "high" if any(p.pii_level == "high" for p in found) else "low"
+        if not found:
+            out.append(Policy(source=field.name))
+        elif len(kinds) == 1:
+            source = min((fake_kind(p.source) == "word", p.source) for p in found)[1]      # a telling family first
+            out.append(Policy(level, next(iter(kinds)), source))
+        else:
+            out.append(Policy(level, "redact", field.name))
+    return out
 
 
 def mask(df: DataFrame) -> DataFrame:
-    """Every column masked by its own (pii_level, strategy); a single projection."""
-    pol = policy_of(df)
-    return df.select(*[masked(f.name, f.dataType, *pol[f.name]).alias(f.name) for f in df.schema.fields])
+    """Every column masked by its own or its traced policy; a single projection."""
+    return df.select(*[masked(f"`{f.name}`", f.dataType, p.pii_level, p.strategy, p.source).alias(f.name)
+                       for f, p in zip(df.schema.fields, column_policies(df))])

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.products import ALL_PRODUCTS_PHRASES
-from .joins import bounded_broadcast
 
 # Agent code pattern (letters then digits, as whole words).
 AGENT_CODE_PATTERN = r"\b[A-Za-z]{1,6}\d{2,8}\b"
@@ -31,6 +30,9 @@ FEEDBACK_WORDS = ("should", "should have", "supposed to", "must", "always", "inc
                   "use like", "use regex", "use ", "filter by", "group by", "remove product", "wrong",
                   "incorrect", "show", "please add", "please use", "make sure", "instead")
 
+#: A run of word characters of any script (letters, marks, digits, underscore).
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+
 SIMPLE, LOGIC = "simple_metric", "business_logic"
 
 
@@ -41,24 +43,38 @@ def _any_contains(text: Column, needles) -> Column:
 def product_tags(messages: DataFrame, aliases: DataFrame, min_alias_len: int = 3) -> DataFrame:
     """(msg_id, product_id) for every alias (3+ characters) found as a whole word or phrase.
 
-    A message saying "all products" (or the like) names no product.  Matching is exact
-    regex matching (``\\b<alias>\\b`` on lower-cased text), but it is only evaluated on
-    candidate pairs: the message's words are equi-joined with each alias's first word,
-    so no message is compared with every alias."""
+    A message saying "all products" (or the like) names no product.  An alias is found where
+    it stands in the lower-cased text with no word character joined to its word ends, in any
+    script.  A message's word runs are exploded without its text and equi-joined with the
+    first word of each alias; the text is met again only by the messages of a candidate, and
+    each of their candidates is then looked for.  An alias without any word character has no
+    first word: it is looked for in every message by a plain substring test."""
     msgs = messages.select("msg_id", F.lower("text").alias("t"))
     msgs = msgs.where(~_any_contains(F.col("t"), ALL_PRODUCTS_PHRASES))
-    words = msgs.select("msg_id", "t", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\w+"), 0)))
-                        .alias("tok"))
+    words = msgs.select("msg_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD), 0))).alias("tok"))
     al = (aliases.where(F.length("alias") >= min_alias_len)
           .select("product_id", F.lower("alias").alias("a"))
-          .withColumn("tok", F.regexp_extract("a", r"\w+", 0)))
-    pattern = F.concat(F.lit(r"\b\Q"), F.col("a"), F.lit(r"\E\b"))
-    # The pattern differs per alias; Spark recompiles a non-literal pattern whenever it
-    # changes from the previous row, so candidate pairs are sorted by alias inside each
-    # partition (no shuffle) and consecutive rows reuse the compiled pattern.
-    cand = words.join(bounded_broadcast(al), "tok").sortWithinPartitions("a")
-    hits = cand.where(F.regexp_like(F.col("t"), pattern))
-    return hits.select("msg_id", "product_id").distinct()
+          .withColumn("tok", F.regexp_extract("a", WORD, 0)))
+    cand = (words.join(al.where(F.col("tok") != ""), "tok").groupBy("msg_id")
+            .agg(F.collect_set(F.struct("product_id", "a")).alias("cand")))       # aliases in one message: few
+    hit = msgs.join(cand, "msg_id").select("msg_id", "t", F.explode("cand").alias("c")).where(
+        _stands_in(F.col("t"), F.col("c.a"))).select("msg_id", F.col("c.product_id").alias("product_id"))
+    odd = al.where(F.col("tok") == "").groupBy().agg(F.collect_set(F.struct("product_id", "a")).alias("odd"))
+    odd = odd.first()[0]                                # aliases of marks alone: part of the alias catalog
+    if odd:
+        held = F.explode(F.array_compact(F.array(*[
+            F.when(F.col("t").contains(r.a), F.lit(r.product_id)) for r in odd]))).alias("product_id")
+        hit = hit.unionByName(msgs.select("msg_id", held))
+    return hit.distinct()
+
+
+def _stands_in(text: Column, alias: Column) -> Column:
+    """``alias`` occurs in ``text`` with no word character joined to its word ends."""
+    one = WORD.rstrip("+")
+    wordy = lambda c: F.regexp_like(c, F.lit(f"^{one}$"))
+    before = F.when(wordy(F.substring(alias, 1, 1)), f"(?<!{one})").otherwise("")
+    after = F.when(wordy(F.substring(alias, -1, 1)), f"(?!{one})").otherwise("")
+    return F.regexp_like(text, F.concat(before, F.lit(r"\Q"), alias, F.lit(r"\E"), after))
 
 
 def agent_codes(messages: DataFrame) -> DataFrame:
@@ -74,9 +90,10 @@ def route(text: Column, lowered: Column | None = None) -> Column:
     """``simple_metric`` for two words or fewer, else ``business_logic`` if any keyword is a
     substring of the lower-cased text, else ``simple_metric``.
 
-    "More than two words" is one regex search for a third word (no array of words)."""
+    "More than two words" is one anchored search for a third word that never backs up, so a
+    long unbroken text costs one pass."""
     t = F.lower(text) if lowered is None else lowered
-    return (F.when(~text.rlike(r"\S+\s+\S+\s+\S"), F.lit(SIMPLE))
+    return (F.when(~text.rlike(r"^\s*+\S++\s++\S++\s++\S"), F.lit(SIMPLE))
             .when(_any_contains(t, LOGIC_KEYWORDS), F.lit(LOGIC))
             .otherwise(F.lit(SIMPLE)))
 

@@ -22,19 +22,20 @@ from ..functions import metrics as M
 from ..functions import predicates as P
 from ..functions import windows as W
 from ..sources.schema import CATALOG_BY_NAME
-from .joins import bounded_broadcast
+from .masking import column_policies
 
 
 def _check_dims(df: DataFrame, dims: Sequence[str]) -> list[str]:
-    out = []
+    """Known columns that hold no high-level personal data, by name or by what they read."""
+    unknown = [d for d in dims if d not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown dimensions {unknown}")
+    policies = dict(zip(dims, column_policies(df.select(*dims)))) if dims else {}
     for d in dims:
         spec = CATALOG_BY_NAME.get(d)
-        if spec is not None and spec.pii_level == "high":
+        if policies[d].pii_level == "high" or (spec is not None and spec.pii_level == "high"):
             raise ValueError(f"{d!r} holds high-level personal data and cannot be a dimension")
-        if d not in df.columns:
-            raise ValueError(f"unknown dimension {d!r}")
-        out.append(d)
-    return out
+    return list(dims)
 
 
 def time_filter(metrics: Sequence[str], *, window: str | None = None, between=None, as_of=None) -> Column | None:
@@ -51,10 +52,10 @@ def time_filter(metrics: Sequence[str], *, window: str | None = None, between=No
 
 
 def with_product_name(df: DataFrame, products_dim: DataFrame, id_col: str = "investmenttypeid") -> DataFrame:
-    """Left join to the product dimension (broadcast behind a size check)."""
+    """Left join to the product dimension; adaptive execution broadcasts it if its bytes are few."""
     dim = products_dim.select(F.col("product_id").alias(id_col), "product_name")
     rest = [c for c in df.columns if c != id_col]
-    return df.join(bounded_broadcast(dim), on=id_col, how="left").select(id_col, "product_name", *rest)
+    return df.join(dim, on=id_col, how="left").select(id_col, "product_name", *rest)
 
 
 def metric_query(leads: DataFrame, metrics: Sequence[str] = ("leads",), *, dims: Sequence[str] = (),
@@ -96,7 +97,7 @@ def metric_query(leads: DataFrame, metrics: Sequence[str] = ("leads",), *, dims:
         out = with_product_name(out, products_dim)
 
     if top_n is not None:
-        by = M.METRIC_ALIASES[order_by or names[0]]
+        by = M.METRIC_ALIASES[M.resolve([order_by])[0] if order_by else names[0]]
         first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
         out = out.orderBy(first, *[F.col(k).asc_nulls_last() for k in key_names]).limit(int(top_n))
     return out

@@ -26,11 +26,36 @@ def latest_value(df: DataFrame, group_cols: Sequence[str], value_col: str, date_
                  out: str = "value") -> DataFrame:
     """Per group, the value on the newest date (ties: smallest value) and that date.
 
-    One aggregation with ``min_by`` over a struct key: partial aggregates per task,
-    so a hot group is combined map-side and never gathered into one task."""
-    key = newest_key(date_col, F.col(value_col))
-    aggs = [F.min_by(F.col(value_col), key).alias(out), F.max(date_col).alias("last_dt")]
-    return df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
+    The last date of each distinct (group, value) is a hash aggregation that shrinks the rows
+    before the shuffle; ``min_by`` then picks among a group's distinct values."""
+    per = df.groupBy(*group_cols, F.col(value_col).alias("_value")).agg(F.max(date_col).alias("_day"))
+    aggs = [F.min_by("_value", newest_key(F.col("_day"), F.col("_value"))).alias(out), F.max("_day").alias("last_dt")]
+    return per.groupBy(*group_cols).agg(*aggs) if group_cols else per.agg(*aggs)
+
+
+def time_rank(ts: str = "ts", event_id: str = "event_id") -> Column:
+    """One number that orders events by (zone-free time, event id), nulls first.  A decimal is a
+    fixed-width aggregation buffer, so ``max`` and ``max_by`` over it hash-aggregate; over a
+    struct they would sort the input."""
+    day = F.unix_date(F.to_date(ts)).cast("bigint")
+    seconds = (day * 24 + F.hour(ts)) * 3600 + F.minute(ts) * 60
+    micros = seconds * 1_000_000 + (F.expr(f"extract(SECOND FROM {ts})") * 1_000_000).cast("bigint")
+    shifted = F.coalesce(event_id, F.lit(-2**63)).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+    return (F.coalesce(micros, F.lit(-10**17 + 1)).cast("decimal(17,0)") * F.lit(str(2 * 10**19)).cast("decimal(20,0)")
+            + shifted).cast("decimal(38,0)")
+
+
+def newest_per(events: DataFrame, keys: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """(keys, numbers, ts, rank): per distinct key the newest time and the fixed-width columns
+    of its newest event.  Hash aggregation on both sides of the shuffle."""
+    e = events.select(*keys, *numbers, "ts", time_rank().alias("rank"))
+    return e.groupBy(*keys).agg(*[F.max_by(c, "rank").alias(c) for c in numbers], F.max("ts").alias("ts"),
+                                F.max("rank").alias("rank"))
+
+
+def pick_newest(per: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Of the rows of ``newest_per`` the newest of each (shorter) key: keys, values, ts."""
+    return per.groupBy(*keys).agg(*[F.max_by(c, "rank").alias(c) for c in values], F.max("ts").alias("ts"))
 
 
 def agent_rows(leads: DataFrame) -> DataFrame:

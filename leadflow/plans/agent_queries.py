@@ -123,28 +123,29 @@ RESOLVE_PRODUCTS = (1, 2, 3)
 _CONTAINS8 = "(" + " OR ".join(f"coalesce(contains(lower({c}), '{RESOLVE_NAME}'), false)" for c in N.NAME_COLUMNS_8) + ")"
 
 
-@register("a_resolve_id", oracle=with_views("leads") + f"""
+def _resolve_sql(products) -> str:
+    return with_views("leads") + f"""
 , base AS (SELECT *, coalesce(bookingdate, leaddate) AS d FROM leads
-           WHERE lead_agentid IS NOT NULL AND trim(lead_agentid) <> ''),
-s1 AS (SELECT 1 AS step, lead_agentid FROM base WHERE {_CONTAINS8}
-       AND investmenttypeid IN {RESOLVE_PRODUCTS} ORDER BY d DESC, lead_agentid LIMIT 1),
-s2 AS (SELECT 2 AS step, lead_agentid FROM base WHERE {_CONTAINS8} ORDER BY d DESC, lead_agentid LIMIT 1),
-best AS (SELECT name FROM (""" + " UNION ALL ".join(
-    f"SELECT {c} AS name FROM leads WHERE {c} IS NOT NULL AND trim({c}) <> '' AND contains(lower({c}), '{RESOLVE_NAME}')"
-    for c in N.NAME_COLUMNS_8) + f""") u GROUP BY name ORDER BY count(*) DESC, name LIMIT 1),
-s3 AS (SELECT 3 AS step, b.lead_agentid FROM base b, best WHERE {_any_equal('b', 'best.name', N.NAME_COLUMNS_8)}
-       ORDER BY b.d DESC, b.lead_agentid LIMIT 1)
-SELECT '{RESOLVE_NAME}' AS query_name, lead_agentid,
-       CASE step WHEN 1 THEN 'product' WHEN 2 THEN 'any' ELSE 'common_name' END AS resolved_by
-FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) u
-WHERE lead_agentid IS NOT NULL ORDER BY step LIMIT 1
-""")
+           WHERE lead_agentid IS NOT NULL AND trim(lead_agentid) <> '' AND {_CONTAINS8}),
+s1 AS (SELECT 1 AS step, lead_agentid FROM base WHERE investmenttypeid IN {products} ORDER BY d DESC, lead_agentid LIMIT 1),
+s2 AS (SELECT 2 AS step, lead_agentid FROM base ORDER BY d DESC, lead_agentid LIMIT 1)
+SELECT '{RESOLVE_NAME}' AS query_name, lead_agentid, CASE step WHEN 1 THEN 'product' ELSE 'any' END AS resolved_by
+FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) u ORDER BY step LIMIT 1
+"""
+
+
+@register("a_resolve_id", oracle=_resolve_sql(RESOLVE_PRODUCTS))
 def a_resolve_id(spark, sf):
-    """Agent id for 'red widget' in products 1-3: product match, else any match, else the most
-    common matching name's newest id."""
+    """Agent id for 'red widget' in products 1-3: product match, else any match."""
     return A.resolve_agent_id(_leads(spark, sf), RESOLVE_NAME, RESOLVE_PRODUCTS)
 
 
+@register("a_resolve_id_any", oracle=_resolve_sql((-1, -2)))
+def a_resolve_id_any(spark, sf):
+    """The same name, typed with blanks around it, in products that have no such row: any match."""
+    return A.resolve_agent_id(_leads(spark, sf), f" {RESOLVE_NAME} ", (-1, -2))
+
+
 @register("a_candidates", oracle=QUERIES_VIEW + f"""
 , q AS (SELECT q_id, q_name, {_norm('q_name')} AS q_norm FROM name_queries),
 p AS (SELECT name, {_norm('name')} AS p_norm FROM ({_pool_sql(N.NAME_COLUMNS_6)}) x),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import SparkSession
 
 from ..functions.products import product_dim
@@ -110,7 +112,7 @@ FROM leads GROUP BY 1
 def export_csv(spark, sf):
     """Monthly leads and premium exported as CSV with a header, read back with its schema."""
     res = metric_query(_leads(spark, sf), ["leads", "premium"], bucket="month")
-    path = io.export_csv(res, scratch_path(spark, "exports", unique=True))
+    path = io.export_csv(res, scratch_path(spark, "exports", unique=True), raw=True)
     return io.read_export(spark, path, EXPORT_SCHEMA)
 
 
@@ -163,6 +165,14 @@ _filter("f_date_range", "leaddate BETWEEN DATE '2000-02-01' AND last_day(DATE '2
         "'this month' window also given.",
         lambda d: time_filter(["leads"], window="this_month", as_of=AS_OF,
                               between=W.month_range(2000, 2, 2000, 4)))
+_filter("f_date_since_month", "leaddate BETWEEN DATE '2000-03-01' AND DATE '2000-06-14'",
+        "From the first of March until today.",
+        lambda d: time_filter(["leads"], as_of=AS_OF, between=W.since_month(2000, 3, AS_OF)))
+_filter("f_date_year", "leaddate BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'", "The whole year 1999.",
+        lambda d: time_filter(["leads"], between=W.whole_year(1999)))
+_filter("f_text_date", "coalesce(try_strptime(policystartdate, '%Y-%m-%d'), try_strptime(policystartdate, '%d/%m/%Y')) "
+        ">= DATE '2000-01-01'", "A text date column, parsed from its known forms, from 2000 on.",
+        lambda d: W.text_date("policystartdate") >= F.lit(dt.date(2000, 1, 1)))
 _filter("f_month_label", "strftime(leaddate, '%B-%Y') = 'April-2000'",
         "Lead month label equals 'April-2000' (evaluated as a pushed-down date range).",
         lambda d: W.month_is("leaddate", "April-2000"))
@@ -186,7 +196,8 @@ _filter("f_any_of", "(referralid IS NOT NULL OR referralid <> 0)",
 _filter("f_all_of", "(referralid IS NOT NULL AND referralid <> 0)", "'not null' AND 'not 0'.",
         lambda d: P.all_of([P.not_null("referralid"), P.ne(d, "referralid", 0)]))
 
-CONTAINS_COLS = ("mkt_category", "leadcreationsource", "booking_status", "insurername", "leadassignedagentname")
+CONTAINS_COLS = ("mkt_category", "leadcreationsource", "booking_status", "insurername", "insurerfullname",
+                 "booking_occupancy", "lead_occupancy", "leadassignedagentname")
 _filter("f_contains_any_col", " OR ".join(f"coalesce(contains(lower({c}), 'gear'), false)" for c in CONTAINS_COLS),
         "'Gear' contained, case-blind, in any of the text columns.",
         lambda d: P.contains_any(CONTAINS_COLS, "Gear"))

@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from ..functions import masking as MK
+from ..operators.names import NAME_COLUMNS_6, unpivot_names
+from ..session import scratch_path
+from ..sources import io
 from ..operators.masking import mask
 from ..operators import profiling as PR
 from ..sources import fixtures as fx
@@ -88,7 +95,8 @@ LEADS_COLUMNS = ("leadid customerid investmenttypeid referralid leaddate booking
                  "leadassignedagentname currentlyassigneduser leadreportingmanagername leadreportingmanagername2 "
                  "first_assigned_agent booking_agent booking_agent_manager booking_agent_manager2 lead_agentid "
                  "contact_person_name state city productname mkt_category leadcreationsource insurername "
-                 "paymentstatus is_lead_hybrid premium revenue brokerage suminsured totalnooflives").split()
+                 "paymentstatus is_lead_hybrid premium revenue brokerage suminsured totalnooflives "
+                 "insurerfullname booking_occupancy lead_occupancy policystartdate").split()
 
 
 @register("k_mask_policy", oracle=_policy_sql())
@@ -97,6 +105,47 @@ def k_mask_policy(spark, sf):
     return mask(_leads(spark, sf))
 
 
+def _fake_of(kind_col: str, value: str) -> str:
+    """The stand-in of ``value`` from the family of the source column ``kind_col``."""
+    return _fake_sql(kind_col, False).replace(f"CAST({kind_col} AS VARCHAR)", f"CAST({value} AS VARCHAR)").replace(
+        f"CASE WHEN {kind_col} IS", f"CASE WHEN {value} IS")
+
+
+@register("k_mask_expressions", oracle=LEADS + f"""
+SELECT leadid, {_fake_of('contact_person_name', 'upper(contact_person_name)')} AS shouted, '[REDACTED]' AS who_where,
+       {_fake_of('city', 'last_city')} AS last_city, n_names, {_fake_of('city', 'city')} AS place
+FROM (SELECT *, max(city) OVER (PARTITION BY investmenttypeid) AS last_city,
+             count(contact_person_name) OVER (PARTITION BY investmenttypeid) AS n_names FROM leads) t
+""")
+def k_mask_expressions(spark, sf):
+    """Computed columns masked by what they read: one protected column keeps its treatment, a mix
+    is redacted, counts are open."""
+    w = Window.partitionBy("investmenttypeid")
+    return mask(_leads(spark, sf).select(
+        "leadid", F.upper("contact_person_name").alias("shouted"),
+        F.concat_ws("@", "contact_person_name", "customerid").alias("who_where"), F.max("city").over(w).alias("last_city"),
+        F.count("contact_person_name").over(w).alias("n_names"), F.col("city").alias("place")))
+
+
+@register("k_mask_unpivot", oracle=LEADS + "SELECT leadid, source_col, " + _fake_of("leadassignedagentname", "name")
+          + " AS name FROM (" + " UNION ALL ".join(
+              f"SELECT leadid, '{c}' AS source_col, {c} AS name FROM leads" for c in NAME_COLUMNS_6)
+          + ") u WHERE name IS NOT NULL AND trim(name) <> ''")
+def k_mask_unpivot(spark, sf):
+    """Name columns melted into one are masked by the policy they share."""
+    return mask(unpivot_names(_leads(spark, sf), NAME_COLUMNS_6))
+
+
+@register("export_csv_masked", oracle=LEADS + "SELECT leadid, " + _fake_of("contact_person_name", "contact_person_name")
+          + " AS contact, " + _hash_sql("customerid") + " AS customer FROM leads")
+def export_csv_masked(spark, sf):
+    """An export is masked unless asked for raw; read back from CSV."""
+    rows = _leads(spark, sf).select("leadid", F.col("contact_person_name").alias("contact"),
+                                    F.col("customerid").alias("customer"))
+    path = io.export_csv(rows, scratch_path(spark, "exports", unique=True))
+    return io.read_export(spark, path, T.StructType.fromDDL("leadid long, contact string, customer string"))
+
+
 PROFILED = [c for c in PR.PROFILE_COLUMNS if c in LEADS_COLUMNS]
 
 

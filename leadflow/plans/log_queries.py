@@ -48,6 +48,27 @@ def x_agent_codes(spark, sf):
     return MS.agent_codes(_v(spark, sf, "messages"))
 
 
+#: Words and phrases of the test texts' languages, as aliases for tagging real-length texts.
+TEXT_ALIASES = [("the", 1), ("of the", 2), ("und der", 3), ("l\u00e9", 4), ("que", 5), ("\u00f3ci", 6), ("st ed", 7)]
+_W = r"[\p{L}\p{M}\p{N}_]"
+
+
+def _tags_text_sql() -> str:
+    aliases = ", ".join(f"('{a}', {p})" for a, p in TEXT_ALIASES)
+    return f"""
+SELECT DISTINCT doc_id AS msg_id, product_id FROM documents, (VALUES {aliases}) AS a(alias, product_id)
+WHERE NOT {_contains_any_sql('lower(text)', ALL_PRODUCTS_PHRASES)}
+  AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || alias || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')
+"""
+
+
+@register("x_tags_documents", oracle=_tags_text_sql())
+def x_tags_documents(spark, sf):
+    """Aliases of several scripts and a very common one found as whole words in every document."""
+    docs = fx.read_table(spark, sf, "documents").select(F.col("doc_id").alias("msg_id"), "text")
+    return MS.product_tags(docs, spark.createDataFrame(TEXT_ALIASES, "alias string, product_id int"), min_alias_len=2)
+
+
 ROUTE_SQL = (r"CASE WHEN length(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 2 "
              "THEN 'simple_metric' WHEN " + _contains_any_sql("lower(text)", MS.LOGIC_KEYWORDS)
              + " THEN 'business_logic' ELSE 'simple_metric' END")
@@ -59,6 +80,20 @@ def x_route(spark, sf):
     return MS.routes(_v(spark, sf, "messages"))
 
 
+@register("x_route_conversations", oracle="SELECT conv_id, turn, " + ROUTE_SQL + " AS route FROM conversations")
+def x_route_conversations(spark, sf):
+    """Route label of every conversation turn."""
+    return fx.read_table(spark, sf, "conversations").select("conv_id", "turn", MS.route(F.col("text")).alias("route"))
+
+
+@register("x_feedback_conversations", oracle="SELECT conv_id, turn, "
+          + _contains_any_sql("lower(text)", MS.FEEDBACK_WORDS) + " AS is_feedback FROM conversations")
+def x_feedback_conversations(spark, sf):
+    """Feedback flag of every conversation turn."""
+    return fx.read_table(spark, sf, "conversations").select("conv_id", "turn",
+                                                            MS.feedback_like(F.col("text")).alias("is_feedback"))
+
+
 @register("x_route_counts", oracle=MSGS + f"SELECT {ROUTE_SQL} AS route, COUNT(*) AS messages FROM messages GROUP BY 1")
 def x_route_counts(spark, sf):
     """Messages per route."""

@@ -8,7 +8,7 @@ from ..streaming import jobs as S
 from .catalog import register
 from .sql import money, with_views
 
-SINCE_ID = 5000
+SINCE_ID = 500
 
 
 def _events(spark: SparkSession, sf: str):
@@ -38,9 +38,9 @@ def s_latest_status(spark, sf):
 
 
 @register("s_since_id", oracle=f"""
-SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id > {SINCE_ID}
+SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id > {SINCE_ID}
 """)
 def s_since_id(spark, sf):
-    """Events with an id above 5000, appended by a stateless stream to a Parquet sink."""
+    """Events with an id above 500, appended by a stateless stream to a Parquet sink."""
     out = S.run_available(spark, S.since_id(_events(spark, sf), SINCE_ID), "since_id", "append")
     return spark.read.parquet(out)

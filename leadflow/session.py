@@ -2,12 +2,15 @@
 
 Library code never invents a machine-local folder: anything it writes goes below the
 directory the cluster names in ``spark.checkpoint.dir``.  Only when that setting is
-absent (local tests) is a private temporary folder chosen and recorded in the session.
+absent and the master is local (tests) is a private temporary folder chosen, recorded in the
+session and removed when the process ends; off local mode a missing setting raises.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,18 +21,22 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def build_session(master: str | None = None, app_name: str = "leadflow",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """A session with the settings the plans assume (AQE on, UTC, UI off)."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    """A session with the settings the plans assume (AQE on, UTC, UI off).
+
+    The master, shuffle partitions and everything about size are set only if passed: what
+    spark-submit or the cluster's defaults say is left alone."""
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -47,10 +54,10 @@ def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes:
     * shuffles: start with enough partitions that each holds about 128 MB of the largest
       shuffle (taken as the input size, an upper bound for these plans), at least 3 per
       core; AQE then coalesces small ones and splits skewed ones at runtime.
-    At 100 TB on 1000 executors x 8 cores this gives ~800k initial shuffle partitions,
-    capped here at 200k; AQE coalesces to ~128 MB each.
+    At 100 TB this is about 745,000 initial shuffle partitions; AQE coalesces them to the
+    advisory size.  Pass the result as ``build_session(extra=...)``.
     """
-    shuffle = max(3 * total_cores, min(200_000, input_bytes // (128 << 20)))
+    shuffle = max(3 * total_cores, input_bytes // (128 << 20))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(int(shuffle)),
@@ -67,8 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and stream checkpoints.
 
     Read from the session (``spark.checkpoint.dir``, else the context's checkpoint
-    folder); set to a private temporary folder only if the session has none (tests and
-    local runs)."""
+    folder).  If the session has none, a private temporary folder serves in local mode;
+    with any other master executors would each write to their own disk, so that raises."""
     value = spark.conf.get(CHECKPOINT_KEY, None)
     if not value:
         try:
@@ -76,7 +83,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:                                # no JVM context (e.g. a remote session)
             value = None
     if not value:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError(f"{CHECKPOINT_KEY} is not set; with master {master!r} it must name a folder that "
+                             "all executors share")
         value = tempfile.mkdtemp(prefix="leadflow-ckpt-")
+        atexit.register(shutil.rmtree, value, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, value)
     try:
         if not spark.sparkContext.getCheckpointDir():

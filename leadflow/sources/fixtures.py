@@ -55,7 +55,13 @@ SELECT l.l_orderkey AS leadid, o.o_custkey AS customerid, p.p_size AS investment
   CASE WHEN l.l_linenumber % 2 = 0 THEN 'hybrid' ELSE 'nothybrid' END AS is_lead_hybrid,
   l.l_extendedprice AS premium, l.l_extendedprice * (1 - l.l_discount) AS revenue,
   l.l_extendedprice * l.l_tax AS brokerage, o.o_totalprice AS suminsured,
-  CAST(l.l_quantity AS INT) AS totalnooflives
+  CAST(l.l_quantity AS INT) AS totalnooflives,
+  concat(s.s_name, ' of ', r.r_name) AS insurerfullname, p.p_brand AS booking_occupancy,
+  o.o_orderstatus AS lead_occupancy,
+  CASE l.l_linenumber % 4 WHEN 0 THEN 'not a date' WHEN 1 THEN CAST(CAST(l.l_shipdate AS DATE) AS STRING)
+    WHEN 2 THEN concat(lpad(CAST(day(l.l_shipdate) AS STRING), 2, '0'), '/',
+                       lpad(CAST(month(l.l_shipdate) AS STRING), 2, '0'), '/', CAST(year(l.l_shipdate) AS STRING))
+    ELSE '' END AS policystartdate
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
   JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey
   JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey

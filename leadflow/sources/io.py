@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from py4j.java_gateway import is_instance_of
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +23,42 @@ STATUS_SCHEMA = T.StructType([
 ])
 
 
-def load_leads(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The fact table with its declared schema (nothing inferred) and masking metadata."""
-    return with_policy(spark.read.format(fmt).schema(FACT_SCHEMA).load(path))
+def load_leads(spark: SparkSession, path: str, fmt: str = "parquet", lead_dates: tuple | None = None) -> DataFrame:
+    """The fact table with its declared schema (nothing inferred) and masking metadata.
+
+    ``lead_dates`` = (first, last), either may be None: only leads of those days.  On a table
+    of ``write_leads`` the months outside are not read (partition pruning)."""
+    df = spark.read.format(fmt).schema(FACT_SCHEMA).load(path)
+    first, last = lead_dates or (None, None)
+    for bound, at_least in ((first, True), (last, False)):
+        if bound is not None:
+            df = df.where(F.col("leaddate") >= F.lit(bound) if at_least else F.col("leaddate") <= F.lit(bound))
+            if "lead_month" in df.columns:
+                month = F.lit(bound.replace(day=1))
+                df = df.where(F.col("lead_month") >= month if at_least else F.col("lead_month") <= month)
+    return with_policy(df.drop("lead_month"))
+
+
+def jdbc_options(url: str, table: str, partition_column: str, lower, upper, num_partitions: int,
+                 fetch_size: int = 10_000, **more: str) -> dict[str, str]:
+    """Options of a partitioned read of a SQL store: ``num_partitions`` range queries in parallel.
+    Rows outside the bounds, and NULLs, come with the first and last range, so none is lost."""
+    if num_partitions < 1:
+        raise ValueError("num_partitions must be at least 1")
+    return {"url": url, "dbtable": table, "partitionColumn": partition_column, "lowerBound": str(lower),
+            "upperBound": str(upper), "numPartitions": str(num_partitions), "fetchsize": str(fetch_size), **more}
+
+
+def load_leads_jdbc(spark: SparkSession, **options) -> DataFrame:
+    """The fact table of a SQL store (``jdbc_options``), cast to the declared schema."""
+    df = spark.read.format("jdbc").options(**jdbc_options(**options)).load()
+    return with_policy(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT_SCHEMA.fields]))
 
 
 def write_leads(df: DataFrame, path: str, partition_by_month: bool = True,
                 max_records_per_file: int = 5_000_000) -> None:
-    """Write the fact table partitioned by lead month, so month windows prune directories.
+    """Write the fact table partitioned by lead month, so ``load_leads(lead_dates=...)`` skips
+    whole directories.
 
     Rows are range-partitioned on (leaddate, leadid): a month - or a single day - holding
     a third of all rows is still cut into many tasks and files, and each file is sorted
@@ -57,17 +87,41 @@ _SELECT = re.compile(r"^\s*select\b", re.IGNORECASE)
 
 
 def adhoc(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
-    """Run a user's single SELECT over the given views; anything else is refused."""
+    """Run a user's single SELECT over the given views; anything else is refused, also a
+    SELECT that names another table, a file path or a table function."""
     text = sql.strip().rstrip(";").strip()
     if not _SELECT.match(text):
         raise ValueError("only a single SELECT statement is accepted")
     if ";" in text:
         raise ValueError("only one statement is accepted")
+    others = _relations(spark._jsparkSession.sessionState().sqlParser().parsePlan(text)) - {v.lower() for v in views}
+    if others:
+        raise ValueError(f"only {sorted(views)} may be read, not {sorted(others)}")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text)
 
 
+def _relations(plan) -> set[str]:
+    """Lower-case names of all tables that a parsed plan reads, subqueries included."""
+    found, todo, gateway = set(), [plan], SparkContext._gateway
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            found.add(node.tableName().lower())
+        elif "TableValuedFunction" in kind:
+            found.add(kind)
+        is_plan = is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.plans.QueryPlan")
+        for seq in (node.children(), *([node.expressions()] if is_plan else [])):
+            todo += [seq.apply(i) for i in range(seq.size())]
+        if kind in ("ScalarSubquery", "ListQuery", "Exists"):
+            todo.append(node.plan())
+        elif kind == "UnresolvedWith":
+            found.add("WITH")
+    return found
+
+
 def query_id(sql: str) -> str:
     """Key of a stored result: first 8 hex digits of MD5 of its SQL text."""
     return hashlib.md5(sql.encode("utf-8")).hexdigest()[:8]
@@ -84,9 +138,10 @@ def load_result(spark: SparkSession, base: str, qid: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{qid}/data")
 
 
-def export_csv(df: DataFrame, path: str) -> str:
-    """Export for download: CSV with a header, written in parallel part files."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, raw: bool = False) -> str:
+    """Export for download: CSV with a header, written in parallel part files; masked by
+    default, raw only on request."""
+    (df if raw else mask(df)).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 

@@ -175,7 +175,7 @@ class ColumnSpec:
     @property
     def metadata(self) -> dict:
         return {"pii_level": self.pii_level, "masking_strategy": self.masking_strategy,
-                "is_categorical": self.categorical}
+                "is_categorical": self.categorical, "source_column": self.name}
 
 
 def _parse_catalog(text: str) -> list[ColumnSpec]:
@@ -229,11 +229,12 @@ def with_policy(df: DataFrame, policy: dict[str, tuple[str, str]] | None = None)
             pii, strategy = policy[field.name]
             spec = CATALOG_BY_NAME.get(field.name)
             meta = {"pii_level": pii, "masking_strategy": strategy,
-                    "is_categorical": bool(spec and spec.categorical)}
+                    "is_categorical": bool(spec and spec.categorical), "source_column": field.name}
         elif field.name in CATALOG_BY_NAME:
             meta = CATALOG_BY_NAME[field.name].metadata
         else:
-            meta = {"pii_level": "none", "masking_strategy": "none", "is_categorical": False}
+            meta = {"pii_level": "none", "masking_strategy": "none", "is_categorical": False,
+                    "source_column": field.name}
         cols.append(df[field.name].alias(field.name, metadata=meta))
     return df.select(*cols)
 

@@ -84,6 +84,7 @@ def hourly_output(df: DataFrame) -> DataFrame:
 
 
 def latest_status(status: DataFrame) -> DataFrame:
+    """Newest status per agent; its state is one row per agent."""
     key = F.struct(F.col("ts"), F.col("event_id"))
     return status.groupBy("AgentCode").agg(
         F.max_by("Status", key).alias("Status"),
@@ -92,7 +93,8 @@ def latest_status(status: DataFrame) -> DataFrame:
 
 
 def since_id(events: DataFrame, last_id: int) -> DataFrame:
-    return events.where(F.col("event_id") > F.lit(int(last_id))).drop("props")
+    """All columns of the events above an id."""
+    return events.where(F.col("event_id") > F.lit(int(last_id)))
 
 
 def _overwrite_each_batch(path: str):

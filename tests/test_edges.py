@@ -182,3 +182,47 @@ def test_write_and_load_leads_round_trip(spark, sf, tmp_path):
 def test_hour_window_offset(zone, minutes):
     from leadflow.streaming.jobs import _sub_hour_offset
     assert _sub_hour_offset(zone) == minutes
+
+
+def test_tags_of_any_script(spark):
+    msgs = spark.createDataFrame([(1, "leads for \u0935\u093e\u0939\u0928 today"), (2, "\u00e9cole!"), (3, "xxe\u0301cole"), (4, "c++ please"),
+                                  (5, "ba a a"), (6, None), (7, "the +++ sign"), (8, "red" * 20_000 + " red")],
+                                 "msg_id long, text string")
+    aliases = spark.createDataFrame([("\u0935\u093e\u0939\u0928", 1), ("\u00c9cole", 2), ("cole", 3), ("c++", 4), ("a a", 5), ("+++", 6), ("red", 7)],
+                                    "alias string, product_id int")
+    got = sorted(tuple(r) for r in MS.product_tags(msgs, aliases).collect())
+    assert got == [(1, 1), (2, 2), (4, 4), (5, 5), (7, 6), (8, 7)]
+
+
+def test_routing_a_long_unbroken_text_is_one_pass(spark):
+    import time
+    msgs = spark.range(8).selectExpr("id AS msg_id", "repeat('x', 200000) AS text")
+    MS.routes(spark.range(1).selectExpr("id AS msg_id", "'a' AS text")).collect()
+    start = time.perf_counter()
+    assert {r.route for r in MS.routes(msgs).collect()} == {"simple_metric"}
+    assert time.perf_counter() - start < 10
+
+
+def test_empty_name_resolves_to_nothing(spark, sf):
+    from leadflow.operators import agents as A
+    from leadflow.sources import fixtures as fx
+    leads = fx.leads(spark, sf)
+    assert A.resolve_agent_id(leads, "  ", (1, 2)).count() == 0
+    assert A.resolve_agent_id(leads, "no such name", (1, 2)).count() == 0
+    assert A.resolve_agent_id(leads, " red widget ", (1, 2, 3)).collect() == \
+        A.resolve_agent_id(leads, "red widget", (1, 2, 3)).collect()
+
+
+def test_newest_event_by_time_then_id(spark):
+    rows = [(1, "2000-01-01 00:00:00.000001", "approved", 5), (1, "2000-01-01 00:00:00", "rejected", 9),
+            (2, "1960-05-05 01:00:00", "approved", 1), (2, "1960-05-05 01:00:00", "rejected", 2), (3, None, "approved", 1)]
+    df = spark.createDataFrame(rows, "id long, t string, decision string, event_id long").selectExpr(
+        "id", "cast(t as timestamp_ntz) AS ts", "decision", "event_id")
+    assert {r.id: r.decision for r in FB.last_decisions(df).collect()} == {1: "approved", 2: "rejected", 3: "approved"}
+
+
+def test_text_dates(spark):
+    df = spark.createDataFrame([("2000-02-29",), ("29/02/2000",), ("2000-02-30",), ("",), (None,), ("soon",), ("01-03-2001",),
+                                ("2001-03-01 10:00:00",)], "t string")
+    assert [r.d and r.d.isoformat() for r in df.select(W.text_date("t").alias("d")).collect()] == [
+        "2000-02-29", "2000-02-29", None, None, None, None, "2001-03-01", "2001-03-01"]

@@ -4,6 +4,8 @@ import contextlib
 import io as _io
 import re
 
+import pytest
+
 import __spark_entry__ as E
 
 
@@ -45,10 +47,26 @@ def test_similarity_join_is_equi_join(spark, sf):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_hot_names_pre_aggregated_before_shuffle(spark, sf):
-    p = plan(E.queries()["j_names_to_codes"](spark, sf))
-    partial = [m.start() for m in re.finditer(r"partial_min_by", p)]
-    assert partial, "newest code per name must be aggregated map-side"
+FACT_SIZED = ("j_names_to_codes", "a_candidates", "a_status_summary", "a_status_breakdown", "a_status_details",
+              "j_agent_status", "r_apply_decisions", "r_promote_approved", "r_status_counts", "j_unpromoted_rules",
+              "r_merge_corrections", "t_most_common_name")
+
+
+@pytest.mark.parametrize("key", FACT_SIZED)
+def test_no_sort_over_the_whole_input(spark, sf, key):
+    """The first aggregation over a scan hashes: no Sort or SortAggregate stands below the first
+    exchange above any scan."""
+    def walk(node, below):
+        name = node.nodeName()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if name.startswith("AdaptiveSparkPlan"):
+            kids = [node.initialPlan()]
+        unexchanged = [k for c in kids for k in walk(c, below)] if kids else [name]
+        if "Exchange" in name:
+            return []
+        assert not (unexchanged and name in ("Sort", "SortAggregate")), f"{name} over {unexchanged}"
+        return unexchanged
+    walk(E.queries()[key](spark, sf)._jdf.queryExecution().executedPlan(), [])
 
 
 def test_similarity_join_has_no_pairwise_group_expansion(spark, sf):
