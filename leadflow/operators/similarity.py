@@ -19,6 +19,9 @@ token shared by many names (a common word, the trigram '##r') is almost never in
 each string joins on a handful of rare tokens, and no group emits all its pairs.  Query
 tokens that no name has cannot be shared; they drop out and shorten the query's prefixes
 by their count.  The exact score is computed only on the surviving candidate pairs.
+
+The result itself is bounded only by the score rule: containment scores 100, so a one-word
+name pairs with every query that holds the word, and a one-word query with every such name.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import written
 
 EPS = 1e-9
 
@@ -85,7 +89,8 @@ def candidate_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataF
     t = float(cutoff) / 100.0
 
     qt = _tokens(queries, "q_id", "q_norm")
-    pt = _tokens(pool, "name", "p_norm")
+    # the pool is made and tokenised once; frequencies and roles read the written tokens
+    pt = written(_tokens(pool, "name", "p_norm"), "pool_tokens")
     # Token frequencies over the pool (partial aggregation; one row per distinct token) give
     # the global order; query tokens the pool lacks drop out in the inner join of _roles.
     freq = pt.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))

@@ -108,6 +108,14 @@ def application_id(spark: SparkSession) -> str:
         return "app"
 
 
+def written(df, name: str):
+    """``df`` written once below the shared folder and read back: computed once however often
+    it is read, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, "written", name, unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A path below the checkpoint folder; ``unique`` adds a fresh component."""
     pieces = [checkpoint_dir(spark), "leadflow", *parts]

@@ -48,3 +48,16 @@ def test_hot_word_emits_few_candidates(spark):
     assert n_cand <= 2 * len(queries)                 # each query meets at most a couple of names
     got = {(r.q_id, r.name) for r in fuzzy_pairs(q, p, 85.0).collect()}
     assert got == _brute(spark, queries, pool, 85.0)  # and nothing is lost ('kumar' is in every query)
+
+
+def test_hundred_thousand_names_with_a_hot_word(spark):
+    """Every name and query holds the same word, the rest is random hexadecimal (few distinct
+    trigrams, the worst case for prefixes): candidates stay under a tenth of all pairs."""
+    from leadflow.operators.similarity import candidate_pairs, fuzzy_pairs
+    pool = spark.range(100_000).selectExpr("concat('common ', md5(cast(id AS string))) AS name").selectExpr("name", "name AS p_norm")
+    queries = (spark.range(0, 100_000, 1000)
+               .selectExpr("id AS q_id", "concat('common ', md5(cast(id AS string)), 'x') AS q_norm"))
+    pairs = candidate_pairs(queries, pool, 88.0)
+    n = pairs.count()
+    assert 100 <= n <= 1_000_000                               # of 10 million possible ones
+    assert fuzzy_pairs(queries, pool, 88.0).select("q_id").distinct().count() == 100
