@@ -21,9 +21,9 @@ SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL
 FROM events GROUP BY 1, 2, 3
 """)
 def s_hourly_metric(spark, sf):
-    """Events and value per tumbling hour and event type from the event stream (complete mode)."""
-    out = S.run_available(spark, S.hourly_metric(_events(spark, sf)), "hourly_metric", "complete")
-    return S.hourly_output(spark.read.parquet(out))
+    """Events and value per tumbling hour and event type from the event stream (update mode)."""
+    out = S.run_available(spark, S.hourly_metric(_events(spark, sf)), "hourly_metric", "update")
+    return S.hourly_output(S.read_updates(spark, out, ["w", "event_type"]))
 
 
 @register("s_latest_status", oracle=with_views("agent_status") + """
@@ -34,7 +34,7 @@ FROM agent_status GROUP BY AgentCode
 def s_latest_status(spark, sf):
     """Newest status per agent, maintained by a streaming aggregation over status events."""
     stream = S.latest_status(S.status_stream(spark, _events(spark, sf)))
-    return spark.read.parquet(S.run_available(spark, stream, "latest_status", "complete"))
+    return S.read_updates(spark, S.run_available(spark, stream, "latest_status", "update"), ["AgentCode"])
 
 
 @register("s_since_id", oracle=f"""

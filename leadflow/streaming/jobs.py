@@ -5,17 +5,21 @@ Sources are file streams with a declared schema; sinks are written below
 exactly where it stopped (the checkpoint replaces the "since" cursor of a poller).
 
 Output modes
-* ``hourly_metric`` - ``append`` in production: the watermark closes an hour once data a
-  ``delay`` later has arrived, and its state is dropped.  ``complete`` keeps every hour
-  and re-emits the whole table each trigger (used to compare with a batch oracle).
-* ``latest_status`` - one row per agent; state size is the number of agents, so the
-  whole table is re-emitted (complete mode) and written with an idempotent overwrite.
+* ``hourly_metric`` - ``update``: each trigger writes only the hours that changed; the watermark
+  drops the state of hours a ``delay`` behind, so state does not grow with history.  ``append``
+  writes each hour once, when it closes.
+* ``latest_status`` - ``update``: each trigger writes the agents that changed; state is one row
+  per agent.
 * ``since_id``      - stateless filter, append.
+
+An updated table is a log: trigger n overwrites its own folder ``batch=n`` (re-running it changes
+nothing, no other folder is touched, a reader never sees a half-written table), and
+``read_updates`` keeps the last row of each key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,24 +101,31 @@ def since_id(events: DataFrame, last_id: int) -> DataFrame:
     return events.where(F.col("event_id") > F.lit(int(last_id)))
 
 
-def _overwrite_each_batch(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:   # idempotent: re-running a batch rewrites it
-        batch.write.mode("overwrite").parquet(path)
+def _write_own_folder(path: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key of an updated table."""
+    newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return (spark.read.parquet(path).withColumn("_nth", F.row_number().over(newest))
+            .where("_nth = 1").drop("_nth", "batch"))
+
+
 def run_available(spark: SparkSession, stream: DataFrame, name: str, output_mode: str) -> str:
     """Run a stream over everything available now; return the folder holding its result.
 
-    append    -> Parquet file sink (exactly-once through the sink's commit log);
-    complete  -> each trigger's full result overwrites the table (foreachBatch)."""
+    append -> Parquet file sink (exactly-once through the sink's commit log);
+    update -> one folder per trigger with the changed rows, read by ``read_updates``."""
     base = scratch_path(spark, "streams", name, unique=True)
     out, ckpt = f"{base}/table", f"{base}/_checkpoint"
     writer = stream.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode)
     if output_mode == "append":
         writer = writer.format("parquet").option("path", out)
     else:
-        writer = writer.foreachBatch(_overwrite_each_batch(out))
+        writer = writer.foreachBatch(_write_own_folder(out))
     q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:

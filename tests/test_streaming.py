@@ -18,8 +18,8 @@ def test_append_mode_emits_closed_hours(spark, sf, tmp_path):
     src = str(tmp_path / "events")
     _copy_events(spark, sf, src)
     stream = S.event_stream(spark, src)
-    complete = S.hourly_output(spark.read.parquet(
-        S.run_available(spark, S.hourly_metric(stream), "t_hourly_complete", "complete")))
+    complete = S.hourly_output(S.read_updates(spark, S.run_available(
+        spark, S.hourly_metric(stream), "t_hourly_update", "update"), ["w", "event_type"]))
     appended = S.hourly_output(spark.read.parquet(
         S.run_available(spark, S.hourly_metric(S.event_stream(spark, src)), "t_hourly_append", "append")))
     max_ts = spark.read.parquet(src).agg(F.max("ts")).collect()[0][0]
@@ -48,3 +48,17 @@ def test_since_id_resumes_from_checkpoint(spark, sf, tmp_path):
     assert len(ids) == len(set(ids))                             # nothing twice
     total = spark.read.parquet(f"{sf}/events.parquet").where(F.col("event_id") > 500).count()
     assert len(ids) == total
+
+
+def test_updates_over_several_triggers_give_the_newest_rows(spark, sf, tmp_path):
+    """Files arriving in event-time order, one a trigger: the update log equals one batch run."""
+    src = str(tmp_path / "events")
+    for lo, hi in ((0, 300), (300, 700), (700, 10**9)):
+        _copy_events(spark, sf, src, (F.col("event_id") >= lo) & (F.col("event_id") < hi))
+    events = S.event_stream(spark, src, max_files_per_trigger=1)
+    out = S.run_available(spark, S.latest_status(S.status_stream(spark, events)), "t_status_update", "update")
+    got = {r.AgentCode: (r.Status, r.LastUpdatedOn) for r in S.read_updates(spark, out, ["AgentCode"]).collect()}
+    batch = S.status_stream(spark, spark.read.schema(S.EVENTS_SCHEMA).parquet(src))
+    want = {r.AgentCode: (r.Status, r.LastUpdatedOn) for r in S.latest_status(batch).collect()}
+    assert got == want
+    assert spark.read.parquet(out).select("batch").distinct().count() == 3
