@@ -1,5 +1,8 @@
 """HTML extraction: host templates, page fallback, broken markup."""
 
+import html
+import re
+
 from leadflow.llm.html_text import Page, extract_text, host_templates, token_rows
 from pyspark.sql import functions as F
 
@@ -72,3 +75,14 @@ def test_very_deep_page_ends_quickly():
     assert Page("<div>" * 3000 + "deep" + "</div>" * 3000).extract(None) == "deep"
     assert Page("<" * 100_000).extract(None).startswith("<")
     assert Page('<a "' * 5000).extract(None) == ""
+
+
+def test_pages_equal_a_direct_reading(spark):
+    """The test pages hold one article element each; its blocks read by plain patterns."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    out = {r.page_id: r for r in extract_text(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner))
+        want = "\n".join(b for b in blocks if b)
+        assert (out[r.page_id].text, out[r.page_id].n_chars, out[r.page_id].url) == (want, len(want), r.url)

@@ -80,3 +80,34 @@ def test_pipeline_stages_against_brute_force(spark):
     ran = C.run(spark, SF).toPandas()
     assert sorted(ran[["doc_id", "start", "ids_crc32"]].itertuples(index=False)) == sorted(
         packed[["doc_id", "start", "ids_crc32"]].itertuples(index=False))
+
+
+def test_simhash_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    fps = [brute_fp(t) for _, t in docs]
+    want = sorted((i, f"{f:016x}", c) for (i, _), f, c in zip(docs, fps, brute_components(fps, [i for i, _ in docs], 2)))
+    assert sorted(map(tuple, Q.queries()["op2_simhash_dedup"](spark, SF).collect())) == want
+
+
+WEIRD = "doc_id long, text string, lang string, source string, n_chars long, row string, m string, copy int, k_id string, bitmap string"
+
+
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark):
+    more, shared = ("x", "x", 1, "y", "y"), "\nshared line of several documents"
+    rows = [(1, "some good words stand here in a line of text for all to read" + shared, "en", "a", 5, *more),
+            (2, "another document with other words that stand here for us to read" + shared, None, "a", None, *more),
+            (2, "another document with other words that stand here for us to read" + shared, None, "a", None, *more),
+            (None, "a third one without any id but with enough words to be kept", None, None, None, *more),
+            (4, None, None, None, None, *more), (5, "", "en", "b", 0, *more),
+            (6, "long text of words " + " ".join(f"w{i}" for i in range(100_000)), "en", "b", 0, *more)]
+    sizes = {}
+    for name, data in (("weird", rows), ("empty", [])):
+        docs = spark.createDataFrame(data, WEIRD)
+        for stage, f in C.STAGES:
+            out = f(spark, docs, SF)
+            if stage != "packing":
+                assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            sizes[name, stage] = docs.count()
+    assert [sizes["weird", s] for s, _ in C.STAGES][:3] == [5, 5, 4]          # 4 and 5 have no words; one of the 2s stays
+    assert not any(sizes["empty", s] for s, _ in C.STAGES)

@@ -1,5 +1,6 @@
 """URL filter: rules, shapes, merged templates and purity, against a plain reading."""
 
+import random
 import re
 
 from leadflow.llm import url_filter as U
@@ -53,3 +54,84 @@ def test_templates_are_rejected_by_purity(spark):
 def test_shapes(spark):
     got = spark.range(1).select(U.path_shape(F.lit("//a/12/page-7.html/0123456789abcdef0123/x/")).alias("s")).first().s
     assert list(got) == ["a", "{n}", "page-{n}.html", "{x}", "x"]
+
+
+def brute_templates(rows, reject=0.9):
+    """The whole method in plain Python: (shape -> template, purity, verdict)."""
+    def shape(path):
+        return tuple(re.sub(r"\d+", "{n}", re.sub(r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{15,}", "{x}", s)) for s in path.split("/") if s)
+    stats = {}
+    for host, path, label in rows:
+        s = stats.setdefault((host, shape(path)), [0, 0, 0])
+        s[0] += 1
+        s[1] += label == "block"
+        s[2] += label is not None
+    now = {k: k[1] for k in stats}
+    for depth in range(max((len(k[1]) for k in stats), default=0)):
+        parents = {}
+        for k, segs in now.items():
+            if len(segs) > depth:
+                c = parents.setdefault((k[0], "/".join(segs[:depth])), {}).setdefault(segs[depth], [0, 0, 0])
+                for i in range(3):
+                    c[i] += stats[k][i]
+        names = {}
+        for p, children in parents.items():
+            total = sum(c[0] for c in children.values())
+            rare = {c for c, v in children.items() if len(children) > U.MAX_CHILDREN and v[0] < U.RARE_CHILD * total}
+            names.update({(p, c): "*" for c in rare})
+            order = sorted((v[1] / v[2], c, v) for c, v in children.items() if c not in rare and v[2] >= U.MIN_LABELS)
+            branches, last = [], None
+            for share, c, v in order:
+                if last:
+                    pooled = (v[1] + last[1]) / (v[2] + last[2])
+                    z2 = U.SIMILAR_Z**2 * pooled * (1 - pooled) * (1 / v[2] + 1 / last[2])
+                if last is None or (share - last[1] / last[2])**2 > z2:
+                    branches.append([])
+                branches[-1].append(c)
+                last = v
+            for b in branches:
+                names.update({(p, c): "|".join(sorted(b)) for c in b})
+        for k, segs in now.items():
+            if len(segs) > depth:
+                name = names.get(((k[0], "/".join(segs[:depth])), segs[depth]), segs[depth])
+                now[k] = (*segs[:depth], name, *segs[depth + 1:])
+    sums = {}
+    for k, segs in now.items():
+        t = sums.setdefault((k[0], segs), [0, 0])
+        t[0] += stats[k][1]
+        t[1] += stats[k][2]
+    key = lambda host, segs: "/".join((host, "/".join(segs)))
+    out = {}
+    for k, segs in now.items():
+        bad, n = sums[k[0], segs]
+        purity = (bad + 1) / (n + 2)
+        out[key(*k)] = (key(k[0], segs), purity, "block" if purity >= reject else "allow")
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(3000):
+        host = rng.choice(["a", "b", "c"])
+        first = rng.choice(["en", "de", "spam", "win", "tag", "user"])
+        second = f"{rng.randrange(50)}" if first != "user" else f"u{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"
+        bad = {"spam": 0.95, "win": 0.97, "tag": 0.5, "de": 0.1, "en": 0.05, "user": 0.9}[first]
+        label = None if rng.random() < 0.3 or (first == "en" and host == "c") else "block" if rng.random() < bad else "allow"
+        rows.append((host, f"/{first}/{second}" + rng.choice(["", "/x", ".html"]), label))
+    df = spark.createDataFrame(rows, "host string, path string, label string").repartition(5)
+    got = {r["shape"]: (r.template, r.purity, r.method) for r in U.template_verdicts(df).collect()}
+    want = brute_templates(rows)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - v[1]) < 1e-12 and got[k][2] == v[2] for k, v in want.items())
+    assert {"block", "allow"} == {v[2] for v in want.values()}
+
+
+def test_pages_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    rows = [(r.page_id, *plain(r.url)) for r in pages.collect()]
+    want = brute_templates([(h, p, v) for _, h, p, _, v in rows])
+    out = {r.page_id: r for r in U.judge_urls(pages).collect()}
+    for i, host, path, rule, verdict in rows:
+        assert (out[i].host, out[i].path, out[i].rule) == (host, path, rule)
+        assert out[i].verdict == (verdict or next(v for t, _, v in want.values() if t == out[i].template))
