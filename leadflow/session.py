@@ -9,7 +9,6 @@ session and removed when the process ends; off local mode a missing setting rais
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid

@@ -13,141 +13,141 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# --- fixed values: column  type  categorical(y/-)  pii_level  masking_strategy ---
-_CATALOG_TEXT = """
-leadid                                   bigint         -   none  none
-customerid                               bigint         -   low   hash
-investmenttypeid                         int            y   none  none
-referralid                               bigint         -   low   hash
-referralid2                              string         y   low   hash
-covertypeid                              int            y   none  none
-leaddate                                 date           -   low   faker
-full_leaddate                            string         -   low   faker
-leadmonth                                string         y   low   faker
-lead_year                                string         y   low   none
-bookingdate                              date           -   low   faker
-full_bookingdate                         string         -   low   faker
-bookingmonth                             string         y   low   none
-booking_year                             string         y   low   none
-leadassigneddate                         date           -   low   faker
-full_leadassigneddate                    string         -   low   faker
-first_assigneddate                       string         -   low   faker
-statusdate                               date           -   low   faker
-issuancedate                             date           -   low   faker
-revenuedate                              date           -   low   faker
-customer_filled_first_transitype_date    string         -   low   faker
-policystartdate                          string         -   low   faker
-policyenddate                            string         -   low   faker
-paymentdate                              string         -   low   faker
-contact_person_name                      string         -   high  faker
-client                                   string         y   low   hash
-companyname                              string         y   low   faker
-occupancyid                              int            y   none  none
-unsubscription_flag                      int            y   none  none
-occupancyname                            string         y   none  none
-parentcategoryid                         int            -   none  none
-occupancyname2                           string         y   none  none
-booking_occupancy                        varchar(500)   y   none  none
-lead_occupancy                           varchar(500)   y   none  none
-mtx_occupancy                            varchar(500)   y   none  none
-leadassignedagentname                    varchar(100)   y   low   faker
-currentlyassigneduser                    varchar(100)   y   low   faker
-leadreportingmanagername                 string         y   low   faker
-leadreportingmanagername2                varchar(100)   y   low   faker
-lead_agentid                             varchar(255)   -   none  hash
-lead_manager_id                          varchar(100)   -   low   hash
-first_assigned_agent                     varchar(100)   y   low   faker
-first_assigned_agentid                   varchar(255)   -   low   hash
-booking_agent                            varchar(100)   y   low   faker
-booking_agent_manager                    string         y   low   faker
-booking_agent_manager2                   varchar(100)   y   low   faker
-booking_manager_id                       varchar(100)   -   low   hash
-bookingagent_id                          varchar(255)   -   low   hash
-lead2assignment_tat_mins                 double         -   none  none
-customer_filled_first_transitype         string         y   none  none
-transittype2                             string         y   none  none
-assignedbyuserid                         bigint         -   low   hash
-assigned_to_group_name                   varchar(200)   y   none  none
-assigntogroupid                          int            -   none  none
-parentid                                 bigint         -   none  none
-transittype                              string         y   none  none
-state                                    varchar(30)    y   low   faker
-city                                     varchar(50)    y   low   faker
-city_tier                                int            y   none  none
-typeofpolicy                             string         y   low   none
-productname                              string         y   none  none
-lead_subproduct                          string         y   none  none
-lead_subproduct2                         varchar(50)    y   none  none
-booking_subproduct                       string         y   none  none
-product_bucket                           string         y   none  none
-planname                                 varchar(100)   y   none  none
-planid                                   int            -   none  none
-leadeb_noneb                             string         y   none  none
-leadsource                               string         y   low   hash
-leadcreationsource                       string         y   low   hash
-utm_source                               string         y   none  none
-final_utmsource                          string         y   none  none
-utm_medium                               string         y   none  none
-utm_term                                 string         -   none  none
-branchname                               string         y   low   faker
-utm_campaign                             string         y   none  none
-utm_content                              string         y   none  none
-mkt_category                             string         y   none  none
-lead_department                          string         y   low   none
-is_lead_hybrid                           string         y   none  none
-booking_eb_noneb                         string         y   none  none
-booking_department                       string         y   none  none
-is_booking_hybrid                        string         y   none  none
-statusname                               varchar(50)    y   low   redact
-bms_statusname                           varchar(50)    y   low   redact
-statusid                                 int            -   none  none
-statusby                                 bigint         -   low   hash
-substatusname                            varchar(100)   y   low   redact
-substatusid                              int            -   none  none
-booking_status                           string         y   low   redact
-suminsured                               double         -   none  none
-premium                                  double         -   none  none
-brokerage                                double         -   none  none
-revenue                                  double         -   none  none
-periodicityamount                        double         -   none  none
-insurername                              varchar(100)   y   low   faker
-supplierid                               int            -   none  none
-insurerfullname                          varchar(100)   y   low   faker
-tpaname                                  string         y   low   faker
-totalnooflives                           int            -   none  none
-totalnoofemployees                       int            -   none  none
-paymentsource                            string         y   low   faker
-policyno                                 string         -   low   hash
-paymentstatus                            bigint         y   none  none
-paymentstatus2                           bigint         y   none  none
-paymentsubstatus                         int            y   none  none
-paymentperiodicity                       string         y   none  none
-new_eb_payment_mode                      string         y   none  none
-policytype                               string         y   none  none
-ispaymentdone                            string         y   none  none
-isassisted                               string         y   none  none
-kycstatusid                              int            y   low   hash
-kyctypeid                                int            y   low   hash
-kyctype                                  string         y   low   none
-kycstatus                                string         y   low   none
-is_pure                                  string         y   none  none
-issuence                                 string         y   none  none
-lead_count                               int            -   none  none
-booking_count                            int            -   none  none
-conversioncheck                          int            y   none  none
-cpmrto                                   int            y   none  none
-customertype                             string         y   low   faker
-continuepq                               string         -   low   faker
-shipmenttype                             string         y   none  none
-leadgrade                                int            y   none  none
-leadrank                                 int            y   none  none
-leadscore                                double         -   none  none
-exitpointurl                             string         -   low   redact
-mktcategory                              string         y   none  none
-mktcategoryfinal                         string         y   none  none
-lead_lob                                 string         y   none  none
-booking_lob                              string         y   none  none
-"""
+# --- fixed values: column, type, categorical, pii_level, masking_strategy ---
+_CATALOG = (
+    ("leadid", "bigint", False, "none", "none"),
+    ("customerid", "bigint", False, "low", "hash"),
+    ("investmenttypeid", "int", True, "none", "none"),
+    ("referralid", "bigint", False, "low", "hash"),
+    ("referralid2", "string", True, "low", "hash"),
+    ("covertypeid", "int", True, "none", "none"),
+    ("leaddate", "date", False, "low", "faker"),
+    ("full_leaddate", "string", False, "low", "faker"),
+    ("leadmonth", "string", True, "low", "faker"),
+    ("lead_year", "string", True, "low", "none"),
+    ("bookingdate", "date", False, "low", "faker"),
+    ("full_bookingdate", "string", False, "low", "faker"),
+    ("bookingmonth", "string", True, "low", "none"),
+    ("booking_year", "string", True, "low", "none"),
+    ("leadassigneddate", "date", False, "low", "faker"),
+    ("full_leadassigneddate", "string", False, "low", "faker"),
+    ("first_assigneddate", "string", False, "low", "faker"),
+    ("statusdate", "date", False, "low", "faker"),
+    ("issuancedate", "date", False, "low", "faker"),
+    ("revenuedate", "date", False, "low", "faker"),
+    ("customer_filled_first_transitype_date", "string", False, "low", "faker"),
+    ("policystartdate", "string", False, "low", "faker"),
+    ("policyenddate", "string", False, "low", "faker"),
+    ("paymentdate", "string", False, "low", "faker"),
+    ("contact_person_name", "string", False, "high", "faker"),
+    ("client", "string", True, "low", "hash"),
+    ("companyname", "string", True, "low", "faker"),
+    ("occupancyid", "int", True, "none", "none"),
+    ("unsubscription_flag", "int", True, "none", "none"),
+    ("occupancyname", "string", True, "none", "none"),
+    ("parentcategoryid", "int", False, "none", "none"),
+    ("occupancyname2", "string", True, "none", "none"),
+    ("booking_occupancy", "varchar(500)", True, "none", "none"),
+    ("lead_occupancy", "varchar(500)", True, "none", "none"),
+    ("mtx_occupancy", "varchar(500)", True, "none", "none"),
+    ("leadassignedagentname", "varchar(100)", True, "low", "faker"),
+    ("currentlyassigneduser", "varchar(100)", True, "low", "faker"),
+    ("leadreportingmanagername", "string", True, "low", "faker"),
+    ("leadreportingmanagername2", "varchar(100)", True, "low", "faker"),
+    ("lead_agentid", "varchar(255)", False, "none", "hash"),
+    ("lead_manager_id", "varchar(100)", False, "low", "hash"),
+    ("first_assigned_agent", "varchar(100)", True, "low", "faker"),
+    ("first_assigned_agentid", "varchar(255)", False, "low", "hash"),
+    ("booking_agent", "varchar(100)", True, "low", "faker"),
+    ("booking_agent_manager", "string", True, "low", "faker"),
+    ("booking_agent_manager2", "varchar(100)", True, "low", "faker"),
+    ("booking_manager_id", "varchar(100)", False, "low", "hash"),
+    ("bookingagent_id", "varchar(255)", False, "low", "hash"),
+    ("lead2assignment_tat_mins", "double", False, "none", "none"),
+    ("customer_filled_first_transitype", "string", True, "none", "none"),
+    ("transittype2", "string", True, "none", "none"),
+    ("assignedbyuserid", "bigint", False, "low", "hash"),
+    ("assigned_to_group_name", "varchar(200)", True, "none", "none"),
+    ("assigntogroupid", "int", False, "none", "none"),
+    ("parentid", "bigint", False, "none", "none"),
+    ("transittype", "string", True, "none", "none"),
+    ("state", "varchar(30)", True, "low", "faker"),
+    ("city", "varchar(50)", True, "low", "faker"),
+    ("city_tier", "int", True, "none", "none"),
+    ("typeofpolicy", "string", True, "low", "none"),
+    ("productname", "string", True, "none", "none"),
+    ("lead_subproduct", "string", True, "none", "none"),
+    ("lead_subproduct2", "varchar(50)", True, "none", "none"),
+    ("booking_subproduct", "string", True, "none", "none"),
+    ("product_bucket", "string", True, "none", "none"),
+    ("planname", "varchar(100)", True, "none", "none"),
+    ("planid", "int", False, "none", "none"),
+    ("leadeb_noneb", "string", True, "none", "none"),
+    ("leadsource", "string", True, "low", "hash"),
+    ("leadcreationsource", "string", True, "low", "hash"),
+    ("utm_source", "string", True, "none", "none"),
+    ("final_utmsource", "string", True, "none", "none"),
+    ("utm_medium", "string", True, "none", "none"),
+    ("utm_term", "string", False, "none", "none"),
+    ("branchname", "string", True, "low", "faker"),
+    ("utm_campaign", "string", True, "none", "none"),
+    ("utm_content", "string", True, "none", "none"),
+    ("mkt_category", "string", True, "none", "none"),
+    ("lead_department", "string", True, "low", "none"),
+    ("is_lead_hybrid", "string", True, "none", "none"),
+    ("booking_eb_noneb", "string", True, "none", "none"),
+    ("booking_department", "string", True, "none", "none"),
+    ("is_booking_hybrid", "string", True, "none", "none"),
+    ("statusname", "varchar(50)", True, "low", "redact"),
+    ("bms_statusname", "varchar(50)", True, "low", "redact"),
+    ("statusid", "int", False, "none", "none"),
+    ("statusby", "bigint", False, "low", "hash"),
+    ("substatusname", "varchar(100)", True, "low", "redact"),
+    ("substatusid", "int", False, "none", "none"),
+    ("booking_status", "string", True, "low", "redact"),
+    ("suminsured", "double", False, "none", "none"),
+    ("premium", "double", False, "none", "none"),
+    ("brokerage", "double", False, "none", "none"),
+    ("revenue", "double", False, "none", "none"),
+    ("periodicityamount", "double", False, "none", "none"),
+    ("insurername", "varchar(100)", True, "low", "faker"),
+    ("supplierid", "int", False, "none", "none"),
+    ("insurerfullname", "varchar(100)", True, "low", "faker"),
+    ("tpaname", "string", True, "low", "faker"),
+    ("totalnooflives", "int", False, "none", "none"),
+    ("totalnoofemployees", "int", False, "none", "none"),
+    ("paymentsource", "string", True, "low", "faker"),
+    ("policyno", "string", False, "low", "hash"),
+    ("paymentstatus", "bigint", True, "none", "none"),
+    ("paymentstatus2", "bigint", True, "none", "none"),
+    ("paymentsubstatus", "int", True, "none", "none"),
+    ("paymentperiodicity", "string", True, "none", "none"),
+    ("new_eb_payment_mode", "string", True, "none", "none"),
+    ("policytype", "string", True, "none", "none"),
+    ("ispaymentdone", "string", True, "none", "none"),
+    ("isassisted", "string", True, "none", "none"),
+    ("kycstatusid", "int", True, "low", "hash"),
+    ("kyctypeid", "int", True, "low", "hash"),
+    ("kyctype", "string", True, "low", "none"),
+    ("kycstatus", "string", True, "low", "none"),
+    ("is_pure", "string", True, "none", "none"),
+    ("issuence", "string", True, "none", "none"),
+    ("lead_count", "int", False, "none", "none"),
+    ("booking_count", "int", False, "none", "none"),
+    ("conversioncheck", "int", True, "none", "none"),
+    ("cpmrto", "int", True, "none", "none"),
+    ("customertype", "string", True, "low", "faker"),
+    ("continuepq", "string", False, "low", "faker"),
+    ("shipmenttype", "string", True, "none", "none"),
+    ("leadgrade", "int", True, "none", "none"),
+    ("leadrank", "int", True, "none", "none"),
+    ("leadscore", "double", False, "none", "none"),
+    ("exitpointurl", "string", False, "low", "redact"),
+    ("mktcategory", "string", True, "none", "none"),
+    ("mktcategoryfinal", "string", True, "none", "none"),
+    ("lead_lob", "string", True, "none", "none"),
+    ("booking_lob", "string", True, "none", "none"),
+)
 # --- end of fixed values ---
 
 
@@ -178,43 +178,12 @@ class ColumnSpec:
                 "is_categorical": self.categorical, "source_column": self.name}
 
 
-def _parse_catalog(text: str) -> list[ColumnSpec]:
-    specs = []
-    for line in text.strip().splitlines():
-        name, type_name, cat, pii, strategy = line.split()
-        specs.append(ColumnSpec(name, type_name, cat == "y", pii, strategy))
-    return specs
-
-
-CATALOG: list[ColumnSpec] = _parse_catalog(_CATALOG_TEXT)
+CATALOG: list[ColumnSpec] = [ColumnSpec(*row) for row in _CATALOG]
 CATALOG_BY_NAME: dict[str, ColumnSpec] = {c.name: c for c in CATALOG}
 
 FACT_SCHEMA = T.StructType([T.StructField(c.name, c.spark_type, True, c.metadata) for c in CATALOG])
 
 
-def high_pii_free_columns() -> list[str]:
-    """Columns a result may be grouped by (PII level not ``high``)."""
-    return [c.name for c in CATALOG if c.pii_level != "high"]
-
-
-def categorical_columns() -> list[str]:
-    return [c.name for c in CATALOG if c.categorical]
-
-
-def measure_columns() -> list[str]:
-    """Numeric, non-categorical columns."""
-    return [c.name for c in CATALOG if c.type_name in ("int", "bigint", "double") and not c.categorical]
-
-
-def date_columns() -> list[str]:
-    return [c.name for c in CATALOG if c.type_name == "date"]
-
-
-def is_valid_dimension(name: str) -> bool:
-    spec = CATALOG_BY_NAME.get(name)
-    return spec is not None and spec.pii_level != "high"
-
-
 def with_policy(df: DataFrame, policy: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Attach masking metadata to the columns of ``df``.
 
