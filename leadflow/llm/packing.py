@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise
 
 WINDOW = 4096
-GROUP_WINDOWS = 512
+GROUP_WINDOWS = 128
 MAX_PIECE = 1024
 CACHED_WORDS = 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
