@@ -23,20 +23,26 @@ STATUS_SCHEMA = T.StructType([
 ])
 
 
-def load_leads(spark: SparkSession, path: str, fmt: str = "parquet", lead_dates: tuple | None = None) -> DataFrame:
+#: Partition column of a written fact table by the date it is laid out for.
+MONTHS = {"leaddate": "lead_month", "bookingdate": "booking_month"}
+
+
+def load_leads(spark: SparkSession, path: str, fmt: str = "parquet", lead_dates: tuple | None = None,
+               booking_dates: tuple | None = None) -> DataFrame:
     """The fact table with its declared schema (nothing inferred) and masking metadata.
 
-    ``lead_dates`` = (first, last), either may be None: only leads of those days.  On a table
-    of ``write_leads`` the months outside are not read (partition pruning)."""
+    ``lead_dates`` and ``booking_dates`` = (first, last), either may be None: only rows with
+    such a date.  On a table that ``write_leads`` laid out by that date the months outside are
+    not read (partition pruning)."""
     df = spark.read.format(fmt).schema(FACT_SCHEMA).load(path)
-    first, last = lead_dates or (None, None)
-    for bound, at_least in ((first, True), (last, False)):
-        if bound is not None:
-            df = df.where(F.col("leaddate") >= F.lit(bound) if at_least else F.col("leaddate") <= F.lit(bound))
-            if "lead_month" in df.columns:
-                month = F.lit(bound.replace(day=1))
-                df = df.where(F.col("lead_month") >= month if at_least else F.col("lead_month") <= month)
-    return with_policy(df.drop("lead_month"))
+    for date, bounds in (("leaddate", lead_dates), ("bookingdate", booking_dates)):
+        for bound, at_least in zip(bounds or (), (True, False)):
+            if bound is not None:
+                df = df.where(F.col(date) >= F.lit(bound) if at_least else F.col(date) <= F.lit(bound))
+                if MONTHS[date] in df.columns:
+                    month, first = F.col(MONTHS[date]), F.lit(bound.replace(day=1))
+                    df = df.where(month >= first if at_least else month <= first)
+    return with_policy(df.drop(*MONTHS.values()))
 
 
 def jdbc_options(url: str, table: str, partition_column: str, lower, upper, num_partitions: int,
@@ -56,20 +62,24 @@ def load_leads_jdbc(spark: SparkSession, **options) -> DataFrame:
 
 
 def write_leads(df: DataFrame, path: str, partition_by_month: bool = True,
-                max_records_per_file: int = 5_000_000) -> None:
-    """Write the fact table partitioned by lead month, so ``load_leads(lead_dates=...)`` skips
-    whole directories.
-
-    Rows are range-partitioned on (leaddate, leadid): a month - or a single day - holding
-    a third of all rows is still cut into many tasks and files, and each file is sorted
-    by date so row-group statistics skip the rest of a window.  The sort leads with the
-    partition column, so the writer needs no extra sort of its own."""
-    w = df.withColumn("lead_month", F.trunc("leaddate", "MM")) if partition_by_month else df
-    order = (["lead_month"] if partition_by_month else []) + ["leaddate", "leadid"]
-    w = w.repartitionByRange("leaddate", "leadid").sortWithinPartitions(*order)
+                max_records_per_file: int = 5_000_000, by: str = "leaddate") -> None:
+    """Write the fact table laid out ``by`` one of its dates and partitioned by that month, so
+    that ``load_leads`` skips whole directories.
+
+    By booking date only rows with a booking are written: the copy that booking-date windows
+    read, beside the full table by lead date.  Rows are range-partitioned on (date, leadid): a
+    month - or a single day - holding a third of all rows is still cut into many tasks and
+    files, and each file is sorted by date so row-group statistics skip the rest of a window.
+    The sort leads with the partition column, so the writer needs no extra sort of its own."""
+    month = MONTHS[by]
+    w = df if by == "leaddate" else df.where(F.col(by).isNotNull())
+    if partition_by_month:
+        w = w.withColumn(month, F.trunc(by, "MM"))
+    order = ([month] if partition_by_month else []) + [by, "leadid"]
+    w = w.repartitionByRange(by, "leadid").sortWithinPartitions(*order)
     writer = w.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
     if partition_by_month:
-        writer = writer.partitionBy("lead_month")
+        writer = writer.partitionBy(month)
     writer.parquet(path)
 
 

@@ -99,15 +99,18 @@ def test_adhoc_reads_the_views_only(spark, leads, sf):
     assert io.adhoc(spark, "SELECT count(*) AS n FROM LEADS a JOIN leads b USING (leadid)", views).count() == 1
 
 
-def test_lead_months_are_pruned(spark, leads, tmp_path):
-    path = str(tmp_path / "leads")
-    io.write_leads(leads, path)
+@pytest.mark.parametrize("date,arg,month", [("leaddate", "lead_dates", "lead_month"),
+                                            ("bookingdate", "booking_dates", "booking_month")])
+def test_months_are_pruned(spark, leads, tmp_path, date, arg, month):
+    path = str(tmp_path / date)
+    io.write_leads(leads, path, by=date)
     first, last = dt.date(2000, 5, 3), dt.date(2000, 5, 20)
-    part = io.load_leads(spark, path, lead_dates=(first, last))
-    assert "lead_month" not in part.columns
-    assert part.count() == leads.where(F.col("leaddate").between(first, last)).count()
+    part = io.load_leads(spark, path, **{arg: (first, last)})
+    assert month not in part.columns
+    assert part.count() == leads.where(F.col(date).between(first, last)).count() > 0
     plan = part._jdf.queryExecution().executedPlan().toString()
-    assert "lead_month" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert month in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert metric_query(part, ["bookings"], dims=["state"]).count() > 0
 
 
 def test_jdbc_options():
