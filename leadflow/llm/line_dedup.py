@@ -1,13 +1,14 @@
 """Line dedup: range-partitioned line hashes, first occurrences streamed, keep bitmaps returned.
 
-1. Every line of every document becomes (128-bit key hash, document, position); the text
-   itself is not shuffled.
+1. Every line of every document becomes (128-bit key hash, document, position), a table
+   written once; the text itself is not shuffled.
 2. The hashes are range-partitioned with a secondary sort by document and position, and a
-   window streams over each run of equal hashes.  A key that a third of all documents hold
-   would be one long run, so each key is dealt in ``SLICES`` slices by document; the first
-   and last document of each slice are then combined (at most ``SLICES`` rows a key).
-3. Lines of shared keys outside the first document are folded into sparse bitmaps, one row
-   per document that loses lines.  Only these meet the text again.
+   window streams over each run of equal hashes: what follows the first occurrence goes.  A key
+   that a third of all documents hold would be one long run, so each key is dealt in ``SLICES``
+   slices by document; the first occurrences of the slices (at most ``SLICES`` documents a key)
+   then meet by key, and all but the smallest document's go too.
+3. The lines that go are folded into sparse bitmaps, one row per document that loses lines.
+   Only these meet the text again.
 
 Cases: a null or empty text is one empty line.  A null document id takes no part: its lines
 are neither counted nor dropped.  Rows that repeat a document id are one document; all their
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, materialise
 
 SLICES = 64
 KEY = ("h1", "h2")
@@ -60,21 +61,20 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for keys that one document repeats."""
     if keep not in ("first_document", "first_line"):
         raise ValueError(f"unknown keep rule {keep!r}")
-    ranged = keyed_lines(docs, id_col, text_col, min_chars).repartitionByRange(*KEY, "slice")
+    # written once: the range sampling and both branches below then read hashes, not texts
+    lines = materialise(keyed_lines(docs, id_col, text_col, min_chars), "lines")
+    ranged = lines.repartitionByRange(*KEY, "slice")
     run = Window.partitionBy(*KEY, "slice").orderBy("doc_id", "pos")
-    streamed = ranged.withColumn("nth", F.row_number().over(run))
-    slices = streamed.groupBy(*KEY, "slice").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    over_key = Window.partitionBy(*KEY)
-    firsts = (slices.select(*KEY, "slice", F.min("lo").over(over_key).alias("first_doc"),
-                            F.max("hi").over(over_key).alias("last_doc")))
-    if keep == "first_document":
-        firsts = firsts.where("first_doc <> last_doc")
-        goes = F.col("doc_id") != F.col("first_doc")
-    else:
-        goes = (F.col("doc_id") != F.col("first_doc")) | (F.col("nth") > 1)
-    dropped = (streamed.join(firsts, [*KEY, "slice"]).where(goes)
-               .select("doc_id", "text_hash", "pos").distinct())
-    words = (dropped.repartition("doc_id", "text_hash")
+    streamed = ranged.withColumn("first_doc", F.first("doc_id").over(run))
+    later = F.col("doc_id") != F.col("first_doc")
+    if keep == "first_line":
+        streamed = streamed.withColumn("nth", F.row_number().over(run))
+        later = later | (F.col("nth") > 1)
+    heads = streamed.where(~later).withColumn("first_doc", F.min("doc_id").over(Window.partitionBy(*KEY)))
+    place = ["doc_id", "text_hash", "pos"]
+    dropped = (streamed.where(later).select(*place)
+               .union(heads.where("doc_id <> first_doc").select(*place)))
+    words = (dropped.repartition("doc_id", "text_hash").distinct()          # repeated rows once; one shuffle for all
              .groupBy("doc_id", "text_hash", F.floor(F.col("pos") / 64).cast("int").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")))
     return (words.groupBy("doc_id", "text_hash")
