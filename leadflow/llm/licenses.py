@@ -1,8 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; those with a licence word are normalised (lower case, comment
-marks and punctuation dropped, white space single) and looked up among known licence
-sentences.  The sequence of identifiers found is then matched against ordered rules: a rule
+A text is cut into pieces at line breaks and marks, which are normalised (lower case, comment
+marks and punctuation dropped, white space single).  A known licence sentence may be one piece
+or several that follow each other, so hard-wrapped texts, comment blocks and sentences with ';'
+or ':' inside are found; blank lines are not crossed, the longest sentence wins.  Every other
+piece with a licence word is a sentence of its own.  The sequence of identifiers found is then matched against ordered rules: a rule
 names a licence and the identifiers that make it, in order; its match is taken out before the
 next rule is tried, so a long licence text is recognised before its single sentences could be.
 Identifiers no rule uses are left over, and sentences with a licence word that no entry knows
@@ -87,6 +89,18 @@ SENTENCES = {
     "released into the public domain": "PublicDomain",
     "all rights reserved": "AllRights",
 }
+#: First half of the Apache notice, up to '; you may not use this file ...', and SPDX names.
+HEADERS = {
+    **{f"{start} apache license version 2 0 the license": "Ref:Apache-2.0" for start in (
+        "licensed under the", "this file is licensed under the", "the asf licenses this file to you under the",
+        "this project is licensed under the", "this software is licensed under the", "this code is licensed under the")},
+    **{f"spdx license identifier {name}": id for id, names in {
+        "Ref:GPL-2.0": ("gpl 2 0", "gpl 2 0 only"), "Gpl2Later": ("gpl 2 0 or later",),
+        "Ref:GPL-3.0": ("gpl 3 0", "gpl 3 0 only"), "Gpl3Later": ("gpl 3 0 or later",),
+        "Ref:LGPL-2.1": ("lgpl 2 1", "lgpl 2 1 only"), "Ref:LGPL-3.0": ("lgpl 3 0", "lgpl 3 0 only"),
+        "Ref:AGPL-3.0": ("agpl 3 0", "agpl 3 0 only"), "Ref:BSD-2-Clause": ("bsd 2 clause",),
+        "Ref:BSD-3-Clause": ("bsd 3 clause",), "Ref:ISC": ("isc",)}.items() for name in names},
+}
 #: (licence, identifiers in order), tried in this order; Ref:X is a sentence that grants X by name.
 RULES = (
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs")), ("MIT", ("MitGrant", "MitNotice")), ("MIT", ("MitGrant",)),
@@ -107,6 +121,35 @@ def known_sentences() -> dict[str, str]:
     return out | SENTENCES
 
 
+#: Ends a piece that has a licence word.
+FLAG = "\x01"
+_GAP = rf"(?:{FLAG}?\n| )"
+
+
+def one_of(sentences) -> str:
+    """A pattern of ``sentences`` as a tree of words, the longest first; between words a space or a new piece."""
+    tree: dict = {}
+    for s in sentences:
+        at = tree
+        for word in s.split():
+            at = at.setdefault(word, {})
+        at[""] = {}
+
+    def pattern(node):
+        ways = [word + (_GAP + rest if (rest := pattern(below)) and "" not in below else f"(?:{_GAP}{rest})?" if rest else "")
+                for word, below in sorted(node.items(), reverse=True) if word]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+
+    return pattern(tree)
+
+
+def known_pattern() -> str:
+    """Whole pieces, after a list mark or none, that make up a known sentence (group 1)."""
+    names = one_of(name for names in NAMES.values() for name in names)
+    grant = f"{one_of(GRANTS)}{_GAP}(?:(?:the|an|a){_GAP})?{names}"
+    return rf"(?m)^(?:(?:[0-9]{{1,2}}|[a-h]|[iv]{{1,3}}) )?((?:{one_of(SENTENCES | HEADERS)}|{grant}){FLAG}?)$"
+
+
 def normalise(sentence: Column) -> Column:
     """Lower case; anything but letters and digits is one space."""
     return F.btrim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
@@ -136,16 +179,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     licences (in order of the rules, each once, joined by a space), n_left (identifiers no rule
     used) and n_unknown (sentences that no entry knows)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    table = F.from_json(F.lit(json.dumps(known_sentences())), "map<string,string>")
+    table = F.from_json(F.lit(json.dumps(HEADERS | known_sentences())), "map<string,string>")
     has_word = lambda s: F.regexp_like(s, F.lit(LICENSE_WORDS))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(has_word(text), F.filter(sentences(text), has_word)).alias("s"))
-    rows = rows.withColumn("ids", F.transform("s", lambda s: F.coalesce(F.try_element_at(table, normalise(s)), F.lit("?"))))
-    rows = rows.withColumn("known", F.array_remove("ids", "?"))
+    may_hold = F.regexp_like(text, F.lit(LICENSE_WORDS.replace(" ", r"[^\p{L}\p{N}]+")))       # words may be wrapped
+    flagged = lambda s: F.concat(normalise(s), F.when(has_word(s), FLAG).otherwise(""))
+    plain = lambda m: F.translate(m, "\n" + FLAG, " ")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(
+        may_hold, F.array_join(F.transform(sentences(text), flagged), "\n")).alias("s"))
+    rows = rows.withColumn("found", F.filter(
+        F.regexp_extract_all("s", F.lit(known_pattern()), F.lit(1)),
+        lambda m: F.contains(m, F.lit(FLAG)) | (F.contains(m, F.lit("\n")) & has_word(plain(m)))))
+    rows = rows.withColumn("known", F.transform("found", lambda m: F.try_element_at(table, plain(m))))
+    rows = rows.withColumn("unknown", F.regexp_count(F.regexp_replace("s", known_pattern(), ""), F.lit(FLAG)))
     rows = rows.withColumn("m", F.when(F.size("known") > 0, apply_rules(F.col("known"))))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
-        "doc_id", number(F.greatest(F.size("s"), F.lit(0))).alias("n_sentences"),
+        "doc_id", number(F.size("known") + F.col("unknown")).alias("n_sentences"),
         F.coalesce(F.array_join("known", " "), F.lit("")).alias("sentence_ids"),
         F.coalesce(F.array_join(F.array_distinct("m.found"), " "), F.lit("")).alias("licences"),
         number(F.regexp_count("m.left", F.lit("<"))).alias("n_left"),
-        number(F.size("ids") - F.size("known")).alias("n_unknown"))
+        number(F.col("unknown")).alias("n_unknown"))

@@ -1,5 +1,7 @@
 """Licence scans: sentences, sequences and leftovers."""
 
+import textwrap
+
 from leadflow.llm.licenses import known_sentences, scan
 
 SCHEMA = "doc_id long, text string, licences string, s string, ids string, known string, m string"
@@ -38,3 +40,41 @@ def test_scan(spark):
 
 def test_known_sentences_are_normalised():
     assert all(s == " ".join(s.lower().split()) for s in known_sentences())
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{mark2} either version {v} of the License, or (at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+
+
+def wrapped(text, width, mark="", item=""):
+    return "\n".join(f"{mark}{line}".rstrip() for part in text.split("\n") for line in
+                     (textwrap.wrap(part, width, initial_indent=item * part.startswith(("Redis", "Neither"))) or [""]))
+
+
+def test_wrapped_canonical_texts(spark):
+    gpl2, gpl3 = GPL.format(mark=";", mark2=";", v=2), GPL.format(mark=":", mark2=",", v=3)
+    texts = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + NAMES, "BSD-3-Clause"), (APACHE, "Apache-2.0"),
+             (gpl2, "GPL-2.0-or-later"), (gpl3, "GPL-3.0-or-later"), (ISC, "ISC")]
+    rows, want = [], {}
+    for text, licence in texts:
+        for form in (text, wrapped(text, 75), wrapped(text, 30), wrapped(text, 72, "# ", "1. "), wrapped(text, 70, " * ", "* "),
+                     wrapped(text, 60, "// ", "a) ").replace("\n", "\r\n"), "Copyright (c) 2020 A. Person\n\n" + wrapped(text, 75) + "\n\ncode"):
+            want[len(rows)] = licence
+            rows.append((len(rows), form, *"abcde"))
+    for r in scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (r.licences, r.n_left) == (want[r.doc_id], 0), rows[r.doc_id][1]
+
+
+def test_sentences_with_marks_inside(spark):
+    texts = {"SPDX-License-Identifier: MIT": "MIT", "License: MIT": "MIT", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0-or-later",
+             "words here\nAll rights\n reserved.": "LicenseRef-all-rights-reserved", "Licensed under the\nMIT License.": "MIT",
+             "This software is released under the\n\nMIT License.": "", "License: MIT or what you like": "",
+             "prose without an end\nLicensed under CC BY-NC 4.0.\nmore": "CC-BY-NC-4.0"}
+    df = spark.createDataFrame([(i, t, *"abcde") for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r for r in scan(df).collect()}
+    assert [out[i].licences for i in range(len(texts))] == list(texts.values())
+    assert (out[0].n_sentences, out[0].n_unknown, out[6].n_unknown) == (1, 0, 1)
