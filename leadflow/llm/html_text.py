@@ -1,19 +1,22 @@
 """HTML extraction by template deduction from equivalence classes of tokens.
 
 Pages of one host share a template.  A token is a structural tag in its place (the tags above
-it with their class and id names).  Its occurrence vector is how often it stands in each page
-of the host; tokens with equal vectors form an equivalence class.  Vectors are compared by an
-additive hash over pages, so a host of any size needs one small row per token and its pages are
-never brought together.
-
-A class is valid if it is frequent (in at least half of the host's pages, and in two) and
-nested (every token's parent belongs to a class at least as frequent).  The valid classes
-nest into the host's template.  Between template tokens are slots; the main slot is the
-deepest valid token, once per page, that holds nearly all running text of the host's pages
-outside menus, adverts and the like.  The text of a page is what its main slot holds.
-
-A page without its host's main slot, or of a host with a single page, is taken as a template
-of its own.  Only tags make templates: text that all pages of a host repeat is still text.
+it with their class and id names) or a block of text in its place.  Its occurrence vector is how
+often it stands in each page of the host; tokens with equal vectors form an equivalence class.
+Vectors are compared by an additive hash over pages, so a host of any size needs one small row
+per token and its pages are never brought together.
+
+A class is valid if it is frequent (in at least half of the host's pages, and in two) and holds a
+tag.  Its blocks of text are the template's (three pages at least): they are removed, what is
+left stands in the template's slots.  Two exceptions keep text: if template blocks make up more
+than ``COPIES`` of a host's text its pages are copies of each other, and a page that holds
+nothing else keeps them.
+
+The main slot is the deepest valid token, once per page, outside which all text is the
+template's or boilerplate (by element or by ``MARKS``); it is never below an article or main
+element.  A page with other text outside takes its own deepest place that holds all of it, so no
+page loses text to its host's slot.  A marked element inside an article or main element, or
+inside a main slot other than the body, counts as text unless its class makes it the template's.
 
 Cases: null or empty html, or no running text, gives an empty text.  A null url or one without
 a host shares the empty host.  Broken markup: unclosed tags end with their parent, stray end
@@ -28,13 +31,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import broadcast_if_small, materialise
 from .url_filter import url_host
 
 MAX_BROADCAST_HOSTS = 200_000
-MAIN_SHARE = 0.9           # of the running text that the main slot holds at least
+COPIES = 0.8               # share of a host's text from which on what its pages share is no template
+TEMPLATE_PAGES = 3         # that a block of text is in at least to be the template's; two in a marked element
 FREQUENT = 0.5             # share of a host's pages that a valid class is in at least
 
 #: Tags by role.
@@ -55,18 +60,26 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
                     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_BELOW_MAIN = r">(?:article|main)(?:\.[^>]*)?>"
+
+
+def text_token(place: str, block: str) -> int:
+    """A block of text in its place, as a signed long."""
+    h = xxhash.xxh64_intdigest(f"{place}\0{block}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Page:
     """One parse of a page: for every structural place how often it stands there and how much
-    running text and link text is below it; the blocks of text with the places above them."""
+    running text is below it; the blocks of text with the places above them and the outermost
+    marked place among these, if any (marked blocks do not count as running text)."""
 
     def __init__(self, source: str):
         self.places: dict[str, list[int]] = {"": [1, 0]}
-        self.blocks: list[tuple[tuple[str, ...], str]] = []
-        self.stack: list[tuple[str, str, bool]] = []        # tag, place, boilerplate from here down
+        self.blocks: list[tuple[tuple[str, ...], str, str | None]] = []
+        self.stack: list[tuple[str, str, bool, str | None]] = []        # tag, place, boilerplate and mark above it
         self.above: tuple[str, ...] = ("",)
-        self.skip, self.links, self.open = False, 0, []
+        self.skip, self.mark, self.open = False, None, []
         at, n = 0, len(source)
         while at < n:
             m = _TOKEN.search(source, at)
@@ -98,8 +111,8 @@ class Page:
             block = " ".join(entities.unescape("".join(self.open)).split())
             self.open = []
             if block:
-                self.blocks.append((self.above, block))
-                for place in set(self.above):
+                self.blocks.append((self.above, block, self.mark))
+                for place in set(self.above) if self.mark is None else ():
                     self.places[place][1] += len(block)
 
     def start(self, tag: str, attributes: str, empty: bool) -> None:
@@ -112,73 +125,106 @@ class Page:
         parent = self.stack[-1][1] if self.stack else ""
         place = f"{parent}>{tag}" + "".join("." + w for w in sorted(words))
         skip = self.skip or tag in BOILERPLATE or (
-            tag not in ("html", "body", "main", "article") and not words.isdisjoint(MARKS)) or (
-            tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack))
-        self.stack.append((tag, place, self.skip))
+            tag == "header" and not any(t in ("article", "main") for t, *_ in self.stack))
+        self.stack.append((tag, place, self.skip, self.mark))
         self.skip = skip
+        if self.mark is None and tag not in ("html", "body", "main", "article") and not words.isdisjoint(MARKS):
+            self.mark = place
         self.places.setdefault(place, [0, 0])[0] += 1
         self.above += (place,)
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        if tag in STRUCTURE and any(t == tag for t, _, _ in self.stack):
+        if tag in STRUCTURE and any(t == tag for t, *_ in self.stack):
             while self.stack:
-                t, _, self.skip = self.stack.pop()
+                t, _, self.skip, self.mark = self.stack.pop()
                 self.above = self.above[:-1]
                 if t == tag:
                     break
 
-    def main(self) -> str:
-        """The deepest place, once in the page, with nearly all of its running text."""
-        whole = self.places[""][1]
-        return max((p for p, (times, chars) in self.places.items() if times == 1 and chars >= MAIN_SHARE * whole),
+    def texts(self) -> dict[int, list]:
+        """Text token -> [place, times, running characters]."""
+        out: dict[int, list] = {}
+        for above, block, mark in self.blocks:
+            t = out.setdefault(text_token(above[-1], block), [above[-1], 0, 0])
+            t[1] += 1
+            t[2] += len(block) if mark is None else 0
+        return out
+
+    def main(self, blocks: list[tuple[str, ...]]) -> str:
+        """The deepest place, once in the page and not below an article or main element, above all ``blocks``."""
+        shared = set(blocks[0]).intersection(*blocks[1:]) if blocks else {""}
+        return max((p for p in shared if self.places[p][0] == 1 and not re.search(_BELOW_MAIN, p)),
                    key=lambda p: p.count(">"), default="")
 
-    def extract(self, main: str | None) -> str:
-        if main is None or not self.places.get(main, (0, 0))[1]:
-            main = self.main()
-        return "\n".join(block for above, block in self.blocks if main in above)
+    def extract(self, main: str | None, template: frozenset[int] = frozenset()) -> str:
+        """All running text but the template's, and marked elements inside the main slot that are not the template's."""
+        gone = [bool(template) and text_token(above[-1], block) in template for above, block, _ in self.blocks]
+        running = [above for (above, _, mark), g in zip(self.blocks, gone) if mark is None and not g]
+        if not running:                                     # a page of nothing but shared text
+            gone = [g and mark is not None for (_, _, mark), g in zip(self.blocks, gone)]
+            running = [above for above, _, mark in self.blocks if mark is None]
+        if main is None or self.places.get(main, (0, 0))[0] != 1 or not all(main in above for above in running):
+            main = self.main(running)
+        inside = running and main.rsplit(">", 1)[-1].split(".")[0] not in ("", "html", "body")
+        return "\n".join(block for (above, block, mark), g in zip(self.blocks, gone) if not g and (
+            mark is None or re.search(_BELOW_MAIN, mark) or (inside and mark.startswith(main + ">"))))
 
 
 def token_rows(pages: DataFrame) -> DataFrame:
-    """(host, place, page, times, chars) for every structural place of every page."""
+    """(host, place, text, page, times, chars, whole) for every structural place (``text`` is null)
+    and every block of text of every page; ``whole`` is the page's running text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for host, page, source in zip(*(b.column(i).to_pylist() for i in range(3))):
-                out += [(host, p, page, times, chars) for p, (times, chars) in Page(source).places.items()]
-            h, p, k, t, c = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(p, pa.string()), pa.array(k, pa.int64()),
-                                              pa.array(t, pa.int64()), pa.array(c, pa.int64())],
-                                             ["host", "place", "page", "times", "chars"])
+                parsed = Page(source)
+                whole = parsed.places[""][1]
+                out += [(host, p, None, page, times, chars, whole) for p, (times, chars) in parsed.places.items()]
+                out += [(host, p, t, page, times, chars, whole) for t, (p, times, chars) in parsed.texts().items()]
+            cols = zip(*out) if out else ((),) * 7
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(cols)],
+                ["host", "place", "text", "page", "times", "chars", "whole"])
 
-    return pages.mapInArrow(run, "host string, place string, page long, times long, chars long")
+    return pages.mapInArrow(run, "host string, place string, text long, page long, times long, chars long, whole long")
 
 
 def host_templates(tokens: DataFrame) -> DataFrame:
-    """(host, main): the main slot of each host with two pages or more that has one."""
+    """(host, main, template): the main slot of each host with two pages or more, and the text
+    tokens of its template."""
     h = F.xxhash64("page", "times")
-    vectors = materialise(tokens.groupBy("host", "place").agg(
+    vectors = materialise(tokens.groupBy("host", "place", "text").agg(
         F.sum(F.shiftright(h, 32)).alias("v1"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("v2"),
-        F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), F.sum("chars").alias("chars")), "vectors")
-    root = vectors.where("place = ''").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("whole"))
-    classes = vectors.groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("class_size"))
-    frequent = (vectors.join(classes, ["host", "v1", "v2"]).join(root, "host")
-                .where((F.col("pages") >= 2) & (F.col("pages") >= FREQUENT * F.col("host_pages"))))
-    above = frequent.select("host", F.col("place").alias("parent"), F.col("pages").alias("parent_pages"))
-    nested = (frequent.withColumn("parent", F.regexp_replace("place", ">[^>]*$", "")).join(above, ["host", "parent"])
-              .where("parent_pages >= pages"))
+        F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), F.sum("chars").alias("chars"),
+        F.sum("whole").alias("whole")).where("text is null or pages >= 2"), "vectors")
+    root = vectors.where("place = '' and text is null").select(
+        "host", F.col("pages").alias("host_pages"), F.col("whole").alias("host_whole"))
+    frequent = vectors.join(root, "host").where((F.col("pages") >= 2) & (F.col("pages") >= FREQUENT * F.col("host_pages")))
+    tags, texts = frequent.where("text is null"), frequent.where("text is not null")
+    valid = texts.join(tags.select("host", "v1", "v2").distinct(), ["host", "v1", "v2"]).where(
+        (F.col("chars") == 0) | (F.col("pages") >= TEMPLATE_PAGES))
+    found = valid.groupBy("host").agg(F.sum("chars").alias("shared"), F.max("host_whole").alias("of"),
+                                      F.collect_list(F.struct("text", "place", "chars")).alias("t"))
+    found = found.select("host", F.when(F.col("shared") > COPIES * F.col("of"), F.filter("t", lambda x: x["chars"] == 0))
+                         .otherwise(F.col("t")).alias("t"))
+    at = tags.where((F.col("most") == 1) & ~F.regexp_like("place", F.lit(_BELOW_MAIN))).join(found, "host", "left")
+    outside = F.aggregate(F.coalesce("t", F.expr("cast(array() as array<struct<text:bigint,place:string,chars:bigint>>)")),
+                          F.lit(0).cast("long"), lambda a, x: a + F.when(
+        (x["place"] == F.col("place")) | F.startswith(x["place"], F.concat("place", F.lit(">"))), F.lit(0)).otherwise(x["chars"]))
+    holds = at.where(F.col("whole") - F.col("chars") <= outside)
     depth = F.size(F.split("place", ">"))
-    holds = nested.where((F.col("most") == 1) & (F.col("chars") >= MAIN_SHARE * F.col("whole")))
-    return holds.groupBy("host").agg(F.max_by("place", F.struct(depth, "class_size", "place")).alias("main"))
+    return holds.groupBy("host").agg(F.max_by("place", F.struct(depth, "place")).alias("main"),
+                                     F.first(F.col("t.text")).alias("template"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(source).extract(main) for source, main in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [Page(source).extract(main, frozenset(template or ()))
+                     for source, main, template in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
@@ -187,5 +233,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"), url_host(F.col(url_col)).alias("host"))
     tokens = token_rows(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html"))
     templates = broadcast_if_small(materialise(host_templates(tokens), "templates"), MAX_BROADCAST_HOSTS)
-    return (rows.join(templates, "host", "left").select("page_id", "url", "html", "main")
+    return (rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "template")
             .mapInArrow(run, "page_id long, url string, text string, n_chars long"))

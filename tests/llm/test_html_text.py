@@ -86,3 +86,13 @@ def test_pages_equal_a_direct_reading(spark):
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner))
         want = "\n".join(b for b in blocks if b)
         assert (out[r.page_id].text, out[r.page_id].n_chars, out[r.page_id].url) == (want, len(want), r.url)
+
+
+def test_classes_remove_the_template_text(spark):
+    page = "<body><main><div class=box>{box}</div><p>Text {i} of the page</p><p>once {i}</p></main>"
+    out = got(spark, [(i, "http://boxes.example/", page.format(i=i, box="Read our letter")) for i in range(4)]
+              + [(10 + i, "http://two.example/", page.format(i=i, box="Said on two pages")) for i in range(2)]
+              + [(20 + i, "http://some.example/", page.format(i=i, box="Said by most" if i else "not here")) for i in range(5)])
+    assert all(out[i] == f"Text {i} of the page\nonce {i}" for i in range(4))
+    assert all(out[10 + i].startswith("Said on two pages\n") for i in range(2))       # too few pages
+    assert all(out[20 + i].startswith("Said by most\n") for i in range(1, 5))         # not where its element is
