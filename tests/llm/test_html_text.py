@@ -88,6 +88,23 @@ def test_pages_equal_a_direct_reading(spark):
         assert (out[r.page_id].text, out[r.page_id].n_chars, out[r.page_id].url) == (want, len(want), r.url)
 
 
+def test_lead_and_body_and_mixed_layouts_keep_their_text(spark):
+    lead = [(i, "http://lead.example/", f"<body><article><div class=lead>Lead {i}</div><div class=body>{f'body {i} ' * 60}</div></article>")
+            for i in range(4)]
+    mixed = [(10 + i, "http://mixed.example/", f"<body><div class=a>{f'words {i} ' * 90}</div><div class=b></div>") for i in range(9)]
+    mixed.append((19, "http://mixed.example/", "<body><div class=a>x</div><div class=b>the article stands here</div>"))
+    out = got(spark, lead + mixed)
+    assert all(out[i] == f"Lead {i}\n" + f"body {i} " * 59 + f"body {i}" for i in range(4))
+    assert out[19] == "x\nthe article stands here" and out[10].startswith("words 0 words 0")
+
+
+def test_marked_elements_in_the_article_go_with_evidence_only(spark):
+    page = ("<body><div class='ad'>ad {i}</div><article><p>Text {i}</p><section id=related-work>Others {i} did this.</section>"
+            "<div class=share>Tell your friends</div></article>")
+    out = got(spark, [(i, "http://marks.example/", page.format(i=i)) for i in range(4)])
+    assert all(out[i] == f"Text {i}\nOthers {i} did this." for i in range(4))
+
+
 def test_classes_remove_the_template_text(spark):
     page = "<body><main><div class=box>{box}</div><p>Text {i} of the page</p><p>once {i}</p></main>"
     out = got(spark, [(i, "http://boxes.example/", page.format(i=i, box="Read our letter")) for i in range(4)]
