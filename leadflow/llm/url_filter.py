@@ -5,9 +5,10 @@
 2. The path's segments are generalised by shape (numbers, hex strings, file extensions kept),
    and urls are counted per (host, shape): from here on work is on shapes, not pages.
 3. The tree of each host is walked level by level.  Rare children of a parent with many become
-   the wildcard ``*``.  The others (at most ``MAX_CHILDREN`` a parent) are put in order of their
-   share of bad labels; neighbours whose shares do not differ significantly (a two-proportion
-   test) merge into one branch, named ``a|b``.  Branches with too few labels stay apart.
+   the wildcard ``*`` if they have fewer than ``MIN_LABELS`` labels.  Children with more, rare or
+   not, are put in order of their share of bad labels; neighbours whose shares do not differ
+   significantly (a two-proportion test) merge into one branch, named ``a|b`` (``a|+n`` if more
+   than ``MAX_CHILDREN``).  Other children with too few labels stay apart.
 4. A template's purity is (bad + 1) / (labelled + 2).  At ``reject`` or more its pages are
    blocked.  Templates without labels stand at one half and are allowed.
 
@@ -73,17 +74,25 @@ def merge_level(shapes: DataFrame, depth: int) -> DataFrame:
     parents = children.groupBy("parent").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("p_n"))
     sized = materialise(children.join(parents, "parent").withColumn(
         "rare", (F.col("fan") > MAX_CHILDREN) & (F.col("n") < RARE_CHILD * F.col("p_n"))), "children")
-    by_share = Window.partitionBy("parent").orderBy(F.col("bad") / F.col("labelled"), "child")
-    before = lambda c: F.lag(c).over(by_share)
-    pooled = (F.col("bad") + before("bad")) / (F.col("labelled") + before("labelled"))
-    spread = pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before("labelled"))
-    apart = F.col("bad") / F.col("labelled") - before("bad") / before("labelled")
-    labelled = (sized.where(~F.col("rare") & (F.col("labelled") >= MIN_LABELS))
-                .withColumn("starts", F.coalesce(apart * apart > SIMILAR_Z * SIMILAR_Z * spread, F.lit(True)).cast("int"))
-                .withColumn("branch", F.sum("starts").over(by_share)))
-    names = labelled.groupBy("parent", "branch").agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("name"))
-    merged = (labelled.join(names, ["parent", "branch"]).select("parent", "child", "name").where("child <> name")
-              .union(sized.where("rare").select("parent", "child", F.lit("*"))))
+    labelled = sized.where(F.col("labelled") >= MIN_LABELS).withColumn("share", F.col("bad") / F.col("labelled"))
+    # equal shares never differ: one row each, with the counts of its first and last child
+    counts = F.struct("bad", "labelled")
+    steps = labelled.groupBy("parent", "share").agg(F.min_by(counts, "child").alias("c"), F.max_by(counts, "child").alias("last"))
+    by_share = Window.partitionBy("parent").orderBy("share")
+    steps = steps.withColumn("b", F.lag("last").over(by_share))
+    pooled = (F.col("c.bad") + F.col("b.bad")) / (F.col("c.labelled") + F.col("b.labelled"))
+    spread = pooled * (1 - pooled) * (1 / F.col("c.labelled") + 1 / F.col("b.labelled"))
+    apart = F.col("share") - F.col("b.bad") / F.col("b.labelled")
+    branches = (steps.withColumn("starts", F.coalesce(apart * apart > SIMILAR_Z * SIMILAR_Z * spread, F.lit(True)).cast("int"))
+                .select("parent", "share", F.sum("starts").over(by_share).alias("branch")))
+    members = materialise(labelled.join(branches, ["parent", "share"]).select("parent", "child", "branch"), "branches")
+    sizes = members.groupBy("parent", "branch").agg(F.count(F.lit(1)).alias("size"), F.min("child").alias("least"))
+    many = F.col("size") > MAX_CHILDREN
+    names = (members.join(sizes.where(~many), ["parent", "branch"]).groupBy("parent", "branch")
+             .agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("name"))
+             .union(sizes.where(many).select("parent", "branch", F.concat("least", F.lit("|+"), (F.col("size") - 1).cast("string")))))
+    merged = (members.join(names, ["parent", "branch"]).select("parent", "child", "name").where("child <> name")
+              .union(sized.where(F.col("rare") & (F.col("labelled") < MIN_LABELS)).select("parent", "child", F.lit("*"))))
     segs = F.when(F.col("name").isNotNull(), F.transform(
         "segs", lambda s, i: F.when(i == depth, F.col("name")).otherwise(s)))
     return (at.join(merged, ["parent", "child"], "left")

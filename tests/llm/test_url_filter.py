@@ -135,3 +135,19 @@ def test_pages_equal_brute_force(spark):
     for i, host, path, rule, verdict in rows:
         assert (out[i].host, out[i].path, out[i].rule) == (host, path, rule)
         assert out[i].verdict == (verdict or next(v for t, _, v in want.values() if t == out[i].template))
+
+
+def test_a_blocked_section_among_many_stays_alone(spark):
+    sections = ["de"] + [f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(39)]
+    out = U.judge_urls(pages(spark, [f"http://big.example.com/{s}/{i}" for s in sections for i in range(12)])).collect()
+    assert {r.path.split("/")[1] for r in out if r.verdict == "block"} == {"de"}
+    assert {r.template for r in out} == {"big.example.com/de/{n}", "big.example.com/*/{n}"}
+
+
+def test_allowed_labels_do_not_hide_a_rare_bad_section(spark):
+    rows = [("h", f"/{chr(97 + i % 26)}{chr(97 + i // 26)}/{j}", "block" if i == 7 else "allow") for i in range(60) for j in range(10)]
+    rows += [("h", f"/x{chr(97 + i)}y/{j}", None) for i in range(20) for j in range(10)]
+    out = {r["shape"]: r for r in U.template_verdicts(spark.createDataFrame(rows, "host string, path string, label string")).collect()}
+    assert [s for s, r in out.items() if r.method == "block"] == ["h/ha/{n}"]
+    assert {r.template for r in out.values()} == {"h/ha/{n}", "h/aa|+58/{n}", "h/*/{n}"}       # long names are cut short
+    assert sum(r.n for r in out.values()) == len(rows)
