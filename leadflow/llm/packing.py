@@ -17,13 +17,9 @@ An empty table gives no rows.  Only the id and text columns are read.
 
 from __future__ import annotations
 
-import codecs
 import heapq
 import math
-import re
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -31,87 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise
+from .word_ids import WordIds, default_tokenizer, text_slices
 
 WINDOW = 4096
 GROUP_WINDOWS = 128
 MAX_PIECE = 1024
-CACHED_WORDS = 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-#: Marks that end a word; a run of them is a token group of its own.  Without < | > so that the
-#: strings of special tokens stay whole, and without the apostrophe (contractions).
-_MARKS = b".,;:!?#*$%&\"()[]{}-_=+~/"
-#: Letters that composition leaves alone and that lower-case one to one.
-_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: Where A-Z may not be lower-cased ahead of the tokenizer: combining marks that join a letter
-#: in one case only, and what could become the string of a special token.
-_UNSAFE = re.compile(rb"[\xcc\xcd]|<\|")
-
-
-class WordIds(dict):
-    """Token ids (bytes of little-endian 32-bit numbers) by word (bytes without white space).
-
-    The tokenizer cuts at white space and between letters and marks, so a text's ids are those
-    of its words one after the other.  A word of Latin letters and closing marks goes straight
-    to the merges of the tokenizer's model, any other through the whole tokenizer."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer, self.cores, self.marks = Tokenizer.from_file(path), {}, {}
-        # the byte alphabet of byte-level merges: visible bytes stand for themselves, others follow 255
-        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = iter(range(256, 512))
-        self.alphabet = "".join(chr(b if b in shown else next(hidden)) for b in range(256))
-
-    @classmethod
-    def in_worker(cls, path: str) -> WordIds:
-        """The table of this Python worker, which serves one task after the other."""
-        held = sys.modules.setdefault("_packing_worker", types.ModuleType("_packing_worker")).__dict__
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
-
-    def whole(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_MARKS)
-        marks, text = word[len(core):], core.decode()
-        if not _LATIN.fullmatch(text):
-            found = self.whole(word)
-        else:
-            text = text.lower()
-            found = self.cores.get(text)
-            if found is None:
-                letters = text if text.isascii() else codecs.charmap_decode(text.encode(), "strict", self.alphabet)[0]
-                ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
-                found = self.cores[text] = struct.pack(f"<{len(ids)}I", *ids)
-            if marks:
-                if marks not in self.marks:
-                    self.marks[marks] = self.whole(marks)
-                found += self.marks[marks]
-        self[word] = found
-        return found
-
-    def of(self, text: bytes) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        if len(self.cores) > 2 * CACHED_WORDS:
-            self.cores.clear()
-            self.marks.clear()
-        if not _UNSAFE.search(text):
-            text = text.lower()
-        return b"".join([self[w] for w in text.split()])
-
-
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window: int = WINDOW,
                  max_piece: int = MAX_PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every row: full windows, then the rest in near-equal parts."""
@@ -120,20 +43,23 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.in_worker(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                out = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    ids = words.of(text) + end
-                    n = len(ids) // 4
+            docs, at = b.column(0).to_pylist(), 0
+            for texts in text_slices(b.column(1)):
+                found, sizes = words.of(texts)
+                view, first, out = memoryview(found.astype("<u4").tobytes()), 0, []
+                for doc, size in zip(docs[at:at + len(texts)], sizes.tolist()):
+                    n = size + 1                            # with the end id
                     cuts = list(range(0, n - n % window + 1, window))
                     parts = math.ceil((n % window) / max_piece)
                     cuts += [cuts[-1] + (n % window) * (i + 1) // parts for i in range(parts)]
-                    view = memoryview(ids)
-                    out += [(doc, a, z - a, zlib.crc32(view[4 * a:4 * z]), n) for a, z in zip(cuts, cuts[1:])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
-                                                 [pa.array([], pa.int64()) for _ in names], names)
+                    for a, z in zip(cuts, cuts[1:]):
+                        crc = zlib.crc32(view[4 * (first + a):4 * (first + min(z, size))])
+                        out.append((doc, a, z - a, zlib.crc32(end, crc) if z == n else crc, n))
+                    first += size
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
+                                                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, PIECE)

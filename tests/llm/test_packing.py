@@ -8,25 +8,8 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from leadflow.llm import packing as P
-
-TEXTS = [None, "", "plain words, and more.", "<|endoftext|>, x<|startoftext|>!", "É ẞ Σίσυφος ΣΑΣ J̌ İstanbul 你好 1st 2,000 don't it's",
-         "a\x0bb\x1cc d e", "word " * 9000, "… “quoted” … (x) --- ... ?!", "x" * 5000, "word " * 4095, "UPPER <|ENDOFTEXT|>"]
-
-
-def test_words_equal_the_tokenizer():
-    words = P.WordIds(P.default_tokenizer())
-    for t in TEXTS:
-        want = words.tokenizer.encode(t or "", add_special_tokens=False).ids
-        assert words.of((t or "").encode()) == struct.pack(f"<{len(want)}I", *want), t
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("aAbé.É,'-<|>1 \t́ßΣ#你\n"), max_size=30))
-def test_words_equal_the_tokenizer_on_any_text(text):
-    words = P.WordIds.in_worker(P.default_tokenizer())
-    want = words.tokenizer.encode(text, add_special_tokens=False).ids
-    assert words.of(text.encode()) == struct.pack(f"<{len(want)}I", *want)
-
+from leadflow.llm.word_ids import default_tokenizer
+from test_word_ids import TEXTS
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
@@ -46,7 +29,7 @@ def test_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(2, TEXTS[2])] * 300 + [(None, "no id")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, grp string, length int")
     out = [r.asDict() for r in P.pack(df).collect()]
-    tokenizer = Tokenizer.from_file(P.default_tokenizer())
+    tokenizer = Tokenizer.from_file(default_tokenizer())
     want, got = [], {}
     for i, t in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
