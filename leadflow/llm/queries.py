@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from .common import table
 from .html_text import extract_text
 from .licenses import scan
@@ -13,6 +14,7 @@ from .packing import pack
 from .quality_model import score, train_all
 from .quality_rules import quality_report
 from .simhash import simhash_digest
+from .token_files import read_checksums, write_tokens
 from .topk import top_k
 from .url_filter import judge_urls
 from .oracles import ORACLES
@@ -71,8 +73,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the token-id files."""
+    path = scratch_path(spark, "llm", "tokens", unique=True)
+    write_tokens(table(spark, sf_dir, "documents"), path, end_id=1)
+    return read_checksums(spark, path)
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_dedup, op3_source_mixing, op4_exact_topk,
-                                   op5_quality_classifier, op6_html_text, op7_license_scan, op8_url_filter, op9_packing, op10_quality_rules)}
+                                   op5_quality_classifier, op6_html_text, op7_license_scan, op8_url_filter, op9_packing,
+                                   op10_quality_rules, op11_token_files)}
 
 
 def queries() -> dict:
