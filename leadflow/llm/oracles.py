@@ -115,6 +115,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP12 = """
+WITH n AS (SELECT *, row_number() OVER () AS r FROM embeddings),
+v AS (
+  SELECT r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM n
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT q.r AS a, q.vec_id AS anchor_id, c.r, c.vec_id, q.label = c.label AS same, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
+p AS (
+  SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r)::INTEGER AS positive_rank
+  FROM s WHERE same QUALIFY positive_rank <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, positive_rank ORDER BY score DESC, vec_id, r)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score, positive_rank
+FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -151,4 +172,4 @@ FROM documents d LEFT JOIN r{len(steps)} r USING (doc_id)
 
 
 ORACLES = {"op1_line_dedup": OP1.strip(), "op3_source_mixing": OP3.strip(), "op4_exact_topk": OP4.strip(),
-           "op7_license_scan": license_sql().strip(), "op10_quality_rules": OP10.strip()}
+           "op7_license_scan": license_sql().strip(), "op12_hard_negatives": OP12.strip(), "op10_quality_rules": OP10.strip()}

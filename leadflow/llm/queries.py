@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from .common import table
+from .hard_negatives import mine
 from .html_text import extract_text
 from .licenses import scan
 from .line_dedup import line_dedup_digest
@@ -80,9 +81,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(spark, path)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3 best rows of other labels scoring 50 to 95 % of each positive, for every 50th id's 5 positives;
+    every 7th id has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_dedup, op3_source_mixing, op4_exact_topk,
                                    op5_quality_classifier, op6_html_text, op7_license_scan, op8_url_filter, op9_packing,
-                                   op10_quality_rules, op11_token_files)}
+                                   op10_quality_rules, op11_token_files, op12_hard_negatives)}
 
 
 def queries() -> dict:
