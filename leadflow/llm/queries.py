@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
+from .alignment import align
 from .common import table
 from .hard_negatives import mine
 from .html_text import extract_text
@@ -88,9 +89,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document, weighed by the corpus's counts."""
+    return align(table(spark, sf_dir, "documents")).drop("linked")
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash_dedup, op3_source_mixing, op4_exact_topk,
                                    op5_quality_classifier, op6_html_text, op7_license_scan, op8_url_filter, op9_packing,
-                                   op10_quality_rules, op11_token_files, op12_hard_negatives)}
+                                   op10_quality_rules, op11_token_files, op12_hard_negatives, op13_token_alignment)}
 
 
 def queries() -> dict:

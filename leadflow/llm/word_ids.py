@@ -66,39 +66,84 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class WordIds:
+def kept_in_worker(name, make):
+    """What ``make`` gave in this Python worker, which serves one task after the other."""
+    held = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__.setdefault("held", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+class TextTable:
+    """Texts and, for each, a run of values in every column; the texts not met for longest go first."""
+
+    def __init__(self, kinds: list, table_bytes: int = TABLE_BYTES):
+        self.table_bytes, self.batch = table_bytes, 0
+        self.words = pa.array([], pa.large_string())
+        self.values = [np.empty(0, k) for k in kinds]
+        self.sizes = [np.empty(0, np.int32) for _ in kinds]
+        self.met = np.empty(0, np.int32)                    # the last batch that held the text
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.met.nbytes + sum(x.nbytes for x in self.values + self.sizes)
+
+    def fresh(self, words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each column the values of new texts one after the other, and how many each text has."""
+        raise NotImplementedError
+
+    def rows(self, keys: pa.Array) -> np.ndarray:
+        """Table rows of distinct texts, which are added if new."""
+        found = pc.index_in(keys, value_set=self.words)
+        rows, new = found.fill_null(0).to_numpy().astype(np.int64), found.is_null().to_numpy(zero_copy_only=False)
+        self.met[rows[~new]] = self.batch
+        if new.any():
+            more = keys.filter(pa.array(new))
+            rows[new] = len(self.words) + np.arange(len(more))
+            for c, (values, sizes) in enumerate(self.fresh(more)):
+                self.values[c] = np.concatenate([self.values[c], values])
+                self.sizes[c] = np.concatenate([self.sizes[c], sizes.astype(np.int32)])
+            self.words = pa.concat_arrays([self.words, more])
+            self.met = np.concatenate([self.met, np.full(len(more), self.batch, np.int32)])
+        return rows
+
+    def forget(self) -> None:
+        """Long texts go, and beyond the bound the texts not met for longest, down to half of it."""
+        keep = pc.binary_length(self.words).to_numpy() <= KEPT_BYTES
+        if self.nbytes > self.table_bytes:
+            each = self.nbytes / max(1, len(self.words))
+            cost = np.cumsum(np.bincount(self.batch - self.met, minlength=1)) * each
+            keep &= self.batch - self.met < max(1, int(np.searchsorted(cost, self.table_bytes / 2, "right")))
+            if keep.sum() * each > self.table_bytes:
+                keep[:] = False                             # one batch alone is beyond the bound
+        if not keep.all():
+            self.values = [v[np.repeat(keep, n)] for v, n in zip(self.values, self.sizes)]
+            self.words, self.met, self.sizes = self.words.filter(pa.array(keep)), self.met[keep], [n[keep] for n in self.sizes]
+
+
+class WordIds(TextTable):
     """Token ids of texts; see the module's head."""
 
     def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         from tokenizers import Tokenizer
         check_tokenizer(path)
-        self.tokenizer, self.table_bytes = Tokenizer.from_file(path), table_bytes
+        self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
-        self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.batch = 0
-        self.words = pa.array([], pa.large_string())
-        self.ids, self.sizes = np.empty(0, self.kind), np.empty(0, np.int32)
-        self.met = np.empty(0, np.int32)                    # the last batch that held the word
+        self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
+        super().__init__([self.kind], table_bytes)
 
     @classmethod
     def in_worker(cls, path: str) -> WordIds:
         """The table of this Python worker, which serves one task after the other."""
-        held = sys.modules.setdefault("_word_ids_worker", types.ModuleType("_word_ids_worker")).__dict__
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
-
-    @property
-    def nbytes(self) -> int:
-        return self.words.nbytes + self.ids.nbytes + self.sizes.nbytes + self.met.nbytes
+        return kept_in_worker(("word ids", path), lambda: cls(path))
 
     def _one(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and numbers of ids of new words: words of letters go to the tokenizer in one text."""
+    def fresh(self, words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Words of letters go to the tokenizer in one text."""
         is_letters = pc.match_substring_regex(words, LATIN)
         letters, plain = is_letters.to_numpy(zero_copy_only=False), words.filter(is_letters)
         cuts = pa.array([*range(0, len(plain), NEW_WORDS), len(plain)], pa.int32())
@@ -116,33 +161,7 @@ class WordIds:
         out, of_letters = np.empty(int(sizes.sum()), self.kind), np.repeat(letters, sizes)
         out[of_letters] = ids
         out[~of_letters] = [i for o in others for i in o]
-        return out, sizes
-
-    def _rows(self, keys: pa.Array) -> np.ndarray:
-        """Table rows of distinct words, which are added if new."""
-        found = pc.index_in(keys, value_set=self.words)
-        rows, new = found.fill_null(0).to_numpy().astype(np.int64), found.is_null().to_numpy(zero_copy_only=False)
-        self.met[rows[~new]] = self.batch
-        if new.any():
-            more = keys.filter(pa.array(new))
-            ids, sizes = self._many(more)
-            rows[new] = len(self.words) + np.arange(len(more))
-            self.words = pa.concat_arrays([self.words, more])
-            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes.astype(np.int32)])
-            self.met = np.concatenate([self.met, np.full(len(more), self.batch, np.int32)])
-        return rows
-
-    def _forget(self) -> None:
-        """Long words go, and beyond the bound the words not met for longest, down to half of it."""
-        keep = pc.binary_length(self.words).to_numpy() <= KEPT_BYTES
-        if self.nbytes > self.table_bytes:
-            cost = np.cumsum(np.bincount(self.batch - self.met, minlength=1).astype(float)) * (self.nbytes / max(1, len(self.words)))
-            keep &= self.batch - self.met < max(1, int(np.searchsorted(cost, self.table_bytes / 2, "right")))
-            if keep.sum() * (self.nbytes / max(1, len(self.words))) > self.table_bytes:
-                keep[:] = False                             # one batch alone is beyond the bound
-        if not keep.all():
-            self.ids = self.ids[np.repeat(keep, self.sizes)]
-            self.words, self.sizes, self.met = self.words.filter(pa.array(keep)), self.sizes[keep], self.met[keep]
+        return [(out, sizes)]
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (no nulls) one after the other, and how many each text has."""
@@ -162,16 +181,17 @@ class WordIds:
         tails = pc.replace_substring_regex(words.filter(marked), LATIN.rstrip("$"), "")
         keys = pa.concat_arrays([pc.if_else(latin, pc.utf8_lower(core), words), tails])
         keys = keys.dictionary_encode()
-        rows = self._rows(keys.dictionary)[keys.indices.to_numpy()]
-        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        rows = self.rows(keys.dictionary)[keys.indices.to_numpy()]
+        values, sizes = self.values[0], self.sizes[0]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
         # a word is two runs of the table's ids: its letters and its marks (none if it has no marks)
         tail = np.full(len(words), -1)
         tail[marked.to_numpy(zero_copy_only=False)] = rows[len(words):]
         run = np.stack([rows[:len(words)], tail], 1)
-        run_size = np.where(run < 0, 0, self.sizes[run]) if len(self.sizes) else np.zeros(run.shape, np.int64)
-        run_start = np.where(run < 0, 0, starts[run]) if len(self.sizes) else np.zeros(run.shape, np.int64)
-        ids = ragged(self.ids, run_start[word].ravel(), run_size[word].ravel())
+        run_size = np.where(run < 0, 0, sizes[run]) if len(sizes) else np.zeros(run.shape, np.int64)
+        run_start = np.where(run < 0, 0, starts[run]) if len(sizes) else np.zeros(run.shape, np.int64)
+        ids = ragged(values, run_start[word].ravel(), run_size[word].ravel())
         upto = np.concatenate([[0], np.cumsum(run_size.sum(1)[word])])
         bounds = upto[np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()]
-        self._forget()
+        self.forget()
         return ids, np.diff(bounds)
