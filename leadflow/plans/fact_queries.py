@@ -558,3 +558,47 @@ def j_product_dim(spark, sf):
     product dimension (one row per product is joined, not one per lead)."""
     return metric_query(_leads(spark, sf), ["leads", "premium"], dims=["investmenttypeid"],
                         products_dim=_dim(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.17 grouping sets
+
+from ..operators import cube as CU  # noqa: E402
+
+_CUBE_METRICS = ["leads", "bookings", "premium", "conversion_rate", "avg_premium"]
+_CUBE_SQL = (f"GROUPING(referralkind, mkt_category, is_lead_hybrid)::INTEGER AS level, COUNT(*) AS leads, {BOOKED} AS bookings, "
+             f"{money('premium')} AS total_premium, {CONV} AS conversion_rate, "
+             f"{money('premium')} / NULLIF(COUNT(premium), 0) AS avg_premium")
+
+
+def _referral_kind(leads):
+    """Referral ids of three kinds, one of them NULL: a dimension with NULL values of its own."""
+    return leads.withColumn("referralkind", F.when(F.col("referralid") > 0, F.lit("some")).when(F.col("referralid") == 0, F.lit("zero")))
+
+
+_CUBE_LEADS = LEADS.rstrip() + """,
+kinds AS (SELECT *, CASE WHEN referralid > 0 THEN 'some' WHEN referralid = 0 THEN 'zero' END AS referralkind FROM leads)
+"""
+
+
+@register("g_cube", oracle=_CUBE_LEADS + f"""
+SELECT referralkind, mkt_category, is_lead_hybrid, {_CUBE_SQL} FROM kinds
+GROUP BY CUBE (referralkind, mkt_category, is_lead_hybrid)
+""")
+def g_cube(spark, sf):
+    """Five metrics for all subsets of three dimensions; NULL values and totals are told apart by ``level``."""
+    return CU.cube_query(_referral_kind(_leads(spark, sf)), _CUBE_METRICS, ["referralkind", "mkt_category", "is_lead_hybrid"])
+
+
+@register("g_rollup_months", oracle=LEADS + f"""
+SELECT CAST(date_trunc('month', bookingdate) AS DATE) AS month, mkt_category, investmenttypeid,
+       GROUPING(CAST(date_trunc('month', bookingdate) AS DATE), mkt_category, investmenttypeid)::INTEGER AS level,
+       {BOOKED} AS bookings, {money('revenue')} AS total_revenue
+FROM leads WHERE bookingdate >= DATE '2000-01-01' AND bookingdate <= DATE '2000-06-30'
+GROUP BY GROUPING SETS ((CAST(date_trunc('month', bookingdate) AS DATE), mkt_category, investmenttypeid),
+                        (CAST(date_trunc('month', bookingdate) AS DATE), mkt_category), (CAST(date_trunc('month', bookingdate) AS DATE)), ())
+""")
+def g_rollup_months(spark, sf):
+    """Bookings and revenue by month, market and product with subtotals down to the half-year's total."""
+    dims = ["month", "mkt_category", "investmenttypeid"]
+    return CU.cube_query(_leads(spark, sf), ["bookings", "revenue"], dims[1:], CU.rollup_sets(dims), bucket="month",
+                         between=(dt.date(2000, 1, 1), dt.date(2000, 6, 30)))

@@ -107,6 +107,21 @@ SELECT p_partkey AS q_id,
   CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, 't')
     WHEN 2 THEN upper(p_name) ELSE replace(p_name, 'o', '0') END AS q_name
 FROM {part}
+""",
+    # Leads with the moment they were booked, laid over the month of the status events.
+    "lead_bookings": """
+SELECT l_orderkey AS leadid, l_linenumber AS line, concat('AG', lpad(CAST(l_suppkey AS STRING), 5, '0')) AS agent,
+  CASE WHEN l_partkey % 50 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + l_orderkey % 31 * INTERVAL '1' DAY
+                                     + l_partkey % 1440 * INTERVAL '1' MINUTE END AS booked_at
+FROM {lineitem} WHERE l_linestatus = 'F'
+""",
+    # Spans of time in which an alert or a campaign of an agent ran.
+    "alert_spans": """
+SELECT c_custkey AS span_id, concat('AG', lpad(CAST(c_custkey % 150 AS STRING), 5, '0')) AS agent,
+  TIMESTAMP '2024-01-01 00:00:00' + c_custkey * 7 % 700 * INTERVAL '1' HOUR AS starts_at,
+  TIMESTAMP '2024-01-01 00:00:00' + c_custkey * 7 % 700 * INTERVAL '1' HOUR
+    + CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 24 WHEN 2 THEN 168 ELSE 0 END * INTERVAL '1' HOUR AS ends_at
+FROM {customer}
 """,
     "subscriptions": """
 SELECT c_custkey AS id, c_nationkey AS user_id,
