@@ -1,8 +1,9 @@
 """Structured Streaming jobs: hourly metric, newest status per agent, rows since an id.
 
-Sources are file streams with a declared schema; sinks are written below
-``spark.checkpoint.dir`` with a checkpoint per query, so a restarted job resumes
-exactly where it stopped (the checkpoint replaces the "since" cursor of a poller).
+Sources are file streams with a declared schema.  ``run_available`` runs a job in a folder that holds
+its table and its checkpoint: run again with the same folder it resumes exactly where it stopped (the
+checkpoint replaces the "since" cursor of a poller).  Without a folder it takes a new one below
+``spark.checkpoint.dir``.
 
 Output modes
 * ``hourly_metric`` - ``update``: each trigger writes only the hours that changed; the watermark
@@ -14,11 +15,16 @@ Output modes
 
 An updated table is a log: trigger n overwrites its own folder ``batch=n`` (re-running it changes
 nothing, no other folder is touched, a reader never sees a half-written table), and
-``read_updates`` keeps the last row of each key.
+``read_updates`` keeps the last row of each key.  ``compact_updates`` folds the log into a base of one
+row per key, which readers take from the moment it is named in ``bases``; only later triggers are read
+beside it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,26 +109,62 @@ def since_id(events: DataFrame, last_id: int) -> DataFrame:
 
 def _write_own_folder(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
     return write
 
 
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return rows.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+
+
+def _updates(spark: SparkSession, path: str, keys: list[str]) -> tuple[DataFrame, int]:
+    """The newest row of each key with its trigger, and the trigger up to which the base reaches (-1: none)."""
+    try:
+        upto = spark.read.schema("upto long").parquet(f"{path}/bases").agg(F.max("upto")).first()[0]
+    except AnalysisException:                               # not compacted yet
+        upto = None
+    log = spark.read.parquet(f"{path}/log").withColumn("batch", F.col("batch").cast("long"))
+    if upto is None:
+        return _newest(log, keys), -1
+    base = spark.read.parquet(f"{path}/base-{upto}")
+    return _newest(base.unionByName(log.where(F.col("batch") > upto)), keys), upto
+
+
 def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row of each key of an updated table."""
-    newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return (spark.read.parquet(path).withColumn("_nth", F.row_number().over(newest))
-            .where("_nth = 1").drop("_nth", "batch"))
+    return _updates(spark, path, keys)[0].drop("batch")
+
 
+def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> int:
+    """Fold all triggers so far into a base; the last trigger in it.
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str, output_mode: str) -> str:
+    Run it between triggers.  The base is whole before it is named, so a reader or a run that is
+    stopped half-way sees the old base; doing it again changes nothing."""
+    rows, upto = _updates(spark, path, keys)
+    last = spark.read.parquet(f"{path}/log").agg(F.max("batch")).first()[0]
+    if int(last) == upto:
+        return upto
+    rows.write.mode("overwrite").parquet(f"{path}/base-{last}")
+    spark.createDataFrame([(int(last),)], "upto long").coalesce(1).write.mode("append").parquet(f"{path}/bases")
+    return int(last)
+
+
+def run_available(spark: SparkSession, stream: DataFrame, name: str, output_mode: str, folder: str | None = None,
+                  write: Callable[[DataFrame, int], None] | None = None) -> str:
     """Run a stream over everything available now; return the folder holding its result.
 
     append -> Parquet file sink (exactly-once through the sink's commit log);
-    update -> one folder per trigger with the changed rows, read by ``read_updates``."""
-    base = scratch_path(spark, "streams", name, unique=True)
+    update -> one folder per trigger with the changed rows, read by ``read_updates``;
+    ``write`` -> called with each trigger's rows and number; it must overwrite what it wrote for that number.
+
+    ``folder`` is the job's own: a later run with it takes up only what has come since."""
+    base = folder or scratch_path(spark, "streams", name, unique=True)
     out, ckpt = f"{base}/table", f"{base}/_checkpoint"
     writer = stream.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode)
-    if output_mode == "append":
+    if write is not None:
+        writer = writer.foreachBatch(write)
+    elif output_mode == "append":
         writer = writer.format("parquet").option("path", out)
     else:
         writer = writer.foreachBatch(_write_own_folder(out))

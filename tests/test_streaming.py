@@ -61,4 +61,40 @@ def test_updates_over_several_triggers_give_the_newest_rows(spark, sf, tmp_path)
     batch = S.status_stream(spark, spark.read.schema(S.EVENTS_SCHEMA).parquet(src))
     want = {r.AgentCode: (r.Status, r.LastUpdatedOn) for r in S.latest_status(batch).collect()}
     assert got == want
-    assert spark.read.parquet(out).select("batch").distinct().count() == 3
+    assert spark.read.parquet(f"{out}/log").select("batch").distinct().count() == 3
+
+
+def _status_now(spark, out):
+    return {r.AgentCode: (r.Status, r.LastUpdatedOn) for r in S.read_updates(spark, out, ["AgentCode"]).collect()}
+
+
+def test_a_job_resumes_in_its_folder_and_its_log_is_compacted(spark, sf, tmp_path):
+    src, folder = str(tmp_path / "events"), str(tmp_path / "job")
+    last = -1
+    for k, (lo, hi) in enumerate(((0, 200), (200, 400), (400, 600), (600, 10**9))):
+        _copy_events(spark, sf, src, (F.col("event_id") >= lo) & (F.col("event_id") < hi))
+        stream = S.latest_status(S.status_stream(spark, S.event_stream(spark, src)))
+        out = S.run_available(spark, stream, "t_resume", "update", folder=folder)
+        batch = S.status_stream(spark, spark.read.schema(S.EVENTS_SCHEMA).parquet(src))
+        want = {r.AgentCode: (r.Status, r.LastUpdatedOn) for r in S.latest_status(batch).collect()}
+        assert _status_now(spark, out) == want
+        if k in (1, 3):
+            upto = S.compact_updates(spark, out, ["AgentCode"])
+            assert upto > last and S.compact_updates(spark, out, ["AgentCode"]) == upto       # again: nothing to do
+            last = upto
+            assert _status_now(spark, out) == want
+            base = spark.read.parquet(f"{out}/base-{upto}")
+            assert base.count() == len(want)
+    assert spark.read.parquet(f"{out}/log").select("batch").distinct().count() == 4    # each run took up the new files only
+
+
+def test_a_base_that_was_not_named_is_not_read(spark, sf, tmp_path):
+    src, folder = str(tmp_path / "events"), str(tmp_path / "job")
+    _copy_events(spark, sf, src)
+    stream = S.latest_status(S.status_stream(spark, S.event_stream(spark, src)))
+    out = S.run_available(spark, stream, "t_half", "update", folder=folder)
+    want = _status_now(spark, out)
+    spark.read.parquet(f"{out}/log").limit(3).write.parquet(f"{out}/base-0")           # as a stopped compaction leaves it
+    assert _status_now(spark, out) == want
+    S.compact_updates(spark, out, ["AgentCode"])
+    assert _status_now(spark, out) == want
