@@ -29,6 +29,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialise
@@ -64,7 +65,7 @@ def quantised(vectors: pa.ChunkedArray, dim: int, scale: int) -> np.ndarray:
 
 
 def by_length(t: pa.Table, column: str) -> dict[int, pa.Table]:
-    sizes = np.array([len(v) for v in t.column(column)]) if t.num_rows else np.empty(0, int)
+    sizes = pc.list_value_length(t.column(column)).to_numpy()
     return {int(d): t.take(pa.array(np.flatnonzero(sizes == d))) for d in np.unique(sizes)}
 
 
@@ -109,14 +110,21 @@ def among_best(k: int) -> Callable:
 
 def in_windows(windows: list[tuple[int, int]], k: int) -> Callable:
     """Keep what may be among the ``k`` best within one of ``windows``."""
+    least, most = min((w[0] for w in windows), default=1), max((w[1] for w in windows), default=0)
+    widest = max((hi - lo for lo, hi in windows), default=0)
+
     def wanted(lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(lower), bool)
+        keep = (upper >= least) & (lower <= most)
+        if upper[0] - lower[0] > widest or keep.sum() <= k:         # none can be known to lie in a window
+            return keep
+        low, high, fine = lower[keep], upper[keep], np.zeros(int(keep.sum()), bool)
         for lo, hi in windows:
-            may = (upper >= lo) & (lower <= hi)
-            sure = (lower >= lo) & (upper <= hi)
-            if sure.sum() > k:
-                may &= upper >= kth_greatest(lower[sure], k)
-            keep |= may
+            may = (high >= lo) & (low <= hi)
+            sure = low[(low >= lo) & (high <= hi)]
+            if len(sure) > k:
+                may &= high >= kth_greatest(sure, k)
+            fine |= may
+        keep[keep] = fine
         return keep
     return wanted
 
