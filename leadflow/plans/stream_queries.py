@@ -88,7 +88,7 @@ def s_late_status(spark, sf):
 
 
 @register("s_agent_sessions", oracle=_SPLIT_SQL + f"""
-, steps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL {GAP} THEN 0 ELSE 1 END AS starts
+, steps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {GAP} THEN 0 ELSE 1 END AS starts
             FROM arrived WHERE NOT late WINDOW w AS (PARTITION BY AgentCode ORDER BY ts, event_id)),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY AgentCode ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM steps)
 SELECT AgentCode, min(ts) AS first_event, max(ts) AS last_event, count(*) AS events, {money('TotalTalkTime')} AS talk_time,

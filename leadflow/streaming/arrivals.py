@@ -3,7 +3,7 @@
 * ``split_late`` divides a stream into rows on time and late rows by a watermark of its own, which is
   kept in a table: nothing vanishes, on time + late = all.  The watermark of a trigger is the newest time
   of all earlier triggers less ``delay``; a row older than it is late, and so is one without a time.
-* ``sessions`` are spells of activity of an agent without a gap of ``gap`` or more.  Over the rows on
+* ``sessions`` are spells of activity of an agent without a gap longer than ``gap``.  Over the rows on
   time of ``split_late`` with the same ``delay`` the stream drops nothing: its watermark never passes the
   one that let a row through.
 * ``decided_items`` joins items with the decisions of the next ``within``; an item without a decision
