@@ -103,11 +103,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def keep_bitmap(bitmap: Column, n_lines: Column) -> Column:
+    """The lines that stay, compressed: ``word:bits`` (word number, 64 bits in hex, the lowest bit the
+    word's first line) for each word of 64 lines that loses one, in order; words left out keep all."""
+    def word(w: Column) -> Column:
+        left = n_lines - w * 64                             # lines in this word
+        there = F.when(left >= 64, F.lit(-1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), left.cast("int")) - 1)
+        bits = there.cast("long").bitwiseAND(F.bitwise_not(F.element_at(bitmap, w)))
+        return F.concat_ws(":", w, F.lower(F.lpad(F.hex(bits), 16, "0")))
+    return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_keys(bitmap)), word), ","), F.lit(""))
+
+
 def line_dedup_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """doc_id, n_lines before dropping, n_dropped, kept_sha256 and the bitmap of each row."""
+    """doc_id, n_lines before dropping, n_dropped, kept_sha256 and keep_bitmap of each row."""
     bitmaps = drop_bitmaps(docs, min_chars=min_chars)
     rows = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
     return (rows.join(bitmaps, ["doc_id", "text_hash"], "left")
             .select("doc_id", F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"),
                     F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
-                    F.sha2(kept_text(F.col("text"), F.col("bitmap")), 256).alias("kept_sha256")))
+                    F.sha2(kept_text(F.col("text"), F.col("bitmap")), 256).alias("kept_sha256"),
+                    keep_bitmap(F.col("bitmap"), F.size(split_lines(F.col("text")))).alias("keep_bitmap")))

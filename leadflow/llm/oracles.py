@@ -21,9 +21,14 @@ shared AS (
   GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 f AS (
   SELECT k.doc_id, pos, line, first_doc IS NOT NULL AND k.doc_id <> first_doc AS gone
-  FROM k LEFT JOIN shared ON k.key = shared.key)
+  FROM k LEFT JOIN shared ON k.key = shared.key),
+words AS (
+  SELECT doc_id, (pos - 1) // 64 AS word, bit_or(CASE WHEN gone THEN 0::UBIGINT ELSE 1::UBIGINT << ((pos - 1) % 64) END) AS bits
+  FROM f GROUP BY 1, 2 HAVING bool_or(gone))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256,
+       coalesce((SELECT string_agg(printf('%d:%s', word, lower(lpad(hex(bits), 16, '0'))), ',' ORDER BY word) FROM words
+                 WHERE words.doc_id = f.doc_id), '') AS keep_bitmap
 FROM f GROUP BY doc_id
 """
 
@@ -104,17 +109,17 @@ FROM c, unnest(range(1, copies + 1)) AS t(copy)
 """
 
 OP4 = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH n AS (SELECT *, row_number() OVER () AS r FROM embeddings),
+v AS (
+  SELECT r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM n
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+  SELECT q.r AS q, q.vec_id AS query_id, c.r, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """
 
-
 OP12 = """
 WITH n AS (SELECT *, row_number() OVER () AS r FROM embeddings),
 v AS (

@@ -10,7 +10,8 @@ score is below 2^53 the product runs in doubles, which is exact then, else in Py
 (a score beyond 64 bits raises).
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an id,
-take no part.  Rows that repeat an id are one vector, the smallest by its components in order.
+take no part.  Every row counts by itself: rows that repeat an id are several candidates and several
+queries, and a query's own row is the only one left out.
 Vectors of different lengths are never compared.  Ties go to the smaller id.  A query without
 candidates has no rows; an empty table gives none.  Only the id and vector columns are read.
 """
@@ -35,72 +36,73 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def matrices(t: pa.Table, scale: int, names: tuple = ("vec_id", "embedding")) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By vector length: ids in ascending order and their quantised vectors."""
-    t = t.sort_by(names[0])
-    ids, vectors = t.column(names[0]).to_numpy(), t.column(names[1]).combine_chunks()
+def matrices(t: pa.Table, scale: int, names: tuple = ("vec_id", "row", "embedding")) -> dict[int, tuple]:
+    """By vector length: ids in ascending order, their rows and their quantised vectors."""
+    t = t.sort_by([(c, "ascending") for c in names[:2]])
+    ids, rows, vectors = t.column(names[0]).to_numpy(), t.column(names[1]).to_numpy(), t.column(names[2]).combine_chunks()
     sizes, out = np.asarray(vectors.value_lengths()), {}
     for dim in np.unique(sizes):
         at = np.flatnonzero(sizes == dim)
         flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out[int(dim)] = ids[at], np.floor(scale * flat).reshape(len(at), int(dim))
+        out[int(dim)] = ids[at], rows[at], np.floor(scale * flat).reshape(len(at), int(dim))
     return out
 
 
-def best_of(queries: np.ndarray, own: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int):
-    """Yield (query id, candidate id, score) of each query's k best; ``ids`` ascend."""
+def best_of(queries: np.ndarray, own: np.ndarray, own_ids: np.ndarray, shard: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+    """Yield (query row, query id, candidate row, candidate id, score) of each query's k best; ``ids`` ascend."""
     bound = (np.abs(queries).max(initial=0) or 1) * (np.abs(shard).max(initial=0) or 1) * max(1, shard.shape[1])
     if bound >= 2**53:
         queries, shard = (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (queries, shard))
     step = max(1, SCORES // max(1, len(ids)))
     for at in range(0, len(queries), step):
         scores = queries[at:at + step] @ shard.T
-        for q, row in zip(own[at:at + step], scores):
+        for q, q_id, row in zip(own[at:at + step], own_ids[at:at + step], scores):
             if len(row) > k + 1:       # one more than k: the query itself may be among them
                 least = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
                 near = np.flatnonzero(row >= least)
             else:
                 near = np.arange(len(row))
-            near = near[ids[near] != q]
+            near = near[rows[near] != q]
             for c in near[np.argsort(-row[near], kind="stable")][:k]:
-                yield int(q), int(ids[c]), int(row[c])
+                yield int(q), int(q_id), int(rows[c]), int(ids[c]), int(row[c])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id",
           vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other vectors for each query."""
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull() & finite(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), is_query.alias("q"))
-    rows = materialise(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("q").alias("q")), "vectors")
+    rows = materialise(vectors.where(F.col(id_col).isNotNull() & finite(F.col(vector_col))).select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"),
+        F.col(vector_col).alias("embedding"), is_query.alias("q")), "vectors")
     n, asked, dim = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("embedding"))).first()
     fits = max(1, TILE_BYTES // (8 * max(1, dim or 1)))
     cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, math.ceil(n / fits), min(cores, n // LEAST_SHARD))
     blocks = max(1, math.ceil(asked / fits))
-    dealt = lambda name, of: F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(of)).cast("int")
+    dealt = lambda name, of: F.pmod(F.xxhash64(F.lit(name), "row"), F.lit(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     # other names than the shards' columns: a cogroup of one table's columns with themselves loses them
-    queries = rows.where("q").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"),
+    queries = rows.where("q").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"),
                                      dealt("block", blocks).alias("block"), each(shards).alias("shard"))
-    held = rows.select("vec_id", "embedding", dealt("shard", shards).alias("shard"), each(blocks).alias("block"))
+    held = rows.select("row", "vec_id", "embedding", dealt("shard", shards).alias("shard"), each(blocks).alias("block"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         out, shard = [], matrices(right, scale) if right.num_rows else {}
-        for length, (own, q) in (matrices(left, scale, ("query_id", "query")) if left.num_rows else {}).items():
+        for length, (own_ids, own, q) in (matrices(left, scale, ("query_id", "query_row", "query")) if left.num_rows else {}).items():
             if length in shard:
-                out += best_of(q, own, shard[length][1], shard[length][0], k)
+                ids, at, vectors = shard[length]
+                out += best_of(q, own, own_ids, vectors, at, ids, k)
         slices = left.column("shard")[0].as_py() if left.num_rows else 0
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()),
-                         "score": pa.array(c, pa.int64()), "slice": pa.array([slices] * len(a), pa.int32())})
+        columns = list(zip(*out)) if out else [()] * 5
+        return pa.table([pa.array(c, pa.int64()) for c in columns] + [pa.array([slices] * len(out), pa.int32())],
+                        ["query_row", "query_id", "row", "vec_id", "score", "slice"])
 
     lists = queries.groupBy("block", "shard").cogroup(held.groupBy("block", "shard")).applyInArrow(
-        tile, "query_id long, vec_id long, score long, slice int")
+        tile, "query_row long, query_id long, row long, vec_id long, score long, slice int")
     while True:
         shards = math.ceil(shards / FAN_IN)
         lists = lists.withColumn("slice", F.floor(F.col("slice") / FAN_IN).cast("int"))
-        order = Window.partitionBy("query_id", "slice").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query_row", "slice").orderBy(F.desc("score"), "vec_id", "row")
         lists = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if shards == 1:
             return lists.select("query_id", "rank", "vec_id", "score")

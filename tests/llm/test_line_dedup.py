@@ -25,7 +25,10 @@ def brute(rows, min_chars=10):
     for i, t in rows:
         lines = (t or "").split("\n")
         kept = [x for x in lines if i is None or len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == i]
-        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        stays = [i is None or len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == i for x in lines]
+        words = {w: sum(ok << j for j, ok in enumerate(stays[64 * w:64 * w + 64])) for w in range((len(lines) + 63) // 64)}
+        bitmap = ",".join(f"{w}:{bits:016x}" for w, bits in words.items() if not all(stays[64 * w:64 * w + 64]))
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), bitmap))
     return sorted(out, key=repr)
 
 
@@ -34,7 +37,8 @@ ROWS = [
     (5, "short\n\x0bA shared LINE here\x0c\nÉcole des langues\nÉcole des langues"), (6, "école des langues"),
     (None, "A shared line here"), (7, "Own line stays here\nOwn line stays here"), (3, "A shared line here\nonly in three, long"),
     (8, "\n\n"), (9, "\n".join(f"filler line number {i}" for i in range(5000)) + "\na shared line here"),
-    (10, "\n".join(f"filler line number {i}" for i in range(4990, 5010))), (11, "1234567890"), (12, "1234567890 "), (12, "123456789"),
+    (10, "\n".join(f"filler line number {i}" for i in range(4990, 5010))), (13, "\n".join(f"filler line number {i}" for i in range(64))),
+    (14, "\n".join(["x"] * 63 + ["filler line number 3"] + ["y"] * 65 + ["filler line number 4"])), (11, "1234567890"), (12, "1234567890 "), (12, "123456789"),
 ]
 
 

@@ -12,17 +12,13 @@ SCHEMA = "vec_id long, embedding array<float>, label int, rank string, query_id
 
 
 def brute(rows, k, every):
-    seen = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [float(np.float32(x)) for x in v]
-        seen[i] = min(seen.get(i, v), v)
-    seen = {i: [math.floor(256 * x) for x in v] for i, v in seen.items()}
+    """Every row by itself, also where ids repeat."""
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows
+          if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in seen.items():
+    for n, (q, a) in enumerate(ok):
         if q % every == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in seen.items() if i != q and len(a) == len(b))
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ok) if m != n and len(a) == len(b))
             out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
@@ -49,6 +45,10 @@ def test_edge_cases(spark):
     check(spark, rows)
 
 
+def test_rows_that_repeat_an_id_are_all_candidates(spark):
+    check(spark, [(0, [1.0]), (1, [1.0]), (1, [2.0]), (2, [1.5]), (0, [3.0]), (10, [0.5]), (10, [0.5])], k=3)
+
+
 def test_scores_beyond_doubles(spark):
     check(spark, [(0, [1e6, 1.0]), (10, [1e6, 0.5]), (1, [2e6, 3.0]), (2, [1.5e6, 0.75]), (3, [-1e6, 5.0])])
 
