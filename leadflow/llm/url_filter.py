@@ -4,7 +4,8 @@
    rule fits its domain and all subdomains, the longest rule wins.
 2. The path's segments are generalised by shape (numbers, hex strings, file extensions kept),
    and urls are counted per (host, shape): from here on work is on shapes, not pages.
-3. The tree of each host is walked level by level.  Rare children of a parent with many become
+3. The tree of each host is walked level by level; only levels are walked at which some host has
+   several branches that may be renamed (``branching_levels``).  Rare children of a parent with many become
    the wildcard ``*`` if they have fewer than ``MIN_LABELS`` labels.  Children with more, rare or
    not, are put in order of their share of bad labels; neighbours whose shares do not differ
    significantly (a two-proportion test) merge into one branch, named ``a|b`` (``a|+n`` if more
@@ -54,8 +55,10 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 
 def path_shape(path: Column) -> Column:
-    """The path's segments with variable ones replaced by their shape."""
+    """The path's segments with variable ones replaced by their shape.  The marks of merged names are
+    written as in a url's escapes, so no segment looks like one."""
     def shape(s):
+        s = F.regexp_replace(F.regexp_replace(s, r"\|", "%7C"), r"\*", "%2A")
         return F.regexp_replace(F.regexp_replace(s, r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{15,}", "{x}"), r"\d+", "{n}")
     return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), shape)
 
@@ -100,6 +103,19 @@ def merge_level(shapes: DataFrame, depth: int) -> DataFrame:
             .union(shapes.where(F.size("segs") <= depth).select("shape", "host", "segs", "n", "bad", "labelled")))
 
 
+def branching_levels(shapes: DataFrame) -> list[int]:
+    """The depths at which a host may have a parent whose children are renamed: more than
+    ``MAX_CHILDREN`` segments, or two that share enough labels.  Parents of one host merge, never those
+    of two, so the segments of a host's whole level bound what any parent has.  The list is as long as
+    the deepest level that branches, not as the longest url."""
+    segments = shapes.select("host", "labelled", F.posexplode("segs").alias("depth", "child"))
+    children = segments.groupBy("host", "depth", "child").agg(F.sum("labelled").alias("labelled"))
+    levels = children.groupBy("host", "depth").agg(
+        F.count(F.lit(1)).alias("fan"), F.count_if(F.col("labelled") >= MIN_LABELS).alias("known"))
+    some = levels.where((F.col("fan") > MAX_CHILDREN) | (F.col("known") > 1)).select("depth").distinct()
+    return sorted(r.depth for r in some.collect())
+
+
 def template_verdicts(urls: DataFrame, reject: float = 0.9) -> DataFrame:
     """(shape, n, template, purity, verdict) of every (host, path shape) of ``urls``.
 
@@ -110,7 +126,7 @@ def template_verdicts(urls: DataFrame, reject: float = 0.9) -> DataFrame:
         F.count("label").alias("labelled")).select(
         shape_key(F.col("host"), F.col("segs")).alias("shape"), "host", "segs", "n",
         F.coalesce("bad", F.lit(0).cast("long")).alias("bad"), "labelled"), "shapes")
-    for depth in range(shapes.agg(F.max(F.size("segs"))).first()[0] or 0):
+    for depth in branching_levels(shapes):
         shapes = materialise(merge_level(shapes, depth), "shapes")
     template = shape_key(F.col("host"), F.col("segs"))
     by_template = shapes.groupBy(template.alias("template")).agg(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from leadflow.llm import url_filter as U
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def test_shapes(spark):
 def brute_templates(rows, reject=0.9):
     """The whole method in plain Python: (shape -> template, purity, verdict)."""
     def shape(path):
-        return tuple(re.sub(r"\d+", "{n}", re.sub(r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{15,}", "{x}", s)) for s in path.split("/") if s)
+        return tuple(re.sub(r"\d+", "{n}", re.sub(r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{15,}", "{x}", s)) for s in path.replace("|", "%7C").replace("*", "%2A").split("/") if s)
     stats = {}
     for host, path, label in rows:
         s = stats.setdefault((host, shape(path)), [0, 0, 0])
@@ -77,7 +78,8 @@ def brute_templates(rows, reject=0.9):
         names = {}
         for p, children in parents.items():
             total = sum(c[0] for c in children.values())
-            rare = {c for c, v in children.items() if len(children) > U.MAX_CHILDREN and v[0] < U.RARE_CHILD * total}
+            rare = {c for c, v in children.items() if len(children) > U.MAX_CHILDREN and v[0] < U.RARE_CHILD * total
+                    and v[2] < U.MIN_LABELS}
             names.update({(p, c): "*" for c in rare})
             order = sorted((v[1] / v[2], c, v) for c, v in children.items() if c not in rare and v[2] >= U.MIN_LABELS)
             branches, last = [], None
@@ -90,7 +92,8 @@ def brute_templates(rows, reject=0.9):
                 branches[-1].append(c)
                 last = v
             for b in branches:
-                names.update({(p, c): "|".join(sorted(b)) for c in b})
+                name = "|".join(sorted(b)) if len(b) <= U.MAX_CHILDREN else f"{min(b)}|+{len(b) - 1}"
+                names.update({(p, c): name for c in b})
         for k, segs in now.items():
             if len(segs) > depth:
                 name = names.get(((k[0], "/".join(segs[:depth])), segs[depth]), segs[depth])
@@ -118,6 +121,10 @@ def test_templates_equal_brute_force(spark):
         second = f"{rng.randrange(50)}" if first != "user" else f"u{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"
         bad = {"spam": 0.95, "win": 0.97, "tag": 0.5, "de": 0.1, "en": 0.05, "user": 0.9}[first]
         label = None if rng.random() < 0.3 or (first == "en" and host == "c") else "block" if rng.random() < bad else "allow"
+        if rng.random() < 0.2:                    # many sections, most of them rare, some of these labelled often
+            k = rng.choice([rng.randrange(60), 7, 8, 9])
+            first, second = f"s{chr(97 + k % 26)}{chr(97 + k // 26)}", f"{rng.randrange(9)}|*"
+            label = ("block" if k == 7 else "allow") if k in (7, 8, 9) else None
         rows.append((host, f"/{first}/{second}" + rng.choice(["", "/x", ".html"]), label))
     df = spark.createDataFrame(rows, "host string, path string, label string").repartition(5)
     got = {r["shape"]: (r.template, r.purity, r.method) for r in U.template_verdicts(df).collect()}
@@ -151,3 +158,22 @@ def test_allowed_labels_do_not_hide_a_rare_bad_section(spark):
     assert [s for s, r in out.items() if r.method == "block"] == ["h/ha/{n}"]
     assert {r.template for r in out.values()} == {"h/ha/{n}", "h/aa|+58/{n}", "h/*/{n}"}       # long names are cut short
     assert sum(r.n for r in out.values()) == len(rows)
+
+
+def test_one_long_url_among_many(spark):
+    """2,000 segments of one url are no work: only levels at which a host branches are walked."""
+    urls = [f"http://h/{'ab'[i % 2]}/{i}" for i in range(1000)] + ["http://h/" + "seg/" * 2000, "http://net/" + "x/" * 500]
+    began = time.monotonic()
+    out = {r.page_id: r for r in U.judge_urls(pages(spark, urls)).collect()}
+    assert time.monotonic() - began < 60 and len(out) == 1002
+    want = brute_templates([(*plain(u)[:2], plain(u)[3]) for u in urls[:1000]])
+    assert {r.template for i, r in out.items() if i < 1000} == {v[0] for v in want.values()}
+    assert out[1000].template == "h/" + "/".join(["seg"] * 2000) and out[1001].verdict == "block"
+
+
+def test_levels_that_branch(spark):
+    rows = [("h", "/" + "/".join(["a"] * 5 + [f"c{chr(97 + i)}", "z"]), "allow" if i else "block") for i in range(2) for _ in range(9)]
+    rows += [("g", f"/{chr(97 + i % 26)}{chr(97 + i // 26)}/deep/er", None) for i in range(31)] + [("k", "/x/y", None), ("k", "/z/y", None)]
+    df = spark.createDataFrame(rows, "host string, path string, label string")
+    shapes = df.select("host", U.path_shape(F.col("path")).alias("segs"), F.when(F.col("label").isNotNull(), 1).otherwise(0).alias("labelled"))
+    assert U.branching_levels(shapes) == [0, 5]
