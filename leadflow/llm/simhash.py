@@ -180,8 +180,20 @@ def shard_links(points: DataFrame, max_bits: int) -> DataFrame:
         child = np.flatnonzero(root != np.arange(len(p)))
         return pa.table({"a": p[child].view(np.int64), "b": p[root[child]].view(np.int64)})
 
-    return points.select("fp").mapInArrow(to_shards, "shard long, fp long").groupBy("shard").applyInArrow(
-        links, "a long, b long")
+    routed = materialise(points.select("fp").mapInArrow(to_shards, "shard long, fp long"), "shards")
+    return in_block_pairs(routed).groupBy("shard", "i", "j").applyInArrow(links, "a long, b long")
+
+
+def in_block_pairs(routed: DataFrame) -> DataFrame:
+    """(shard, i, j, fp): a shard that no vantage point divides (a dense ball of fingerprints) is dealt
+    into blocks of about ``SHARD_ROWS``, and a task has two of them, i and j; others stay whole."""
+    sizes = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))          # a row per leaf of the tree
+    blocks = F.when(F.col("rows") > 2 * SHARD_ROWS, F.ceil(F.col("rows") / SHARD_ROWS)).otherwise(1)
+    dealt = routed.join(sizes.select("shard", blocks.alias("blocks")), "shard").withColumn(
+        "own", F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: (k != F.col("own")) | (F.col("blocks") == 1))
+    return dealt.select("shard", "fp", "own", F.explode(others).alias("other")).select(
+        "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
 
 def components(links: DataFrame) -> DataFrame:

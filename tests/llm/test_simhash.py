@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from leadflow.llm import simhash as S
 
 SCHEMA = "doc_id long, text string, fp string, n string, class_fp string"
@@ -118,3 +120,28 @@ def test_one_document_of_each_class(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.simhash_digest(empty).collect() == [] and S.one_per_class(empty).collect() == []
+
+
+def test_a_dense_ball_is_compared_in_several_tasks(spark, monkeypatch):
+    """Fingerprints within five flips of one centre: no vantage point divides them."""
+    monkeypatch.setattr(S, "SHARD_ROWS", 300)
+    rng = np.random.default_rng(3)
+    centre, found = 0x123456789ABCDEF0, set()
+    while len(found) < 2000:
+        found.add(centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)))
+    fps = sorted(found)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    points = S.materialise(spark.createDataFrame([(f,) for f in signed], "fp long"), "ball")
+    assert len(S.build_tree(np.array(fps, np.uint64), 300, 2).vantage) == 0                # one leaf
+    routed = points.select(F.lit(0).cast("long").alias("shard"), "fp")
+    tasks = S.in_block_pairs(routed).groupBy("i", "j").count().collect()
+    assert len(tasks) == 21 and max(r["count"] for r in tasks) < 1000                     # 7 blocks, in pairs
+    got = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in S.components(S.shard_links(points, 2)).collect()}
+    comp = brute_components(fps, fps, 2)
+    groups = {}
+    for f, c in zip(fps, comp):
+        groups.setdefault(c, set()).add(f)
+    mine = {}
+    for f in fps:
+        mine.setdefault(got.get(f, f), set()).add(f)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values())) and len(groups) < 2000
