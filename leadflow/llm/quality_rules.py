@@ -33,6 +33,7 @@ RULES = {
     "upper_rate": (0.1, 0.2, 0.3, 0.5, 0.7),
 }
 MAX_BROADCAST_STRATA = 100_000
+MAX_BROADCAST_LABELS = 1_000_000
 
 
 def text_metrics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -90,6 +91,12 @@ def binomial_tail(k: Column, n: Column, share: float) -> Column:
     return F.when(k > n * share, F.lit(1.0)).otherwise(F.aggregate(terms, start, step, lambda a: a["s"]))
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """``__id`` of the documents that all their ratings call good."""
+    return (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+            .groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("q")).where("q = 1").select("__id"))
+
+
 def certified_cutoffs(metrics: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang",
                       alpha: float = 0.05, delta: float = 0.05, rules: dict | None = None) -> DataFrame:
     """(stratum, cutoffs): for each stratum a map from rule to its smallest certified cutoff.
@@ -97,8 +104,7 @@ def certified_cutoffs(metrics: DataFrame, labels: DataFrame, id_col: str = "doc_
     ``metrics`` has ``id_col``, ``stratum`` and the struct ``m``; ``labels`` has doc_id and
     quality (1 is good).  Documents that fail the base rule are outside the guarantee."""
     rules = rules or RULES
-    good = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-            .groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("q")).where("q = 1").select("__id"))
+    good = good_ids(labels)
     held = (metrics.where(~F.col("m.base_failed"))
             .select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{stratum}`").alias("stratum"),
                     *[F.col("m")[r].alias(r) for r in rules]).join(good, "__id"))
@@ -142,9 +148,11 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns unchanged.  The cutoffs come from a
-    pass over ids and metrics; the verdict is then taken beside the text, so no text moves."""
-    cutoffs = cutoffs_of(materialise(text_metrics(docs, keep=["doc_id", "lang"]), "metrics"), labels)
+    """The rows of ``docs`` that are kept, all columns unchanged.  The cutoffs come from the texts of
+    the good labelled documents alone; the verdict is taken beside the text, so no other text moves."""
+    good = broadcast_if_small(materialise(good_ids(labels), "good"), MAX_BROADCAST_LABELS)
+    held = docs.select("doc_id", "lang", "text").join(good, F.col("doc_id") == F.col("__id"), "left_semi")
+    cutoffs = cutoffs_of(materialise(text_metrics(held, keep=["doc_id", "lang"]), "metrics"), labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.col("row.text").alias("text"), F.col("row.lang").alias("lang"))
     return judge(text_metrics(rows, keep=["row", "lang"]), cutoffs).where("kept").select("row.*")
