@@ -23,6 +23,13 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column in ``taken`` has it (case apart)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the session's shared checkpoint folder and read it back: cuts the
     lineage, survives lost executors, and is computed once however often it is read."""

@@ -69,19 +69,22 @@ def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "t
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights: dict | None = None, alpha: float = 0.7, target: float | None = None, seed: int = 42) -> DataFrame:
-    """The copies of every document, globally shuffled, with copy (from 1), copies and shuffle_key."""
+        weights: dict | None = None, alpha: float = 0.7, target: float | None = None, seed: int = 42,
+        names: tuple[str, str, str] = ("copy", "copies", "shuffle_key")) -> DataFrame:
+    """The copies of every document, globally shuffled, with copy (from 1), copies and shuffle_key; ``names``
+    gives these columns other names (they replace columns of ``docs`` that have the same)."""
     rates = materialise(source_rates(docs, source_col, text_col, weights, alpha, target)
                         .select(F.col("source").alias("__source"), F.col("size").alias("__size"),
                                 poisson_cdf(F.col("rate")).alias("__cdf")), "rates")
-    own = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
+    copy, copies, shuffle_key = names
+    own = [c for c in docs.columns if c not in names]
     u = uniform(F.lit(seed), F.col(f"`{id_col}`"))
     counted = (docs.join(broadcast_if_small(rates, MAX_BROADCAST_SOURCES),
                          F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
                .withColumn("__u", u)
-               .withColumn("copies", F.when(F.col("__size") == 0, 1).otherwise(
+               .withColumn(copies, F.when(F.col("__size") == 0, 1).otherwise(
                    F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))))
-    copies = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return (copies.select(*[F.col(f"`{c}`") for c in own], "copy", "copies",
-                          hashed_hex(F.lit(seed), F.col(f"`{id_col}`"), F.col("copy")).alias("shuffle_key"))
-            .repartition("shuffle_key").sortWithinPartitions("shuffle_key"))
+    each = counted.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return (each.select(*[F.col(f"`{c}`") for c in own], copy, copies,
+                        hashed_hex(F.lit(seed), F.col(f"`{id_col}`"), F.col(copy)).alias(shuffle_key))
+            .repartition(shuffle_key).sortWithinPartitions(shuffle_key))

@@ -89,11 +89,11 @@ def test_simhash_query_equals_brute_force(spark):
     assert sorted(map(tuple, Q.queries()["op2_simhash_dedup"](spark, SF).collect())) == want
 
 
-WEIRD = "doc_id long, text string, lang string, source string, n_chars long, row string, m string, copy int, k_id string, bitmap string"
+WEIRD = "doc_id long, text string, lang string, source string, n_chars long, row string, m string, copy int, k_id string, bitmap string, copies int, shuffle_key string"
 
 
 def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark):
-    more, shared = ("x", "x", 1, "y", "y"), "\nshared line of several documents"
+    more, shared = ("x", "x", 77, "y", "y", 88, "z"), "\nshared line of several documents"
     rows = [(1, "some good words stand here in a line of text for all to read" + shared, "en", "a", 5, *more),
             (2, "another document with other words that stand here for us to read" + shared, None, "a", None, *more),
             (2, "another document with other words that stand here for us to read" + shared, None, "a", None, *more),
@@ -107,6 +107,9 @@ def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark):
             out = f(spark, docs, SF)
             if stage != "packing":
                 assert out.columns == docs.columns
+                if name == "weird":                          # values stay with their rows
+                    before = {(r.doc_id, r.copy, r.copies, r["shuffle_key"], r.row) for r in docs.collect()}
+                    assert {(r.doc_id, r.copy, r.copies, r["shuffle_key"], r.row) for r in out.collect()} <= before
             docs = spark.createDataFrame(out.collect(), out.schema)
             sizes[name, stage] = docs.count()
     assert [sizes["weird", s] for s, _ in C.STAGES][:3] == [5, 5, 4]          # 4 and 5 have no words; one of the 2s stays
