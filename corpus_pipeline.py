@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadflow.llm.common import materialise, table
+from leadflow.llm.common import fresh_name, materialise, table
 from leadflow.llm.line_dedup import dedup_lines
 from leadflow.llm.mixing import mix
 from leadflow.llm.packing import pack
@@ -33,8 +33,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document by its source's rate, globally shuffled."""
-    return mix(docs, alpha=0.7, seed=42).select(docs.columns)
+    """Copies of each document by its source's rate, globally shuffled; all columns as they were."""
+    names = tuple(fresh_name(c, docs.columns) for c in ("copy", "copies", "shuffle_key"))
+    return mix(docs, alpha=0.7, seed=42, names=names).select([f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
