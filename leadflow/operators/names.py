@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import non_blank
 from ..functions.windows import event_date
+from .masking import keep_policies
 
 # The eight person-name columns (agents and managers), and the six agent-only ones.
 NAME_COLUMNS_8 = ("leadassignedagentname", "currentlyassigneduser", "leadreportingmanagername",
@@ -24,9 +25,9 @@ NAME_COLUMNS_6 = ("leadassignedagentname", "currentlyassigneduser", "first_assig
 
 def unpivot_names(df: DataFrame, cols: Sequence[str] = NAME_COLUMNS_8, ids: Sequence[str] = ("leadid",),
                   name: str = "name", source: str = "source_col") -> DataFrame:
-    """One row per (row, name column) holding a non-blank name."""
+    """One row per (row, name column) holding a non-blank name, which has the policy of these columns."""
     long = df.select(*ids, *cols).unpivot(list(ids), list(cols), source, name)
-    return long.where(non_blank(name))
+    return keep_policies(long.where(non_blank(name)))
 
 
 def names_with_date(leads: DataFrame, cols: Sequence[str] = NAME_COLUMNS_8,

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..session import written
+from .masking import keep_policies, open_column
 
 EPS = 1e-9
 
@@ -90,7 +91,7 @@ def candidate_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataF
 
     qt = _tokens(queries, "q_id", "q_norm")
     # the pool is made and tokenised once; frequencies and roles read the written tokens
-    pt = written(_tokens(pool, "name", "p_norm"), "pool_tokens")
+    pt = written(keep_policies(_tokens(pool, "name", "p_norm")), "pool_tokens")
     # Token frequencies over the pool (partial aggregation; one row per distinct token) give
     # the global order; query tokens the pool lacks drop out in the inner join of _roles.
     freq = pt.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
@@ -112,7 +113,7 @@ def fuzzy_pairs(queries: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame
     pairs = candidate_pairs(queries, pool, cutoff)
     with_words = pairs.select("*", TX.words("q_norm").alias("_qw"), TX.words("p_norm").alias("_pw"))
     scored = with_words.select("q_id", "q_norm", "name", "p_norm",
-                               TX.similarity("q_norm", "p_norm", "_qw", "_pw").alias("score"))
+                               open_column(TX.similarity("q_norm", "p_norm", "_qw", "_pw"), "score"))
     return scored.where(F.col("score") >= F.lit(float(cutoff)))
 
 

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import masking as MK
-from ..operators.names import NAME_COLUMNS_6, unpivot_names
+from ..operators.names import NAME_COLUMNS_6, NAME_COLUMNS_8, unpivot_names
 from ..session import scratch_path
 from ..sources import io
-from ..operators.masking import mask
+from ..functions import metrics as M
+from ..functions import windows as W
+from ..operators.agents import suggest
+from ..operators.masking import declare, mask
+from ..operators.query import metric_query
 from ..operators import profiling as PR
 from ..sources import fixtures as fx
 from ..sources.schema import CATALOG_BY_NAME
 from .catalog import register
-from .sql import with_views
+from .agent_queries import QUERIES_VIEW, TRIGRAM_GUARD, _norm, _pool_sql, _score
+from .sql import BOOKED, CONV, money, with_views
 
 LEADS = with_views("leads")
 
@@ -136,6 +141,35 @@ def k_mask_unpivot(spark, sf):
     return mask(unpivot_names(_leads(spark, sf), NAME_COLUMNS_6))
 
 
+@register("k_mask_metrics", oracle=LEADS + f"""
+SELECT CAST(date_trunc('month', leaddate) AS DATE) AS month, {_pick_sql(MK.FAKE_PLACES, 'state')} AS state,
+       COUNT(*) AS leads, {BOOKED} AS bookings, {money('revenue')} AS total_revenue, {money('premium')} AS total_premium,
+       {money('brokerage')} AS total_brokerage, {CONV} AS conversion_rate,
+       {money('premium')} / NULLIF(COUNT(premium), 0) AS avg_premium, {money('suminsured')} AS total_sum_insured,
+       CAST(SUM(totalnooflives) AS BIGINT) AS total_lives
+FROM leads GROUP BY CAST(date_trunc('month', leaddate) AS DATE), state
+""")
+def k_mask_metrics(spark, sf):
+    """All nine metrics by month and state, masked: numbers and months stay, the state gets a stand-in."""
+    parts = [m for m in M.METRICS if m != "bookings"]            # asked for with bookings, the axis is the booking date
+    by_lead = metric_query(_leads(spark, sf), parts, dims=["state"], bucket="month")
+    booked = _leads(spark, sf).groupBy(W.bucket("leaddate", "month").alias("month"), "state").agg(M.metric("bookings"))
+    return mask(by_lead.join(booked, ["month", "state"]))
+
+
+@register("k_mask_suggest", oracle=QUERIES_VIEW + f"""
+, q AS (SELECT q_id, q_name, trim(lower(q_name)) AS q_norm FROM name_queries),
+p AS (SELECT name, {_norm('name')} AS p_norm FROM ({_pool_sql(NAME_COLUMNS_8)}) x),
+s AS (SELECT q_id, q_name, q_norm, name, p_norm, {_score('q_norm', 'p_norm')} AS score FROM q CROSS JOIN p),
+t AS (SELECT q_id, q_name, name, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, name) AS rank
+      FROM s WHERE score >= 85 AND {TRIGRAM_GUARD} QUALIFY rank <= 5)
+SELECT q_id, q_name, {_pick_sql(MK.FAKE_NAMES, 'name')} AS name, score, rank FROM t
+""")
+def k_mask_suggest(spark, sf):
+    """Name suggestions, masked: the typed text and the scores stay, the names found get stand-ins."""
+    return mask(suggest(_leads(spark, sf), declare(fx.view(spark, sf, "name_queries"))))
+
+
 @register("export_csv_masked", oracle=LEADS + "SELECT leadid, " + _fake_of("contact_person_name", "contact_person_name")
           + " AS contact, " + _hash_sql("customerid") + " AS customer FROM leads")
 def export_csv_masked(spark, sf):

@@ -7,11 +7,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadflow.functions import masking as MK
-from leadflow.operators.masking import column_policies, mask
+from leadflow.functions import metrics as M
+from leadflow.operators.agents import suggest
+from leadflow.operators.cube import cube_query
+from leadflow.operators.masking import column_policies, declare, keep_policies, mask
 from leadflow.operators.names import NAME_COLUMNS_6, unpivot_names
 from leadflow.operators.profiling import distinct_values
 from leadflow.operators.query import metric_query
 from leadflow.sources import fixtures as fx
+from leadflow.session import scratch_path, written
 from leadflow.sources import io
 
 
@@ -43,6 +47,77 @@ def test_no_clear_value_gets_through(leads, how):
     assert got and not got & clear
 
 
+@pytest.mark.parametrize("how", [
+    lambda s, d: s.createDataFrame(d.select(F.col("contact_person_name").alias("x")).collect(), "x string"),
+    lambda s, d: s.createDataFrame(d.select(F.col("contact_person_name").alias("x")).rdd, "x string"),
+    lambda s, d: s.read.schema("x string").parquet(_stored(d.select(F.col("contact_person_name").alias("x")))),
+    lambda s, d: written(unpivot_names(d.withColumnRenamed("contact_person_name", "c"), ["c"]), "t").select(F.col("name").alias("x")),
+    lambda s, d: written(keep_policies(d.select(F.upper("contact_person_name").alias("x"))), "t"),
+    lambda s, d: d.select(F.col("contact_person_name").alias("x")).checkpoint(),
+])
+def test_names_stay_closed_over_a_cut_lineage(spark, leads, how):
+    clear = {n.upper() for n in clear_names(leads)}
+    got = {str(r[0]).upper() for r in mask(how(spark, leads)).collect()}
+    assert got and not got & clear
+
+
+def _stored(df):
+    path = scratch_path(df.sparkSession, "t", unique=True)
+    df.toDF("x").select(F.trim("x").alias("x")).write.parquet(path)
+    return path
+
+
+def test_suggestions_are_masked(spark, sf, leads):
+    out = mask(suggest(leads, declare(fx.view(spark, sf, "name_queries")))).collect()
+    assert {r.name for r in out} <= set(MK.FAKE_NAMES) and min(r.score for r in out) >= 85 and {r["rank"] for r in out} >= {1, 2}
+    # typed text of a table without policies is closed as well
+    assert {r.q_name for r in mask(suggest(leads, fx.view(spark, sf, "name_queries"))).collect()} == {"[REDACTED]"}
+
+
+def test_all_metrics_stay_readable(leads):
+    plain = metric_query(leads, M.METRICS, dims=["investmenttypeid"], bucket="week")
+    out = mask(plain)
+    assert out.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, plain.collect()))
+    cube = cube_query(leads, M.METRICS, ["mkt_category", "is_lead_hybrid"])
+    assert sorted(map(repr, mask(cube).collect())) == sorted(map(repr, cube.collect()))
+
+
+def test_conditions_choose_rows_values_are_traced(leads):
+    city = leads.agg(F.max("city")).first()[0]
+    out = mask(leads.groupBy("investmenttypeid").agg(
+        F.sum(F.when(F.col("city") == city, F.col("premium"))).alias("a"), F.count_if(F.col("booking_status") == "IssuedBusiness").alias("b"),
+        F.max(F.when(F.col("premium") > 0, F.col("city"))).alias("c"), F.max("leaddate").alias("d"),
+        F.approx_count_distinct("contact_person_name").alias("e"), F.sum("customerid").alias("f")))
+    rows = out.collect()
+    assert all(r.b is not None and r.e > 0 for r in rows) and any(r.a is not None for r in rows)
+    assert {r.c for r in rows} <= set(MK.FAKE_PLACES) and {r.d for r in rows} == {r.f for r in rows} == {None}
+
+
+def test_computed_columns_keep_their_type(leads):
+    out = mask(leads.select((F.col("city") == "INDIA").alias("a"), F.length("contact_person_name").alias("b"),
+                            F.date_add("leaddate", 1).alias("c"), F.trunc("leaddate", "MM").alias("d"), F.struct("city").alias("e"),
+                            F.trunc("leaddate", "year").alias("f"), F.date_trunc("day", "leaddate").alias("g")))
+    assert [f.dataType.simpleString() for f in out.schema] == ["boolean", "int", "date", "date", "struct<city:string>", "date", "timestamp"]
+    r = out.first()
+    assert [r.a, r.b, r.c, r.e, r.g] == [None] * 5 and r.d is not None and r.f is not None
+
+
+def test_a_pivot_by_a_protected_column_raises(leads):
+    for value in ("premium", "insurername"):
+        with pytest.raises(ValueError, match="pivot"):
+            mask(leads.groupBy("mkt_category").pivot("city").agg(F.max(value)))
+    assert mask(leads.groupBy("mkt_category").pivot("is_lead_hybrid").agg(F.sum("premium"))).count() > 0
+
+
+def test_declared_policies(spark):
+    df = spark.createDataFrame([("a", "b")], "x string, y string")
+    assert mask(df).first() == ("[REDACTED]", "[REDACTED]")
+    assert mask(declare(df, x=("low", "hash"))).first() == (mask(declare(df, x=("low", "hash"))).first().x, "b")
+    with pytest.raises(ValueError):
+        declare(df, z=("low", "hash"))
+
+
 def test_policies_of_computed_columns(leads):
     p = dict(zip("abcde", column_policies(leads.select(
         F.count("contact_person_name").over(Window.partitionBy("state")).alias("a"), F.upper("contact_person_name").alias("b"),
