@@ -1,7 +1,7 @@
 """Registered queries (one per operator of the inventory) and their oracles."""
 
 from .catalog import REGISTRY  # noqa: F401
-from . import fact_queries, agent_queries, governance_queries, log_queries, stream_queries, temporal_queries  # noqa: F401  (registers)
+from . import fact_queries, agent_queries, governance_queries, log_queries, store_queries, stream_queries, temporal_queries  # noqa: F401  (registers)
 
 
 def queries():

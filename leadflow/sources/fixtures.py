@@ -132,6 +132,11 @@ FROM {events} WHERE event_type = 'signup'
 SELECT event_id, user_id AS id, ts, CASE event_type WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS decision,
   CAST(floor((day(ts) - 1) / 10) AS INT) AS slot
 FROM {events} WHERE event_type IN ('purchase', 'error')
+""",
+    # Properties of events as they come: one in 50 cut off, one in 70 missing.
+    "raw_props": """
+SELECT event_id, CASE WHEN event_id % 50 = 0 THEN substring(props, 1, length(props) - 1) WHEN event_id % 70 = 0 THEN NULL
+  ELSE props END AS props FROM {events}
 """,
     # Spans of time in which an alert or a campaign of an agent ran.
     "alert_spans": """
