@@ -3,8 +3,10 @@
 A text is cut into pieces at line breaks and marks, which are normalised (lower case, comment
 marks and punctuation dropped, white space single).  A known licence sentence may be one piece
 or several that follow each other, so hard-wrapped texts, comment blocks and sentences with ';'
-or ':' inside are found; blank lines are not crossed, the longest sentence wins.  Every other
-piece with a licence word is a sentence of its own.  The sequence of identifiers found is then matched against ordered rules: a rule
+or ':' inside are found; blank lines are not crossed, the longest sentence wins.  A sentence may
+have a slot for an organisation's name (``{org}``).  An expression that names several licences (OR,
+AND, "dual licensed under") gives all of them; WITH an exception gives the licence it widens.  Every
+other piece with a licence word is a sentence of its own.  The sequence of identifiers found is then matched against ordered rules: a rule
 names a licence and the identifiers that make it, in order; its match is taken out before the
 next rule is tried, so a long licence text is recognised before its single sentences could be.
 Identifiers no rule uses are left over, and sentences with a licence word that no entry knows
@@ -72,8 +74,10 @@ SENTENCES = {
     "disclaimer": "BsdSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
     "disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "neither the name of {org} nor the names of its contributors may be used to endorse or promote "
     "products derived from this software without specific prior written permission": "BsdNames",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific "
+    "prior written permission": "BsdNames",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
     "provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "you may not use this file except in compliance with the license": "ApacheUse",
@@ -84,6 +88,11 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
     "license as published by the free software foundation either version 3 of the license or at your option any later "
     "version": "Gpl3Later",
+    **{f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu {kind} general "
+       f"public license as published by the free software foundation either version {version} of the license or at your "
+       "option any later version": id for what in ("library", "program", "file", "software") for kind, version, id in (
+           ("lesser", "2 1", "Lgpl21Later"), ("lesser", "3", "Lgpl3Later"), ("affero", "3", "Agpl3Later"))},
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "Ref:MPL-2.0",
     "this is free and unencumbered software released into the public domain": "PublicDomain",
     "this work is in the public domain": "PublicDomain",
     "released into the public domain": "PublicDomain",
@@ -97,10 +106,22 @@ HEADERS = {
     **{f"spdx license identifier {name}": id for id, names in {
         "Ref:GPL-2.0": ("gpl 2 0", "gpl 2 0 only"), "Gpl2Later": ("gpl 2 0 or later",),
         "Ref:GPL-3.0": ("gpl 3 0", "gpl 3 0 only"), "Gpl3Later": ("gpl 3 0 or later",),
+        "Lgpl21Later": ("lgpl 2 1 or later",), "Lgpl3Later": ("lgpl 3 0 or later",), "Agpl3Later": ("agpl 3 0 or later",),
         "Ref:LGPL-2.1": ("lgpl 2 1", "lgpl 2 1 only"), "Ref:LGPL-3.0": ("lgpl 3 0", "lgpl 3 0 only"),
         "Ref:AGPL-3.0": ("agpl 3 0", "agpl 3 0 only"), "Ref:BSD-2-Clause": ("bsd 2 clause",),
         "Ref:BSD-3-Clause": ("bsd 3 clause",), "Ref:ISC": ("isc",)}.items() for name in names},
+    # titles of whole licence texts, with their dates
+    "apache license version 2 0 january 2004": "Ref:Apache-2.0", "gnu general public license version 2 june 1991": "Ref:GPL-2.0",
+    "gnu general public license version 3 29 june 2007": "Ref:GPL-3.0",
+    "gnu lesser general public license version 2 1 february 1999": "Ref:LGPL-2.1",
+    "gnu lesser general public license version 3 29 june 2007": "Ref:LGPL-3.0",
+    "gnu affero general public license version 3 19 november 2007": "Ref:AGPL-3.0",
 }
+SPDX = "spdx license identifier "
+#: What may stand before several names, and how these are parted (before "later" an "or" is part of a name).
+SEVERAL = ("dual licensed under", "licensed under either of", "licensed under either", "available under either of", "spdx license identifier")
+_PARTED = r" (?:and or|or(?! later)|and)(?: (?:the|an|a))? "
+_EXCEPTION = r" with(?: [\p{L}\p{N}]+){1,4}? exception(?: [0-9]+)*"
 #: (licence, identifiers in order), tried in this order; Ref:X is a sentence that grants X by name.
 RULES = (
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs")), ("MIT", ("MitGrant", "MitNotice")), ("MIT", ("MitGrant",)),
@@ -109,6 +130,7 @@ RULES = (
     ("ISC", ("IscGrant",)),
     ("Apache-2.0", ("Ref:Apache-2.0", "ApacheUse", "ApacheCopy")), ("Apache-2.0", ("Ref:Apache-2.0", "ApacheUse")),
     ("GPL-2.0-or-later", ("Gpl2Later",)), ("GPL-3.0-or-later", ("Gpl3Later",)),
+    ("LGPL-2.1-or-later", ("Lgpl21Later",)), ("LGPL-3.0-or-later", ("Lgpl3Later",)), ("AGPL-3.0-or-later", ("Agpl3Later",)),
     *((name, (f"Ref:{name}",)) for name in NAMES),
     ("LicenseRef-public-domain", ("PublicDomain",)), ("LicenseRef-all-rights-reserved", ("AllRights",)),
 )
@@ -124,6 +146,8 @@ def known_sentences() -> dict[str, str]:
 #: Ends a piece that has a licence word.
 FLAG = "\x01"
 _GAP = rf"(?:{FLAG}?\n| )"
+#: An organisation's name: up to twelve words.
+_ORG = rf"[\p{{L}}\p{{N}}]+(?:{_GAP}[\p{{L}}\p{{N}}]+){{0,11}}?"
 
 
 def one_of(sentences) -> str:
@@ -136,18 +160,44 @@ def one_of(sentences) -> str:
         at[""] = {}
 
     def pattern(node):
-        ways = [word + (_GAP + rest if (rest := pattern(below)) and "" not in below else f"(?:{_GAP}{rest})?" if rest else "")
+        ways = [(_ORG if word == "{org}" else word) + (_GAP + rest if (rest := pattern(below)) and "" not in below else f"(?:{_GAP}{rest})?" if rest else "")
                 for word, below in sorted(node.items(), reverse=True) if word]
         return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
 
     return pattern(tree)
 
 
+def spdx_names() -> list[str]:
+    """Normalised names that may stand in an expression."""
+    return [n for names in NAMES.values() for n in names] + [k.removeprefix(SPDX) for k in HEADERS if k.startswith(SPDX)]
+
+
 def known_pattern() -> str:
     """Whole pieces, after a list mark or none, that make up a known sentence (group 1)."""
+    wide = lambda x: x.replace(" ", _GAP)
     names = one_of(name for names in NAMES.values() for name in names)
     grant = f"{one_of(GRANTS)}{_GAP}(?:(?:the|an|a){_GAP})?{names}"
-    return rf"(?m)^(?:(?:[0-9]{{1,2}}|[a-h]|[iv]{{1,3}}) )?((?:{one_of(SENTENCES | HEADERS)}|{grant}){FLAG}?)$"
+    one = f"{one_of(spdx_names())}(?:{_GAP}licen[sc]es?)?"
+    with_exception = f"(?:{wide(_EXCEPTION)})"
+    several = (f"{one_of(SEVERAL)}{_GAP}(?:(?:the|an|a){_GAP})?{one}{with_exception}?(?:{wide(_PARTED)}{one}{with_exception}?)+"
+               f"|{wide(SPDX)}{one}{with_exception}")
+    return rf"(?m)^(?:(?:[0-9]{{1,2}}|[a-h]|[iv]{{1,3}}) )?((?:{several}|{one_of(SENTENCES | HEADERS)}|{grant}){FLAG}?)$"
+
+
+def canonical(sentence: Column) -> Column:
+    """A known sentence with its slots empty."""
+    return F.regexp_replace(sentence, r"^neither the name of .* nor the names of its contributors may be used",
+                            "neither the name of {org} nor the names of its contributors may be used")
+
+
+def identifiers(sentence: Column, table: Column) -> Column:
+    """The identifiers of a known sentence: one, or one for each licence of an expression."""
+    body = F.regexp_replace(sentence, f"^(?:{'|'.join(SEVERAL)})(?: (?:the|an|a))? ", "")
+    parts = F.split(F.regexp_replace(body, _EXCEPTION, ""), _PARTED)
+    named = F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, F.concat(F.lit(SPDX), p)), F.try_element_at(
+        table, F.concat(F.lit(SPDX), F.regexp_replace(p, " licen[sc]es?$", "")))))
+    alone = F.try_element_at(table, canonical(sentence))
+    return F.when(alone.isNotNull(), F.array(alone)).otherwise(F.array_compact(named))
 
 
 def normalise(sentence: Column) -> Column:
@@ -189,12 +239,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("found", F.filter(
         F.regexp_extract_all("s", F.lit(known_pattern()), F.lit(1)),
         lambda m: F.contains(m, F.lit(FLAG)) | (F.contains(m, F.lit("\n")) & has_word(plain(m)))))
-    rows = rows.withColumn("known", F.transform("found", lambda m: F.try_element_at(table, plain(m))))
+    rows = rows.withColumn("known", F.flatten(F.transform("found", lambda m: identifiers(plain(m), table))))
     rows = rows.withColumn("unknown", F.regexp_count(F.regexp_replace("s", known_pattern(), ""), F.lit(FLAG)))
     rows = rows.withColumn("m", F.when(F.size("known") > 0, apply_rules(F.col("known"))))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
-        "doc_id", number(F.size("known") + F.col("unknown")).alias("n_sentences"),
+        "doc_id", number(F.size("found") + F.col("unknown")).alias("n_sentences"),
         F.coalesce(F.array_join("known", " "), F.lit("")).alias("sentence_ids"),
         F.coalesce(F.array_join(F.array_distinct("m.found"), " "), F.lit("")).alias("licences"),
         number(F.regexp_count("m.left", F.lit("<"))).alias("n_left"),

@@ -78,3 +78,44 @@ def test_sentences_with_marks_inside(spark):
     out = {r.doc_id: r for r in scan(df).collect()}
     assert [out[i].licences for i in range(len(texts))] == list(texts.values())
     assert (out[0].n_sentences, out[0].n_unknown, out[6].n_unknown) == (1, 0, 1)
+
+
+ORG = """Neither the name of {org} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+LESSER = """This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+TITLES = {"Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0",
+          "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991": "GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0",
+          "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": "LGPL-2.1", "GNU Affero General Public License\nVersion 3, 19 November 2007": "AGPL-3.0"}
+
+
+def test_organisations_and_more_notices_when_wrapped(spark):
+    texts = [(f"{BSD}\n{ORG.format(org=o)}", "BSD-3-Clause") for o in (
+        "Example Inc.", "the University of California, Berkeley", "Google", "the <organization>", "the copyright holder", "Foo & Bar GmbH")]
+    texts += [(LESSER.format(what="library", kind="Lesser", v="2.1"), "LGPL-2.1-or-later"),
+              (LESSER.format(what="program", kind="Lesser", v="3"), "LGPL-3.0-or-later"),
+              (LESSER.format(what="program", kind="Affero", v="3"), "AGPL-3.0-or-later"), (MPL, "MPL-2.0")]
+    rows, want = [], {}
+    for text, licence in texts:
+        for form in (text, wrapped(text, 75), wrapped(text, 40), wrapped(text, 72, "# ", "1. "), wrapped(text, 70, " * ", "* ")):
+            want[len(rows)] = licence
+            rows.append((len(rows), form, *"abcde"))
+    for title, licence in TITLES.items():
+        want[len(rows)] = licence
+        rows.append((len(rows), title, *"abcde"))
+    for r in scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (r.licences, r.n_left) == (want[r.doc_id], 0), rows[r.doc_id][1]
+
+
+def test_expressions_name_all_their_licences(spark):
+    texts = {"SPDX-License-Identifier: MIT OR Apache-2.0": "MIT Apache-2.0", "// SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)": "GPL-2.0 BSD-3-Clause",
+             "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception": "Apache-2.0",
+             "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND MIT": "GPL-2.0-or-later MIT",
+             "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later",
+             "Dual licensed under the MIT and GPL v3.": "GPL-3.0 MIT", "Dual licensed under the MIT License and the Apache License, Version 2.0.": "MIT Apache-2.0",
+             "Licensed under either of Apache License, Version 2.0 or MIT license": "MIT Apache-2.0",
+             "SPDX-License-Identifier: MIT OR something of ours": "", "Licensed under the terms of a licence with an exception": ""}
+    df = spark.createDataFrame([(i, t, *"abcde") for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r for r in scan(df).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        assert set(out[i].licences.split()) == set(want.split()), t
+        assert (out[i].n_sentences, out[i].n_left) == (1, 0) and out[i].n_unknown == (not want), t
