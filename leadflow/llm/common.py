@@ -40,8 +40,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint when it holds at most ``max_rows`` rows, else unhinted
-    (a shuffle join that adaptive execution may split).  ``df`` should be materialised."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    (a shuffle join that adaptive execution may split; always if ``max_rows`` is below zero).
+    ``df`` should be materialised."""
+    return F.broadcast(df) if max_rows >= 0 and df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def join_on_hot_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total: int,

@@ -15,8 +15,11 @@ nothing else keeps them.
 The main slot is the deepest valid token, once per page, outside which all text is the
 template's or boilerplate (by element or by ``MARKS``); it is never below an article or main
 element.  A page with other text outside takes its own deepest place that holds all of it, so no
-page loses text to its host's slot.  A marked element inside an article or main element, or
-inside a main slot other than the body, counts as text unless its class makes it the template's.
+page loses text to its host's slot.  A block that stands directly in an article or main element is
+the article's, also where all pages share it.  A marked element inside an article or main element, or
+inside a main slot other than the body, counts as text unless its class makes it the template's; but
+reader comments, forms to sign up, adverts and the like (``NEVER``) go wherever they stand, unless
+they hold more text than the rest of the page (then the name belongs to the page's frame).
 
 Cases: null or empty html, or no running text, gives an empty text.  A null url or one without
 a host shares the empty host.  Broken markup: unclosed tags end with their parent, stray end
@@ -38,6 +41,7 @@ from .common import broadcast_if_small, materialise
 from .url_filter import url_host
 
 MAX_BROADCAST_HOSTS = 200_000
+MAX_BROADCAST_TOKENS = 4_000_000       # 8 bytes each, over all hosts
 COPIES = 0.8               # share of a host's text from which on what its pages share is no template
 TEMPLATE_PAGES = 3         # that a block of text is in at least to be the template's; two in a marked element
 FREQUENT = 0.5             # share of a host's pages that a valid class is in at least
@@ -55,12 +59,16 @@ MARKS = frozenset("ad ads advert advertisement adverts advertising sponsor spons
                   "nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice "
                   "notices alert popup modal overlay newsletter subscribe signup login share sharing social related "
                   "recommended comment comments commentlist disqus replies respond pagination pager widget".split())
+#: Those of them that are no article text inside an article either.
+NEVER = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent gdpr "
+                  "newsletter subscribe signup login comment comments commentlist disqus replies respond".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
                     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
                     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BELOW_MAIN = r">(?:article|main)(?:\.[^>]*)?>"
+_IS_MAIN = r">(?:article|main)(?:\.[^>]*)?$"
 
 
 def text_token(place: str, block: str) -> int:
@@ -160,7 +168,11 @@ class Page:
 
     def extract(self, main: str | None, template: frozenset[int] = frozenset()) -> str:
         """All running text but the template's, and marked elements inside the main slot that are not the template's."""
-        gone = [bool(template) and text_token(above[-1], block) in template for above, block, _ in self.blocks]
+        gone = [bool(template) and text_token(above[-1], block) in template and not re.search(_IS_MAIN, above[-1])
+                for above, block, _ in self.blocks]
+        never = [mark is not None and not NEVER.isdisjoint(mark.rsplit(">", 1)[-1].split(".")[1:]) for _, _, mark in self.blocks]
+        if sum(len(block) for (_, block, _), x in zip(self.blocks, never) if x) <= self.places[""][1]:
+            gone = [g or x for g, x in zip(gone, never)]
         running = [above for (above, _, mark), g in zip(self.blocks, gone) if mark is None and not g]
         if not running:                                     # a page of nothing but shared text
             gone = [g and mark is not None for (_, _, mark), g in zip(self.blocks, gone)]
@@ -203,7 +215,8 @@ def host_templates(tokens: DataFrame) -> DataFrame:
         "host", F.col("pages").alias("host_pages"), F.col("whole").alias("host_whole"))
     frequent = vectors.join(root, "host").where((F.col("pages") >= 2) & (F.col("pages") >= FREQUENT * F.col("host_pages")))
     tags, texts = frequent.where("text is null"), frequent.where("text is not null")
-    valid = texts.join(tags.select("host", "v1", "v2").distinct(), ["host", "v1", "v2"]).where(
+    valid = texts.where(~F.regexp_like("place", F.lit(_IS_MAIN))).join(
+        tags.select("host", "v1", "v2").distinct(), ["host", "v1", "v2"]).where(
         (F.col("chars") == 0) | (F.col("pages") >= TEMPLATE_PAGES))
     found = valid.groupBy("host").agg(F.sum("chars").alias("shared"), F.max("host_whole").alias("of"),
                                       F.collect_list(F.struct("text", "place", "chars")).alias("t"))
@@ -232,6 +245,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"), url_host(F.col(url_col)).alias("host"))
     tokens = token_rows(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html"))
-    templates = broadcast_if_small(materialise(host_templates(tokens), "templates"), MAX_BROADCAST_HOSTS)
+    templates = materialise(host_templates(tokens), "templates")
+    held = templates.agg(F.sum(F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
+    templates = broadcast_if_small(templates, MAX_BROADCAST_HOSTS if held <= MAX_BROADCAST_TOKENS else -1)
     return (rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "template")
             .mapInArrow(run, "page_id long, url string, text string, n_chars long"))

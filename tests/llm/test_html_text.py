@@ -113,3 +113,33 @@ def test_classes_remove_the_template_text(spark):
     assert all(out[i] == f"Text {i} of the page\nonce {i}" for i in range(4))
     assert all(out[10 + i].startswith("Said on two pages\n") for i in range(2))       # too few pages
     assert all(out[20 + i].startswith("Said by most\n") for i in range(1, 5))         # not where its element is
+
+
+def test_a_shared_closing_line_of_an_article_is_text(spark):
+    page = ("<body><div class=top>The house paper</div><article><p>Text {i} of this page</p><p>Signed, the editors.</p>"
+            "<div class=box>Read our letter</div></article><div class=end>Legal line</div>")
+    out = got(spark, [(i, "http://closing.example/", page.format(i=i)) for i in range(5)])
+    assert all(out[i] == f"Text {i} of this page\nSigned, the editors." for i in range(5))
+
+
+def test_comments_and_sign_up_forms_in_an_article_go_though_they_differ(spark):
+    page = ("<body><article><p>Text {i} of the page goes on for a while here</p><div class='comment'>cm {i}</div>"
+            "<div class='newsletter-signup'>Sign up {i} now</div><section class='comments'><div>Reader {i} says so</div></section>"
+            "<div id='sponsored'>Buy {i}</div><section id=related-work>Others {i} did this.</section></article>")
+    rows = [(i, "http://comments.example/", page.format(i=i)) for i in range(4)] + [(9, "http://one.example/", page.format(i=9))]
+    out = got(spark, rows)
+    assert all(out[i] == f"Text {i} of the page goes on for a while here\nOthers {i} did this." for i in (0, 1, 2, 3, 9))
+
+
+def test_a_frame_named_like_a_comment_keeps_its_article(spark):
+    page = "<body><article><div class='post comments'><p>{t} number {i}</p></div><p>end {i}</p></article>"
+    out = got(spark, [(i, "http://frame.example/", page.format(i=i, t="long text " * 20)) for i in range(3)])
+    assert all("long text" in out[i] and out[i].endswith(f"end {i}") for i in range(3))
+
+
+def test_many_templates_are_joined_by_shuffle(spark, monkeypatch):
+    from leadflow.llm import html_text as H
+    monkeypatch.setattr(H, "MAX_BROADCAST_TOKENS", 0)
+    page = "<body><div class=top>The house paper</div><article><p>Text {i}</p></article>"
+    out = got(spark, [(i, f"http://h{i % 2}.example/", page.format(i=i)) for i in range(8)])
+    assert out == {i: f"Text {i}" for i in range(8)}
