@@ -16,6 +16,7 @@ from ..functions import predicates as P
 from ..functions import text as TX
 from ..functions import windows as W
 from ..functions.metrics import ISSUED
+from ..sources.facts import Facts, rows_in_window
 from . import names as N
 from .similarity import fuzzy_pairs, single_word_guard, trigram_guard, with_guard_columns
 from .topk import newest_key, newest_per, pick_newest
@@ -130,19 +131,19 @@ def suggest(leads: DataFrame, queries: DataFrame, k: int = 5, cutoff: float = 85
             .select("q_id", "q_name", "name", "score", "rank"))
 
 
-def active_rows(leads: DataFrame, as_of) -> DataFrame:
+def active_rows(leads: DataFrame | Facts, as_of) -> DataFrame:
     """Rows of agents with an issued booking since the first of the previous month."""
-    return leads.where(P.non_blank("lead_agentid") & (F.col("booking_status") == F.lit(ISSUED))
+    return rows_in_window(leads, "bookingdate", "since_prev_month", as_of=as_of).where(P.non_blank("lead_agentid") & (F.col("booking_status") == F.lit(ISSUED))
                        & W.in_window("bookingdate", "since_prev_month", as_of))
 
 
-def active_ids(leads: DataFrame, as_of) -> DataFrame:
+def active_ids(leads: DataFrame | Facts, as_of) -> DataFrame:
     """(lead_agentid, bookings, last_booking) for every active agent."""
     return (active_rows(leads, as_of).groupBy("lead_agentid")
             .agg(F.count(F.lit(1)).alias("bookings"), F.max("bookingdate").alias("last_booking")))
 
 
-def active_pairs(leads: DataFrame, as_of, products: Sequence[int] | None = None) -> DataFrame:
+def active_pairs(leads: DataFrame | Facts, as_of, products: Sequence[int] | None = None) -> DataFrame:
     """Distinct (product, agent id) of active agents."""
     rows = active_rows(leads, as_of)
     if products:
@@ -169,7 +170,7 @@ def _wanted(statuses: Sequence[str] | None):
     return F.upper(F.col("Status")).isin(wanted)
 
 
-def status_summary(leads: DataFrame, status: DataFrame, as_of, statuses: Sequence[str] | None = None,
+def status_summary(leads: DataFrame | Facts, status: DataFrame, as_of, statuses: Sequence[str] | None = None,
                    products: Sequence[int] | None = None) -> DataFrame:
     """Per product: active agents checked and how many are in the wanted statuses now."""
     joined = with_status(active_pairs(leads, as_of, products), latest_status(status))
@@ -178,7 +179,7 @@ def status_summary(leads: DataFrame, status: DataFrame, as_of, statuses: Sequenc
         F.count_if(F.coalesce(_wanted(statuses), F.lit(False))).alias("in_status"))
 
 
-def status_breakdown(leads: DataFrame, status: DataFrame, as_of,
+def status_breakdown(leads: DataFrame | Facts, status: DataFrame, as_of,
                      products: Sequence[int] | None = None) -> DataFrame:
     """Agents per product and upper-cased status (agents without a status are skipped)."""
     joined = with_status(active_pairs(leads, as_of, products), latest_status(status), how="inner")
@@ -186,7 +187,7 @@ def status_breakdown(leads: DataFrame, status: DataFrame, as_of,
         F.count(F.lit(1)).alias("agents"))
 
 
-def status_details(leads: DataFrame, status: DataFrame, as_of, statuses: Sequence[str] | None = None,
+def status_details(leads: DataFrame | Facts, status: DataFrame, as_of, statuses: Sequence[str] | None = None,
                    products: Sequence[int] | None = None) -> DataFrame:
     """One row per active agent in the wanted statuses, blank fields as NULL."""
     joined = with_status(active_pairs(leads, as_of, products), latest_status(status), how="inner")

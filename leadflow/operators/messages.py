@@ -33,6 +33,9 @@ FEEDBACK_WORDS = ("should", "should have", "supposed to", "must", "always", "inc
 #: A run of word characters of any script (letters, marks, digits, underscore).
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 
+#: Of the alias catalog, which every task holds.
+MAX_ALIASES = 100_000
+
 SIMPLE, LOGIC = "simple_metric", "business_logic"
 
 
@@ -45,27 +48,21 @@ def product_tags(messages: DataFrame, aliases: DataFrame, min_alias_len: int = 3
 
     A message saying "all products" (or the like) names no product.  An alias is found where
     it stands in the lower-cased text with no word character joined to its word ends, in any
-    script.  A message's word runs are exploded without its text and equi-joined with the
-    first word of each alias; the text is met again only by the messages of a candidate, and
-    each of their candidates is then looked for.  An alias without any word character has no
-    first word: it is looked for in every message by a plain substring test."""
+    script.  The alias catalog is small (``MAX_ALIASES`` at most, else this raises): the first words
+    of the aliases meet each message's words in its own row, and the few that both have are looked
+    up in the broadcast catalog beside the text, so no text is shuffled; only the ids found are,
+    to make them distinct.  An alias without any word character has the empty first word, which
+    every message has."""
+    al = (aliases.where(F.length("alias") >= min_alias_len)
+          .select("product_id", F.lower("alias").alias("a")).withColumn("tok", F.regexp_extract("a", WORD, 0)))
+    too_many = F.raise_error(F.lit(f"more than {MAX_ALIASES} aliases"))
+    firsts = al.agg(F.when(F.count(F.lit(1)) > MAX_ALIASES, too_many).otherwise(F.collect_set("tok")).alias("toks")).scalar()
     msgs = messages.select("msg_id", F.lower("text").alias("t"))
     msgs = msgs.where(~_any_contains(F.col("t"), ALL_PRODUCTS_PHRASES))
-    words = msgs.select("msg_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD), 0))).alias("tok"))
-    al = (aliases.where(F.length("alias") >= min_alias_len)
-          .select("product_id", F.lower("alias").alias("a"))
-          .withColumn("tok", F.regexp_extract("a", WORD, 0)))
-    cand = (words.join(al.where(F.col("tok") != ""), "tok").groupBy("msg_id")
-            .agg(F.collect_set(F.struct("product_id", "a")).alias("cand")))       # aliases in one message: few
-    hit = msgs.join(cand, "msg_id").select("msg_id", "t", F.explode("cand").alias("c")).where(
-        _stands_in(F.col("t"), F.col("c.a"))).select("msg_id", F.col("c.product_id").alias("product_id"))
-    odd = al.where(F.col("tok") == "").groupBy().agg(F.collect_set(F.struct("product_id", "a")).alias("odd"))
-    odd = odd.first()[0]                                # aliases of marks alone: part of the alias catalog
-    if odd:
-        held = F.explode(F.array_compact(F.array(*[
-            F.when(F.col("t").contains(r.a), F.lit(r.product_id)) for r in odd]))).alias("product_id")
-        hit = hit.unionByName(msgs.select("msg_id", held))
-    return hit.distinct()
+    words = F.concat(F.regexp_extract_all("t", F.lit(WORD), 0), F.array(F.lit("")))
+    near = msgs.select("msg_id", "t", F.explode(F.array_intersect(words, firsts)).alias("tok"))
+    return (near.join(F.broadcast(al), "tok").where(_stands_in(F.col("t"), F.col("a")))
+            .select("msg_id", "product_id").distinct())
 
 
 def _stands_in(text: Column, alias: Column) -> Column:
@@ -74,7 +71,8 @@ def _stands_in(text: Column, alias: Column) -> Column:
     wordy = lambda c: F.regexp_like(c, F.lit(f"^{one}$"))
     before = F.when(wordy(F.substring(alias, 1, 1)), f"(?<!{one})").otherwise("")
     after = F.when(wordy(F.substring(alias, -1, 1)), f"(?!{one})").otherwise("")
-    return F.regexp_like(text, F.concat(before, F.lit(r"\Q"), alias, F.lit(r"\E"), after))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(alias, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.regexp_like(text, F.concat(before, quoted, after))
 
 
 def agent_codes(messages: DataFrame) -> DataFrame:

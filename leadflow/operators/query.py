@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import predicates as P
 from ..functions import windows as W
+from ..sources.facts import Facts, rows_in_window
 from ..sources.schema import CATALOG_BY_NAME
 from .masking import column_policies
 
@@ -58,14 +59,17 @@ def with_product_name(df: DataFrame, products_dim: DataFrame, id_col: str = "inv
     return df.join(dim, on=id_col, how="left").select(id_col, "product_name", *rest)
 
 
-def metric_query(leads: DataFrame, metrics: Sequence[str] = ("leads",), *, dims: Sequence[str] = (),
+def metric_query(leads: DataFrame | Facts, metrics: Sequence[str] = ("leads",), *, dims: Sequence[str] = (),
                  where: Sequence[Column] = (), products: Sequence[int] | None = None,
                  window: str | None = None, between=None, as_of=None, online: bool = False,
                  bucket: str | None = None, products_dim: DataFrame | None = None,
                  order_by: str | None = None, descending: bool = True, top_n: int | None = None) -> DataFrame:
-    """Metrics over the fact table, optionally grouped, bucketed and ranked."""
+    """Metrics over the fact table, optionally grouped, bucketed and ranked.
+
+    Given ``Facts``, a span of booking dates reads the copy laid out by booking month."""
     names = M.resolve(metrics)
     axis = M.date_axis(names)
+    leads = rows_in_window(leads, axis, window, between, as_of)
     dims = _check_dims(leads, dims)
 
     preds: list[Column] = []

@@ -36,7 +36,7 @@ def g_product_wise(spark, sf):
     """Flagship: bookings, leads and conversion rate by product with its name, last month, top 10.
 
     Bookings are asked for, so the window runs on ``bookingdate``."""
-    return metric_query(_leads(spark, sf), ["bookings", "leads", "conversion_rate"],
+    return metric_query(fx.facts(spark, sf), ["bookings", "leads", "conversion_rate"],
                         dims=["investmenttypeid"], window="last_month", as_of=AS_OF,
                         products_dim=_dim(spark, sf), top_n=10)
 
@@ -50,11 +50,13 @@ from ..functions import predicates as P  # noqa: E402
 from ..functions import text as TX  # noqa: E402
 from ..functions import windows as W  # noqa: E402
 from ..functions.masking import FAKE_PLACES  # noqa: E402
+from ..operators import agents as A  # noqa: E402
 from ..operators import names as N  # noqa: E402
 from ..operators import topk as K  # noqa: E402
 from ..operators.query import axis_trend, time_filter, with_product_name  # noqa: E402
 from ..session import scratch_path  # noqa: E402
 from ..sources import io  # noqa: E402
+from ..sources.facts import rows_in_window  # noqa: E402
 from .sql import money  # noqa: E402
 
 LEADS = with_views("leads")
@@ -72,7 +74,7 @@ def _fake_place_sql(col: str) -> str:
 
 @register("scan_leads", oracle=LEADS + "SELECT * FROM leads")
 def scan_leads(spark, sf):
-    """Read the whole fact table (the written fact view, masking metadata attached)."""
+    """Read the whole written fact table with its declared schema and policies (``load_leads``)."""
     return _leads(spark, sf)
 
 
@@ -121,8 +123,9 @@ def export_csv(spark, sf):
 SELECT event_id, ts, AgentCode, Status, TotalTalkTime, ts AS LastUpdatedOn FROM agent_status
 """)
 def scan_status(spark, sf):
-    """The agents' status rows as a table (one row per status event)."""
-    return io.status_rows(fx.view(spark, sf, "agent_status"))
+    """The agents' status rows, one per status event, read from a written table with the declared schema
+    (``load_status``)."""
+    return fx.status(spark, sf)
 
 
 # ---------------------------------------------------------------- 2.2 filters
@@ -177,10 +180,14 @@ _filter("f_text_date", "coalesce(try_strptime(policystartdate, '%Y-%m-%d'), try_
 _filter("f_month_label", "strftime(leaddate, '%B-%Y') = 'April-2000'",
         "Lead month label equals 'April-2000' (evaluated as a pushed-down date range).",
         lambda d: W.month_is("leaddate", "April-2000"))
-_filter("f_since_prev_month",
-        "bookingdate >= CAST(date_trunc('month', DATE '2000-06-14') - INTERVAL 1 MONTH AS DATE)",
-        "Booking date from the first of the previous month on.",
-        lambda d: W.in_window("bookingdate", "since_prev_month", AS_OF))
+@register("f_since_prev_month", oracle=LEADS + f"SELECT {ROWSQL} FROM leads WHERE bookingdate >= "
+          "CAST(date_trunc('month', DATE '2000-06-14') - INTERVAL 1 MONTH AS DATE)")
+def f_since_prev_month(spark, sf):
+    """Booking date from the first of the previous month on (read from the copy by booking month)."""
+    rows = rows_in_window(fx.facts(spark, sf), "bookingdate", "since_prev_month", as_of=AS_OF)
+    return rows.where(W.in_window("bookingdate", "since_prev_month", AS_OF)).select(*ROWCOLS)
+
+
 _filter("f_online_only", "paymentstatus = 300", "Online payments only.", lambda d: P.online_only())
 _filter("f_is_null", "referralid IS NULL", "Referral id is NULL.", lambda d: P.is_null("referralid"))
 _filter("f_not_null", "referralid IS NOT NULL", "Referral id is not NULL.", lambda d: P.not_null("referralid"))
@@ -340,9 +347,9 @@ def g_metric_query(spark, sf):
     """General query: leads, bookings, revenue, conversion by month x state, this month, two payment statuses.
 
     Bookings are asked for, so window and bucket use ``bookingdate``."""
-    leads = _leads(spark, sf)
-    return metric_query(leads, ["leads", "bookings", "revenue", "conversion_rate"], dims=["state"],
-                        where=[P.isin(leads, "paymentstatus", [300, 3002])], window="this_month",
+    facts = fx.facts(spark, sf)
+    return metric_query(facts, ["leads", "bookings", "revenue", "conversion_rate"], dims=["state"],
+                        where=[P.isin(facts.full, "paymentstatus", [300, 3002])], window="this_month",
                         as_of=AS_OF, bucket="month")
 
 
@@ -368,7 +375,7 @@ GROUP BY 1, 2
 """)
 def g_by_two_dims(spark, sf):
     """Bookings and leads per agent x product, last week (booking-date axis)."""
-    return metric_query(_leads(spark, sf), ["bookings", "leads"],
+    return metric_query(fx.facts(spark, sf), ["bookings", "leads"],
                         dims=["leadassignedagentname", "investmenttypeid"], window="last_week", as_of=AS_OF)
 
 
@@ -428,7 +435,7 @@ GROUP BY 1 ORDER BY bookings DESC, leadassignedagentname ASC NULLS LAST LIMIT 10
 """)
 def t_top_n(spark, sf):
     """Top 10 agents by bookings last month (ties: name)."""
-    return metric_query(_leads(spark, sf), ["bookings"], dims=["leadassignedagentname"],
+    return metric_query(fx.facts(spark, sf), ["bookings"], dims=["leadassignedagentname"],
                         window="last_month", as_of=AS_OF, top_n=10)
 
 
@@ -532,21 +539,20 @@ ACTIVE_SQL = ("lead_agentid IS NOT NULL AND trim(lead_agentid) <> '' AND booking
 
 def active_rows(leads):
     """Rows of agents with an issued booking since the first of the previous month."""
-    return leads.where(P.non_blank("lead_agentid") & (F.col("booking_status") == F.lit("IssuedBusiness"))
-                       & W.in_window("bookingdate", "since_prev_month", AS_OF))
+    return A.active_rows(leads, AS_OF)
 
 
 @register("u_distinct_ids", oracle=LEADS + f"SELECT DISTINCT lead_agentid FROM leads WHERE {ACTIVE_SQL}")
 def u_distinct_ids(spark, sf):
     """Distinct active agent ids overall."""
-    return active_rows(_leads(spark, sf)).select("lead_agentid").distinct()
+    return active_rows(fx.facts(spark, sf)).select("lead_agentid").distinct()
 
 
 @register("u_distinct_ids_per_product",
           oracle=LEADS + f"SELECT DISTINCT investmenttypeid, lead_agentid FROM leads WHERE {ACTIVE_SQL}")
 def u_distinct_ids_per_product(spark, sf):
     """Distinct active agent ids per product, one pass instead of a loop over products."""
-    return active_rows(_leads(spark, sf)).select("investmenttypeid", "lead_agentid").distinct()
+    return active_rows(fx.facts(spark, sf)).select("investmenttypeid", "lead_agentid").distinct()
 
 
 @register("j_product_dim", oracle=with_views("leads", "aliases", extra=PRODUCT_DIM) + f"""

@@ -6,10 +6,11 @@ Spark SQL and DuckDB, with ``{table}`` placeholders: Spark binds them to DataFra
 (``spark.sql(text, lineitem=df, ...)``), the oracle binds them to the DuckDB view names.
 These views only produce input rows; none of them does the work of a query.
 
-``leads`` joins seven tables, so within one Spark application it is written once as a
-Parquet table below ``spark.checkpoint.dir`` (clustered by ``leaddate`` so date windows
-skip row groups) and every query reads that table - the same shape as the production
-fact table.  Later calls in the same application reuse it.
+``leads`` joins seven tables, so within one Spark application it is written once in the declared
+types as a Parquet table below ``spark.checkpoint.dir`` (clustered by ``leaddate`` so date windows
+skip row groups) and every query reads that table through ``load_leads`` - the same shape as the
+production fact table.  ``facts`` adds the copy of booked rows by booking month; ``status`` is the
+written table of status events.  Later calls in the same application reuse them.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import os
 import string
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import application_id, scratch_path
-from .schema import with_policy
+from . import io
+from .facts import Facts
+from .schema import FACT_SCHEMA
 
 # Fixed clock of the fixtures: "today" for time windows and "now" for the alert jobs.
 AS_OF = _dt.date(2000, 6, 14)                    # a Wednesday; its week starts 2000-06-12
@@ -185,7 +190,7 @@ def build_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], tuple[str, list[str]]] = {}
 _lock = threading.Lock()
 
 
@@ -193,31 +198,58 @@ def _digest(sf_dir: str) -> str:
     return hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
 
 
-def _write_leads(spark: SparkSession, sf_dir: str, path: str) -> None:
-    (build_view(spark, sf_dir, "leads")
-     .repartitionByRange("leaddate", "leadid")       # a hot date still spans many tasks
-     .sortWithinPartitions("leaddate", "leadid")
-     .write.mode("overwrite").parquet(path))
+def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact view in the declared types."""
+    df = build_view(spark, sf_dir, "leads")
+    return df.select(*[F.col(c).cast(FACT_SCHEMA[c].dataType).alias(c) for c in df.columns])
 
 
-def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact view, written once per application and read back as Parquet.
-
-    If the written table has gone (a cleaned scratch folder), it is written again."""
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], list[str]], read: Callable[[str], DataFrame]) -> DataFrame:
+    """The table ``name``, written once per application; written again if it has gone (a cleaned scratch folder)."""
     app = application_id(spark)
-    key = (app, os.path.abspath(sf_dir))
+    key = (app, os.path.abspath(sf_dir), name)
     with _lock:
-        path = _written.get(key)
-        if path is None:
-            path = scratch_path(spark, "fixtures", app, _digest(sf_dir), "leads")
-            _write_leads(spark, sf_dir, path)
-            _written[key] = path
+        if key not in _written:
+            path = scratch_path(spark, "fixtures", app, _digest(sf_dir), name)
+            _written[key] = path, write(path)
+        path, columns = _written[key]
         try:
-            df = spark.read.parquet(path)
+            df = read(path)
         except AnalysisException:
-            _write_leads(spark, sf_dir, path)
-            df = spark.read.parquet(path)
-    return with_policy(df)
+            write(path)
+            df = read(path)
+    return df.select(*columns)
+
+
+def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact view, written once per application and read back with its declared schema and policies."""
+    def write(path: str) -> list[str]:
+        df = _conformed(spark, sf_dir)
+        io.write_leads(df, path, partition_by_month=False)
+        return df.columns
+    return _once(spark, sf_dir, "leads", write, lambda path: io.load_leads(spark, path))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> Facts:
+    """The fact view in both layouts."""
+    full = leads(spark, sf_dir)
+
+    def write(path: str) -> list[str]:
+        io.write_leads(full, path, by="bookingdate")
+        return full.columns
+
+    def booked(first, last) -> DataFrame:
+        return _once(spark, sf_dir, "leads-booked", write, lambda path: io.load_leads(spark, path, booking_dates=(first, last)))
+
+    return Facts(full, booked)
+
+
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status events as a written table, read with their declared schema."""
+    def write(path: str) -> list[str]:
+        build_view(spark, sf_dir, "agent_status").write.mode("overwrite").parquet(path)
+        return [*io.STATUS_SCHEMA.fieldNames(), "LastUpdatedOn"]
+    return _once(spark, sf_dir, "status", write, lambda path: io.load_status(spark, path))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -102,34 +102,56 @@ def adhoc(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFra
     text = sql.strip().rstrip(";").strip()
     if not _SELECT.match(text):
         raise ValueError("only a single SELECT statement is accepted")
-    if ";" in text:
-        raise ValueError("only one statement is accepted")
-    others = _relations(spark._jsparkSession.sessionState().sqlParser().parsePlan(text)) - {v.lower() for v in views}
+    tables, functions = _parts(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    others = tables - {v.lower() for v in views}
     if others:
         raise ValueError(f"only {sorted(views)} may be read, not {sorted(others)}")
+    strange = sorted(f for f in functions if f in _OUTWARD or not _built_in(spark, f))
+    if strange:
+        raise ValueError(f"functions {strange} are not accepted")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text)
 
 
-def _relations(plan) -> set[str]:
-    """Lower-case names of all tables that a parsed plan reads, subqueries included."""
-    found, todo, gateway = set(), [plan], SparkContext._gateway
+#: Functions that leave the data: Java calls, files, the session and other tables.
+_OUTWARD = frozenset({"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length",
+                      "current_user", "user", "session_user", "current_catalog", "current_database", "current_schema", "version"})
+
+
+def _built_in(spark: SparkSession, name: str) -> bool:
+    """Whether a function comes with Spark (no user-defined or catalog function)."""
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    found = registry.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    return found.isDefined() and found.get().getSource() == "built-in"
+
+
+def _parts(plan) -> tuple[set[str], set[str]]:
+    """Lower-case names of all tables and functions of a parsed plan, subqueries included.  The parser is
+    the session's own: a ``;`` inside a text is no second statement, and two statements do not parse.  This
+    reads the plan in this process's JVM; a remote session has none."""
+    tables, functions, todo, gateway = set(), set(), [plan], SparkContext._gateway
     while todo:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
         if kind == "UnresolvedRelation":
-            found.add(node.tableName().lower())
+            tables.add(node.tableName().lower())
         elif "TableValuedFunction" in kind:
-            found.add(kind)
+            tables.add(kind)
+        elif kind == "UnresolvedFunction":
+            functions.add(".".join(_names(node.nameParts())).lower())
         is_plan = is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.plans.QueryPlan")
         for seq in (node.children(), *([node.expressions()] if is_plan else [])):
             todo += [seq.apply(i) for i in range(seq.size())]
         if kind in ("ScalarSubquery", "ListQuery", "Exists"):
             todo.append(node.plan())
         elif kind == "UnresolvedWith":
-            found.add("WITH")
-    return found
+            tables.add("WITH")
+    return tables, functions
+
+
+def _names(seq) -> list[str]:
+    return [seq.apply(i) for i in range(seq.size())]
 
 
 def query_id(sql: str) -> str:

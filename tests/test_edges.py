@@ -1,6 +1,7 @@
 """Hand-made edge cases (FIXTURES section 11) and argument checks."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,20 @@ def test_text_dates(spark):
                                 ("2001-03-01 10:00:00",)], "t string")
     assert [r.d and r.d.isoformat() for r in df.select(W.text_date("t").alias("d")).collect()] == [
         "2000-02-29", "2000-02-29", None, None, None, None, "2001-03-01", "2001-03-01"]
+
+
+def test_product_tags_move_no_text(spark):
+    msgs = spark.createDataFrame([(1, r"see a\E(b) now and red gear!"), (2, "a ++ b"), (3, None), (4, ""), (5, "red gearbox")], "msg_id long, text string")
+    aliases = spark.createDataFrame([(r"a\E(b)", 1), ("++", 2), ("red gear", 3), ("(.*)", 4)], "alias string, product_id int")
+    out = MS.product_tags(msgs, aliases, min_alias_len=2)
+    assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 3), (2, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if re.search(r"\bExchange hashpartitioning", line)]
+    assert moved and all("msg_id" in line and "product_id" in line for line in moved)
+
+
+def test_too_many_aliases_raise(spark, monkeypatch):
+    monkeypatch.setattr(MS, "MAX_ALIASES", 1)
+    msgs = spark.createDataFrame([(1, "red gear")], "msg_id long, text string")
+    with pytest.raises(Exception, match="more than 1 aliases"):
+        MS.product_tags(msgs, spark.createDataFrame([("red", 1), ("gear", 2)], "alias string, product_id int")).collect()

@@ -174,6 +174,21 @@ def test_adhoc_reads_the_views_only(spark, leads, sf):
     assert io.adhoc(spark, "SELECT count(*) AS n FROM LEADS a JOIN leads b USING (leadid)", views).count() == 1
 
 
+def test_adhoc_calls_built_in_functions_on_data_only(spark, leads):
+    views = {"leads": leads}
+    spark.udf.register("own_function", lambda x: x)
+    for call in ("reflect('java.lang.System', 'getProperty', 'user.dir')", "java_method('java.lang.System', 'nanoTime')", "input_file_name()",
+                 "own_function(leadid)", "TRY_REFLECT('java.lang.System', 'nanoTime')"):
+        with pytest.raises(ValueError, match="not accepted"):
+            io.adhoc(spark, f"SELECT {call} FROM leads", views)
+        with pytest.raises(ValueError, match="not accepted"):
+            io.adhoc(spark, f"SELECT count(*) FROM leads WHERE {call} IS NOT NULL", views)
+    assert io.adhoc(spark, "SELECT concat(city, ';') AS c, upper(state), sum(premium) OVER (PARTITION BY state) FROM leads;", views).count() > 0
+    for two in ("SELECT 1 AS x FROM leads; SELECT 2 AS x FROM leads", "SELECT 1 AS x FROM leads; DROP VIEW leads"):
+        with pytest.raises(Exception):
+            io.adhoc(spark, two, views)
+
+
 @pytest.mark.parametrize("date,arg,month", [("leaddate", "lead_dates", "lead_month"),
                                             ("bookingdate", "booking_dates", "booking_month")])
 def test_months_are_pruned(spark, leads, tmp_path, date, arg, month):

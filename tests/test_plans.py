@@ -7,6 +7,8 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from leadflow.operators.query import metric_query
+from leadflow.sources import fixtures as fx
 
 
 def plan(df) -> str:
@@ -73,3 +75,21 @@ def test_similarity_join_has_no_pairwise_group_expansion(spark, sf):
     p = plan(E.queries()["a_candidates"](spark, sf))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"):
         assert bad not in p
+
+
+@pytest.mark.parametrize("key", ["g_product_wise", "g_metric_query", "g_by_two_dims", "t_top_n", "f_since_prev_month", "u_distinct_ids",
+                                 "u_distinct_ids_per_product", "a_active_ids"])
+def test_spans_of_booking_dates_read_their_months_only(spark, sf, key):
+    """The copy by booking month is scanned, and its partitions are filtered."""
+    out = E.queries()[key](spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "FileScan" in line and "bookingdate" in line]
+    assert len(scan) == 1 and "booking_month" in scan[0].split("PartitionFilters: ")[1].split("]")[0]
+    assert "bookingdate" in scan[0].split("PushedFilters: ")[1].split("]")[0]
+
+
+def test_jobs_without_such_a_span_read_all_rows(spark, sf):
+    facts = fx.facts(spark, sf)
+    for out in (metric_query(facts, ["bookings"], dims=["state"]), metric_query(facts, ["leads"], dims=["state"], window="this_month", as_of=fx.AS_OF)):
+        assert "booking_month" not in out._jdf.queryExecution().executedPlan().toString()
+    assert metric_query(facts, ["leads", "bookings"]).first()[0] == facts.full.count() > facts.booked(None, None).count()
