@@ -18,8 +18,8 @@ def main() -> None:
     for key, e in REGISTRY.items():
         doc = " ".join(e.doc.split("\n\n")[0].split())
         src = inspect.getsource(e.build) if e.build.__name__ != "build" else ""
-        mods = sorted(set(re.findall(r"\b(metric_query|axis_trend|with_product_name|io\.\w+|N\.\w+|K\.\w+|A\.\w+|"
-                                     r"MS\.\w+|FB\.\w+|AL\.\w+|PR\.\w+|MK\.\w+|S\.\w+|mask|P\.\w+|W\.\w+|TX\.\w+)\(",
+        mods = sorted(set(re.findall(r"\b(metric_query|axis_trend|with_product_name|rows_in_window|suggest|mask|fx\.(?:status|facts|leads)|"
+                                     r"(?:io|N|K|A|AR|MS|FB|AL|PR|MK|S|P|W|TX|TJ|CU|SN|SK|IN|BK|PP)\.[a-z]\w+)\(",
                                      src)))
         if not mods and key.startswith("f_"):
             mods = ["functions.predicates / windows"]
