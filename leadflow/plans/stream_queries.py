@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..operators import alerts as AL
 from ..sources import fixtures as fx
+from ..sources.fixtures import NOW
+from ..streaming import alert_runner as RU
 from ..streaming import arrivals as AR
 from ..streaming import jobs as S
 from .catalog import register
+from .log_queries import _next_run_sql
 from .sql import money, with_views
 
 SINCE_ID = 500
@@ -136,3 +142,36 @@ def s_items_decisions(spark, sf):
                                   AR.file_stream(spark, f"{base}/decisions", decisions.schema), WITHIN)
         out = S.run_available(spark, stream, "items", "append", folder=f"{base}/job")
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------- the alert runner
+
+TICKS = [NOW, NOW + dt.timedelta(hours=25), NOW + dt.timedelta(days=8, minutes=30)]
+
+
+def _alert_sql() -> str:
+    """The schedule after each tick, and the subscriptions due at each."""
+    steps, sent = [f"s0 AS (SELECT id, user_id, frequency, product_id, metric, {_next_run_sql('last_run_at')} AS due FROM subscriptions)"], []
+    for k, tick in enumerate(TICKS):
+        at = f"TIMESTAMP '{tick}'"
+        sent.append(f"SELECT {at} AS tick, * FROM s{k} WHERE due <= {at}")
+        steps.append(f"s{k + 1} AS (SELECT * REPLACE (CASE WHEN due <= {at} THEN {_next_run_sql(at)} ELSE due END AS due) FROM s{k})")
+    return with_views("subscriptions", "leads", extra=",\n".join(steps) + """,
+m AS (SELECT CAST(investmenttypeid AS BIGINT) AS product_id, COUNT(*) FILTER (WHERE leaddate >= DATE '2000-06-01') AS leads,
+             COUNT(*) FILTER (WHERE bookingdate >= DATE '2000-06-01' AND booking_status = 'IssuedBusiness') AS bookings FROM leads GROUP BY 1)
+""") + f"""
+SELECT tick, id, user_id, a.product_id, metric, coalesce(CASE metric WHEN 'leads' THEN leads ELSE bookings END, 0) AS value
+FROM ({' UNION ALL '.join(sent)}) a LEFT JOIN m ON m.product_id = a.product_id
+"""
+
+
+@register("s_alert_runs", oracle=_alert_sql())
+def s_alert_runs(spark, sf):
+    """Alerts of three ticks of the clock, the runner stopped after each and resumed with its own schedule."""
+    base = scratch_path(spark, "streams", "alerts", unique=True)
+    subs, leads = AL.with_next_run(fx.view(spark, sf, "subscriptions")), fx.leads(spark, sf)
+    for tick in TICKS:
+        ticks = spark.createDataFrame([(tick,)], "tick timestamp_ntz")
+        ticks.write.mode("append").parquet(f"{base}/ticks")
+        RU.run_alerts(spark, AR.file_stream(spark, f"{base}/ticks", ticks.schema), subs, lambda now: leads, f"{base}/job")
+    return RU.alerts_sent(spark, f"{base}/job").select("tick", "id", "user_id", "product_id", "metric", "value")

@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from leadflow.operators import alerts as AL
+from leadflow.streaming import alert_runner as RU
 from leadflow.streaming import arrivals as AR
 from leadflow.streaming import jobs as S
 
@@ -127,6 +129,39 @@ def test_items_and_decisions_over_restarts_equal_the_batch(spark, tmp_path):
     assert spark.read.parquet(out).count() == len(seen[-1])          # nothing twice
 
 
+def test_alerts_are_neither_lost_nor_sent_twice(spark, tmp_path):
+    """Ticks missed, a run stopped before its end, and a restart: the alerts equal one daemon's."""
+    nine = dt.datetime(2024, 1, 1, 9)                       # a Monday
+    subs = spark.createDataFrame([(1, 7, "hourly", nine, 3, "leads"), (2, 7, "daily", nine, 3, "bookings"), (3, 8, "weekly", nine, 4, "leads")],
+                                 "id long, user_id long, frequency string, last_run_at timestamp_ntz, product_id long, metric string")
+    leads = spark.createDataFrame([(3, dt.date(2024, 1, 1), dt.date(2024, 1, 2), "IssuedBusiness"), (3, dt.date(2024, 1, 1), None, "notbooked"),
+                                   (4, dt.date(2023, 12, 1), None, "notbooked")], "investmenttypeid int, leaddate date, bookingdate date, booking_status string")
+    ticks = spark.createDataFrame([], "tick timestamp_ntz").schema
+
+    def run(*moments, broken=None):
+        spark.createDataFrame([(m,) for m in moments], ticks).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+        calls = []
+
+        def facts(now):
+            calls.append(now)
+            if broken:
+                raise RuntimeError("stopped")
+            return leads
+        RU.run_alerts(spark, AR.file_stream(spark, f"{tmp_path}/ticks", ticks), AL.with_next_run(subs), facts, f"{tmp_path}/job")
+
+    hours = dt.timedelta(hours=1)
+    run(nine + hours / 2)                                   # nothing is due
+    run(nine + hours, nine + 3 * hours, nine + 2 * hours)   # one run makes up three ticks
+    with pytest.raises(Exception):
+        run(nine + 24 * hours, broken=True)
+    run(nine + 24 * hours + hours / 2)                      # the stopped tick first, then the new one
+    sent = sorted((r.tick, r.id, r.value) for r in RU.alerts_sent(spark, f"{tmp_path}/job").collect())
+    assert sent == [(nine + 3 * hours, 1, 2), (nine + 24 * hours, 1, 2), (nine + 24 * hours, 2, 1)]
+    run(nine + 25 * hours, nine + 7 * 24 * hours)
+    later = [(r.id, r.value) for r in RU.alerts_sent(spark, f"{tmp_path}/job").where(F.col("tick") == nine + 7 * 24 * hours).collect()]
+    assert sorted(later) == [(1, 2), (2, 1), (3, 0)]
+
+
 def test_stateless_sides_raise_as_usual(spark, tmp_path):
     with pytest.raises(Exception):
         AR.split_late(spark, AR.file_stream(spark, f"{tmp_path}/none", schema(spark)), f"{tmp_path}/s")
