@@ -108,7 +108,8 @@ def keep_bitmap(bitmap: Column, n_lines: Column) -> Column:
     word's first line) for each word of 64 lines that loses one, in order; words left out keep all."""
     def word(w: Column) -> Column:
         left = n_lines - w * 64                             # lines in this word
-        there = F.when(left >= 64, F.lit(-1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), left.cast("int")) - 1)
+        there = F.when(left >= 64, F.lit(-1)).otherwise(
+            F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), left.cast("int"))))
         bits = there.cast("long").bitwiseAND(F.bitwise_not(F.element_at(bitmap, w)))
         return F.concat_ws(":", w, F.lower(F.lpad(F.hex(bits), 16, "0")))
     return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_keys(bitmap)), word), ","), F.lit(""))

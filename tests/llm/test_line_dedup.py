@@ -38,6 +38,7 @@ ROWS = [
     (None, "A shared line here"), (7, "Own line stays here\nOwn line stays here"), (3, "A shared line here\nonly in three, long"),
     (8, "\n\n"), (9, "\n".join(f"filler line number {i}" for i in range(5000)) + "\na shared line here"),
     (10, "\n".join(f"filler line number {i}" for i in range(4990, 5010))), (13, "\n".join(f"filler line number {i}" for i in range(64))),
+    *((100 + n, "\n".join(["x"] * (n - 1) + ["filler line number 7"])) for n in (1, 2, 62, 63, 64, 65, 127, 128, 129)),
     (14, "\n".join(["x"] * 63 + ["filler line number 3"] + ["y"] * 65 + ["filler line number 4"])), (11, "1234567890"), (12, "1234567890 "), (12, "123456789"),
 ]
 
