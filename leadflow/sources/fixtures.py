@@ -56,7 +56,7 @@ SELECT l.l_orderkey AS leadid, o.o_custkey AS customerid, p.p_size AS investment
        ELSE concat('AG', lpad(CAST(l.l_suppkey AS STRING), 5, '0')) END AS lead_agentid,
   c.c_name AS contact_person_name, r.r_name AS state, n.n_name AS city, p.p_type AS productname,
   c.c_mktsegment AS mkt_category, o.o_orderpriority AS leadcreationsource, s.s_name AS insurername,
-  CASE l.l_linenumber WHEN 1 THEN 300 WHEN 2 THEN 3002 ELSE 4002 END AS paymentstatus,
+  CAST(CASE l.l_linenumber WHEN 1 THEN 300 WHEN 2 THEN 3002 ELSE 4002 END AS BIGINT) AS paymentstatus,
   CASE WHEN l.l_linenumber % 2 = 0 THEN 'hybrid' ELSE 'nothybrid' END AS is_lead_hybrid,
   l.l_extendedprice AS premium, l.l_extendedprice * (1 - l.l_discount) AS revenue,
   l.l_extendedprice * l.l_tax AS brokerage, o.o_totalprice AS suminsured,
