@@ -39,8 +39,8 @@ def d_snapshot_diff(spark, sf):
     new = leads.withColumn("premium", F.when(F.col("leadid") % 70 == 2, F.col("premium") + 1).otherwise(F.col("premium")))
     new = new.where("leadid % 60 <> 3").unionByName(leads.where("leadid % 90 = 4"))
     paths = [scratch_path(spark, "snapshots", unique=True) for _ in range(2)]
-    SN.write_snapshot(leads.where("leadid % 50 <> 1"), paths[0])
-    SN.write_snapshot(new, paths[1])
+    SN.write_snapshot(leads.where("leadid % 50 <> 1"), paths[0], buckets=16)
+    SN.write_snapshot(new, paths[1], buckets=16)
     return SN.diff_snapshots(spark, *paths)
 
 

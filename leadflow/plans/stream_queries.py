@@ -70,7 +70,7 @@ def _status_split(spark, sf) -> tuple[str, str]:
     """Deliveries arrive slot by slot; after each the job takes up what is new and stops."""
     base = scratch_path(spark, "streams", "status", unique=True)
     rows = fx.view(spark, sf, "status_deliveries").where("again = 0").drop("again")
-    for slot in range(6):
+    for slot in range(4):
         _arriving(rows, f"{base}/inbox", slot)
         out = AR.split_late(spark, AR.file_stream(spark, f"{base}/inbox", rows.schema), f"{base}/split", delay=DELAY)
     return out
@@ -117,7 +117,7 @@ def s_status_once(spark, sf):
     """Every status event once, though deliveries repeat; the job stops after each slot and resumes."""
     base = scratch_path(spark, "streams", "once", unique=True)
     rows = fx.view(spark, sf, "status_deliveries").drop("again")
-    for slot in range(7):
+    for slot in range(5):
         _arriving(rows, f"{base}/inbox", slot)
         stream = AR.once(AR.file_stream(spark, f"{base}/inbox", rows.schema), delay=REPEAT).drop("slot")
         out = S.run_available(spark, stream, "once", "append", folder=f"{base}/job")
@@ -135,7 +135,7 @@ def s_items_decisions(spark, sf):
     """Posts with the decisions of the day after, or alone when it is over; three slots, a stop after each."""
     base = scratch_path(spark, "streams", "items", unique=True)
     posts, decisions = (fx.view(spark, sf, v) for v in ("feedback_posts", "post_decisions"))
-    for slot in range(4):
+    for slot in range(3):
         _arriving(posts, f"{base}/posts", slot)
         _arriving(decisions, f"{base}/decisions", slot)
         stream = AR.decided_items(AR.file_stream(spark, f"{base}/posts", posts.schema),

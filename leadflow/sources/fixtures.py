@@ -120,22 +120,22 @@ SELECT l_orderkey AS leadid, l_linenumber AS line, concat('AG', lpad(CAST(l_supp
                                      + l_partkey % 1440 * INTERVAL '1' MINUTE END AS booked_at
 FROM {lineitem} WHERE l_linestatus = 'F'
 """,
-    # Status events as they are delivered: in slots of eight days, one in 97 two slots late, one in five twice.
+    # Status events as they are delivered: in slots of ten days, one in 97 a slot late, one in five twice.
     "status_deliveries": """
 SELECT event_id, ts, concat('AG', lpad(CAST(user_id AS STRING), 5, '0')) AS AgentCode,
   CASE event_type WHEN 'click' THEN 'READY' WHEN 'view' THEN 'IDLE' WHEN 'signup' THEN 'BUSY'
     WHEN 'purchase' THEN 'ONCALL' ELSE 'PAUSE' END AS Status, value AS TotalTalkTime, again,
-  CAST(floor((day(ts) - 1) / 8) AS INT) + CASE WHEN event_id % 97 = 0 THEN 2 ELSE 0 END + again AS slot
+  CAST(least(2, floor((day(ts) - 1) / 10)) AS INT) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END + again AS slot
 FROM {events} CROSS JOIN (VALUES (0), (1)) AS t(again) WHERE again = 0 OR event_id % 5 = 0
 """,
     # Posts that wait for a decision, and the slot of ten days in which either arrives.
     "feedback_posts": """
-SELECT event_id AS item_id, user_id AS id, ts AS posted_at, CAST(floor((day(ts) - 1) / 10) AS INT) AS slot
+SELECT event_id AS item_id, user_id AS id, ts AS posted_at, CAST(least(2, floor((day(ts) - 1) / 10)) AS INT) AS slot
 FROM {events} WHERE event_type = 'signup'
 """,
     "post_decisions": """
 SELECT event_id, user_id AS id, ts, CASE event_type WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS decision,
-  CAST(floor((day(ts) - 1) / 10) AS INT) AS slot
+  CAST(least(2, floor((day(ts) - 1) / 10)) AS INT) AS slot
 FROM {events} WHERE event_type IN ('purchase', 'error')
 """,
     # Properties of events as they come: one in 50 cut off, one in 70 missing.
