@@ -7,6 +7,7 @@ import re
 
 from py4j.java_gateway import is_instance_of
 from pyspark import SparkContext
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +103,11 @@ def adhoc(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFra
     text = sql.strip().rstrip(";").strip()
     if not _SELECT.match(text):
         raise ValueError("only a single SELECT statement is accepted")
-    tables, functions = _parts(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except ParseException as e:
+        raise ValueError(f"only one SELECT statement is accepted: {e}") from e
+    tables, functions = _parts(plan)
     others = tables - {v.lower() for v in views}
     if others:
         raise ValueError(f"only {sorted(views)} may be read, not {sorted(others)}")
