@@ -204,7 +204,8 @@ def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*[F.col(c).cast(FACT_SCHEMA[c].dataType).alias(c) for c in df.columns])
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], list[str]], read: Callable[[str], DataFrame]) -> DataFrame:
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], list[str]],
+          read: Callable[[str, list[str]], DataFrame]) -> DataFrame:
     """The table ``name``, written once per application; written again if it has gone (a cleaned scratch folder)."""
     app = application_id(spark)
     key = (app, os.path.abspath(sf_dir), name)
@@ -214,11 +215,10 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], li
             _written[key] = path, write(path)
         path, columns = _written[key]
         try:
-            df = read(path)
+            return read(path, columns)
         except AnalysisException:
             write(path)
-            df = read(path)
-    return df.select(*columns)
+            return read(path, columns)
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _conformed(spark, sf_dir)
         io.write_leads(df, path, partition_by_month=False)
         return df.columns
-    return _once(spark, sf_dir, "leads", write, lambda path: io.load_leads(spark, path))
+    return _once(spark, sf_dir, "leads", write, lambda path, columns: io.load_leads(spark, path, columns=columns))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> Facts:
@@ -239,7 +239,8 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
         return full.columns
 
     def booked(first, last) -> DataFrame:
-        return _once(spark, sf_dir, "leads-booked", write, lambda path: io.load_leads(spark, path, booking_dates=(first, last)))
+        return _once(spark, sf_dir, "leads-booked", write, lambda path, columns: io.load_leads(
+            spark, path, booking_dates=(first, last), columns=columns))
 
     return Facts(full, booked)
 
@@ -249,7 +250,7 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> list[str]:
         build_view(spark, sf_dir, "agent_status").write.mode("overwrite").parquet(path)
         return [*io.STATUS_SCHEMA.fieldNames(), "LastUpdatedOn"]
-    return _once(spark, sf_dir, "status", write, lambda path: io.load_status(spark, path))
+    return _once(spark, sf_dir, "status", write, lambda path, _: io.load_status(spark, path))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

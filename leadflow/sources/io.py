@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 from py4j.java_gateway import is_instance_of
 from pyspark import SparkContext
@@ -29,13 +30,15 @@ MONTHS = {"leaddate": "lead_month", "bookingdate": "booking_month"}
 
 
 def load_leads(spark: SparkSession, path: str, fmt: str = "parquet", lead_dates: tuple | None = None,
-               booking_dates: tuple | None = None) -> DataFrame:
-    """The fact table with its declared schema (nothing inferred) and masking metadata.
+               booking_dates: tuple | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """The fact table with its declared schema (nothing inferred) and masking metadata, both of which
+    the schema's fields carry; ``columns`` reads only these (the dates that are bounded among them).
 
     ``lead_dates`` and ``booking_dates`` = (first, last), either may be None: only rows with
     such a date.  On a table that ``write_leads`` laid out by that date the months outside are
     not read (partition pruning)."""
-    df = spark.read.format(fmt).schema(FACT_SCHEMA).load(path)
+    schema = FACT_SCHEMA if columns is None else T.StructType([FACT_SCHEMA[c] for c in columns])
+    df = spark.read.format(fmt).schema(schema).load(path)
     for date, bounds in (("leaddate", lead_dates), ("bookingdate", booking_dates)):
         for bound, at_least in zip(bounds or (), (True, False)):
             if bound is not None:
@@ -43,7 +46,7 @@ def load_leads(spark: SparkSession, path: str, fmt: str = "parquet", lead_dates:
                 if MONTHS[date] in df.columns:
                     month, first = F.col(MONTHS[date]), F.lit(bound.replace(day=1))
                     df = df.where(month >= first if at_least else month <= first)
-    return with_policy(df.drop(*MONTHS.values()))
+    return df.drop(*MONTHS.values())
 
 
 def jdbc_options(url: str, table: str, partition_column: str, lower, upper, num_partitions: int,
