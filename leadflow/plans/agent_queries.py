@@ -76,7 +76,7 @@ FROM (SELECT DISTINCT lead_agentid FROM active) a LEFT JOIN latest s ON s.AgentC
 """)
 def j_agent_status(spark, sf):
     """Active agents left-joined to their newest status (replaces one status call per agent)."""
-    agents = A.active_pairs(fx.facts(spark, sf), AS_OF).select("lead_agentid").distinct()
+    agents = A.active_pairs(fx.facts(spark, sf, fx.BOOKED_COLUMNS), AS_OF).select("lead_agentid").distinct()
     return A.with_status(agents, A.latest_status(_status(spark, sf))).select(
         "lead_agentid", "Status", "TotalTalkTime", "LastUpdatedOn")
 
@@ -183,7 +183,7 @@ SELECT lead_agentid, COUNT(*) AS bookings, max(bookingdate) AS last_booking FROM
 """)
 def a_active_ids(spark, sf):
     """Agents with an issued booking since the first of the previous month."""
-    return A.active_ids(fx.facts(spark, sf), AS_OF)
+    return A.active_ids(fx.facts(spark, sf, fx.BOOKED_COLUMNS), AS_OF)
 
 
 @register("a_status_summary", oracle=with_views("leads", "agent_status", extra=LATEST_STATUS) + f"""
@@ -194,7 +194,7 @@ GROUP BY a.investmenttypeid
 """)
 def a_status_summary(spark, sf):
     """Per product: active agents and how many are READY/AVAILABLE/IDLE/ONCALL/ON CALL/BUSY now."""
-    return A.status_summary(fx.facts(spark, sf), _status(spark, sf), AS_OF)
+    return A.status_summary(fx.facts(spark, sf, fx.BOOKED_COLUMNS), _status(spark, sf), AS_OF)
 
 
 @register("a_status_breakdown", oracle=with_views("leads", "agent_status", extra=LATEST_STATUS) + """
@@ -204,7 +204,7 @@ GROUP BY 1, 2
 """)
 def a_status_breakdown(spark, sf):
     """Active agents per product and status."""
-    return A.status_breakdown(fx.facts(spark, sf), _status(spark, sf), AS_OF)
+    return A.status_breakdown(fx.facts(spark, sf, fx.BOOKED_COLUMNS), _status(spark, sf), AS_OF)
 
 
 @register("a_status_details", oracle=with_views("leads", "agent_status", extra=LATEST_STATUS) + """
@@ -215,4 +215,4 @@ WHERE upper(s.Status) IN ('PAUSE', 'BUSY')
 """)
 def a_status_details(spark, sf):
     """One row per active agent whose newest status is PAUSE or BUSY, with its status fields."""
-    return A.status_details(fx.facts(spark, sf), _status(spark, sf), AS_OF, statuses=["pause", "busy"])
+    return A.status_details(fx.facts(spark, sf, fx.BOOKED_COLUMNS), _status(spark, sf), AS_OF, statuses=["pause", "busy"])
