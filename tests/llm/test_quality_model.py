@@ -130,3 +130,21 @@ def test_query_equals_a_plain_reading(spark, sf):
         grade, tail, kept = want[r.doc_id]
         assert abs(r.expected_grade - grade) < 1e-3 and abs(r.tail_probability - tail) < 1e-3
         assert r.kept == kept or abs(tail - least) < 1e-3
+
+
+def test_every_label_counts(spark):
+    """20,000 labelled documents, more than the fit once took: all of them make the model and the cutoff."""
+    n = 20_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(CASE WHEN id % 3 = 0 THEN 'poor' ELSE 'fine' END, ' text ', id % 9) AS text")
+    graded = docs.selectExpr("doc_id", "CASE WHEN (doc_id % 3 = 0) <> (doc_id % 10 = 0) THEN 0 ELSE 1 END AS grade")
+    rows, features = [(r.text, r.grade) for r in docs.join(graded, "doc_id").collect()], M.Features()
+    found = [features(t) for t, _ in rows]
+    want = M.fit(np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found]), np.array([len(i) for i, _ in found]),
+                 np.array([g for _, g in rows]))
+    got = M.train(docs, graded)
+    assert np.abs(got.weights - want.weights).max() < 0.02 and np.abs(got.thresholds - want.thresholds).max() < 0.02
+    labels = docs.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS quality", "0 AS toxic")
+    models = M.train_all(docs, labels)
+    held = labels.where((F.col("quality") == 1) & (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(M.HELD_OUT << 20)) < 1 << 20))
+    tails = M.score(docs.join(held, "doc_id", "left_semi"), models["model"], toxicity=models["toxicity"]).select("tail_probability").toPandas()
+    assert models["least_tail"] == np.quantile(tails.tail_probability, M.FALSE_REJECTION, method="lower")
