@@ -3,7 +3,9 @@
 A snapshot is stored in buckets by a 128-bit hash of the whole row, with the hash beside it.  To
 compare two, only the hashes are read: signed sums per bucket tell which buckets differ, and only of
 these are full rows read (partition pruning).  What is shuffled is one row per distinct hash in those
-buckets, counted on the map side first; a row repeated any number of times is one of them.
+buckets, counted on the map side first; a row repeated any number of times is one of them.  The hashes
+that differ are stored, and bits for them go to the tasks: of the full rows only those with a differing
+hash, and a few others that share its bit, are shuffled to meet them.
 
 Equal values are equal as in EXCEPT ALL: NULL equals NULL.  Columns of map type cannot be compared.
 """
@@ -16,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 BUCKETS = 64
+MAX_BITS = 1 << 28            # 32 MB sent to the tasks; with more differing hashes than bits all rows are shuffled
+_BLOCK = 15                   # 2^15 bits in a bitmap of bitmap_construct_agg
 
 
 def with_row_hash(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -31,11 +37,11 @@ def with_row_hash(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Store ``df`` by buckets.  Rows go to the buckets' writers by hash and place, so rows that repeat
-    spread over tasks and no bucket is written by one task alone."""
-    rows = with_row_hash(df, buckets).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(4)))
-    rows.repartition("_bucket", "_salt").drop("_salt").write.partitionBy("_bucket").parquet(f"{path}/rows")
-    rows.drop("_salt").limit(0).write.parquet(f"{path}/schema")       # an empty snapshot has no files but a schema
+    """Store ``df`` by buckets.  No row is shuffled: each task writes its rows of every bucket, so a bucket
+    has as many files as the job has tasks, and none is written by one task alone."""
+    rows = with_row_hash(df, buckets)
+    rows.write.partitionBy("_bucket").parquet(f"{path}/rows")
+    rows.limit(0).write.parquet(f"{path}/schema")       # an empty snapshot has no files but a schema
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -53,6 +59,21 @@ def differing_buckets(old: DataFrame, new: DataFrame) -> list[int]:
     return sorted(r[0] for r in per.where("n <> 0 OR _h1 <> 0 OR _h2 <> 0").select("_bucket").collect())
 
 
+def with_bit_of(df: DataFrame, hashes: DataFrame) -> DataFrame:
+    """All rows of ``df`` whose hash is among ``hashes``, and of the others about one in 16 or fewer: those
+    whose ``_h2`` falls on the same bit (more of them where ``MAX_BITS`` is reached)."""
+    n = hashes.count()
+    bits = min(MAX_BITS, 1 << max(_BLOCK, (16 * n).bit_length()))
+    if n > bits:
+        return df
+    bit = F.pmod("_h2", F.lit(bits))
+    block, place = F.shiftright(bit, _BLOCK).alias("_block"), bit.bitwiseAND((1 << _BLOCK) - 1)
+    maps = hashes.groupBy(block).agg(F.bitmap_construct_agg(place).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("_block", block).join(F.broadcast(maps), "_block")
+    return met.where(F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1).select(*df.columns)
+
+
 def diff_snapshots(spark: SparkSession, old_path: str, new_path: str, keys: Sequence[str] = ()) -> DataFrame:
     """change ('added' or 'removed'), times, and the columns of every row that one snapshot holds more often.
 
@@ -64,7 +85,8 @@ def diff_snapshots(spark: SparkSession, old_path: str, new_path: str, keys: Sequ
     some = differing_buckets(old, new)
     old, new = (df.where(F.col("_bucket").isin(some) if some else F.lit(False)) for df in (old, new))
     hashes = new.select("_h1", "_h2", F.lit(1).alias("n")).unionByName(old.select("_h1", "_h2", F.lit(-1).alias("n")))
-    net = hashes.groupBy("_h1", "_h2").agg(F.sum("n").alias("net")).where("net <> 0")
+    net = written(hashes.groupBy("_h1", "_h2").agg(F.sum("n").alias("net")).where("net <> 0"), "differences")
+    old, new = with_bit_of(old, net), with_bit_of(new, net)
 
     def rows(df: DataFrame, side: DataFrame, change: str) -> DataFrame:
         met = df.join(side, ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"])

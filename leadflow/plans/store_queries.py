@@ -35,7 +35,7 @@ UNION ALL SELECT 'removed', COUNT(*), * FROM (SELECT * FROM old EXCEPT ALL SELEC
 """)
 def d_snapshot_diff(spark, sf):
     """Rows that two stored snapshots of the leads hold more or less often, repeats counted."""
-    leads = fx.leads(spark, sf).select(*_SNAP)
+    leads = fx.leads(spark, sf, _SNAP)
     new = leads.withColumn("premium", F.when(F.col("leadid") % 70 == 2, F.col("premium") + 1).otherwise(F.col("premium")))
     new = new.where("leadid % 60 <> 3").unionByName(leads.where("leadid % 90 = 4"))
     paths = [scratch_path(spark, "snapshots", unique=True) for _ in range(2)]

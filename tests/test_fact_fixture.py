@@ -43,3 +43,17 @@ def test_booked_copy_holds_and_needs_its_columns_only(spark, odd):
     assert not [k for k in fx._written if k[1] == os.path.abspath(odd) and k[2] == "leads"]
     full = fx.facts(spark, odd).full.where("bookingdate IS NOT NULL").select(*fx.BOOKED_COLUMNS)
     assert booked.exceptAll(full).count() == full.exceptAll(booked).count() == 0
+
+
+def test_few_columns_need_no_copy_of_all(spark, odd):
+    import os
+    columns = ("leadid", "leaddate", "city", "premium", "referralid")
+    whole = (fx.application_id(spark), os.path.abspath(odd), "leads")
+    narrow = fx.leads(spark, odd, columns)
+    assert tuple(narrow.columns) == columns and whole not in fx._written
+    full = fx.leads(spark, odd)
+    assert full.schema["premium"].metadata == narrow.schema["premium"].metadata
+    full = full.select(*columns)
+    assert narrow.count() == full.count() > 0
+    assert narrow.exceptAll(full).count() == full.exceptAll(narrow).count() == 0
+    assert whole in fx._written and fx.leads(spark, odd, ("city",)).inputFiles()[0].split("/")[-2] == "leads"

@@ -60,6 +60,30 @@ def test_only_differing_buckets_are_read_in_full(spark, tmp_path):
     assert full and all("_bucket" in line.split("PartitionFilters: ")[1].split("]")[0] for line in full)
 
 
+def test_snapshot_rows_stay_in_their_task(spark, tmp_path):
+    df = spark.range(0, 3000, 1, 3).withColumn("task", F.spark_partition_id())
+    SN.write_snapshot(df, f"{tmp_path}/s", 4)
+    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).cast("int")
+    stored = SN.read_snapshot(spark, f"{tmp_path}/s").withColumn("part", part)
+    assert stored.count() == 3000 and stored.where("part <> task").count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1 << 13, 4])
+def test_rows_off_the_bits_are_left_out_and_no_other(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(SN, "MAX_BITS", most)
+    rows = SN.with_row_hash(spark.range(0, 40_000, 1, 4).withColumn("a", F.lit("a")))
+    some = rows.where("id % 20 = 3 OR id = 39999").select("_h1", "_h2")
+    met = SN.with_bit_of(rows.unionByName(rows.where("id % 20 = 3")), some)
+    assert met.columns == rows.columns
+    assert met.join(some, ["_h1", "_h2"]).count() == 2 * 2000 + 1
+    assert met.count() == 42_000 if most == 4 else met.count() < (8_000 if most == 1 << 28 else 16_000)
+    assert SN.with_bit_of(rows, some.limit(0)).count() == 0
+    old = [(i, "a", None, float(i)) for i in range(300)]
+    new = [(i, "a", None, float(i + i % 2)) for i in range(300)] + old[:1]
+    got = Counter((r.change, r.id, r.x, r.times) for r in diff(spark, tmp_path, old, new).collect())
+    assert got == Counter([("added", 0, 0.0, 1)] + [x for i in range(1, 300, 2) for x in (("added", i, i + 1.0, 1), ("removed", i, float(i), 1))])
+
+
 @pytest.fixture(scope="module")
 def leads(spark, sf):
     return fx.leads(spark, sf)
